@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyframe.sources.scratch import settle
 from tallyframe.sources.warehouse import Warehouse
 
-from .views import VIEWS, inputs
+from .views import SPARK_VIEWS, VIEWS, inputs
 
 _KEPT: dict[tuple[str, str, str], DataFrame] = {}
 # Derived once per session and written out, as a warehouse would hold them.
@@ -20,7 +20,7 @@ class CheckData:
         self.spark, self.sf_dir = spark, sf_dir.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        if name not in VIEWS:
+        if name not in SPARK_VIEWS:
             return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
         if key not in _KEPT:
@@ -46,6 +46,14 @@ class CheckData:
             F.lit(False).alias("has_header"),
         )
 
+    @property
+    def db_grid(self) -> DataFrame:
+        cells = F.array(*(f"c{i}" for i in range(6)))
+        return self.table("db_grid").select(
+            "file", "sheet", F.col("row_idx").cast("bigint").alias("row_idx"), cells.alias("cells"),
+            F.lit(True).alias("has_header"),
+        )
+
     @property
     def specs(self) -> DataFrame:
         return self.table("export_specs")

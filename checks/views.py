@@ -114,8 +114,81 @@ select concat('export_', used_id, '.xlsx') as file, used_id as seller_id, split_
   case when used_id like '%.SHP.%' then 'Key Metrics' else null end as platform_sheet,
   used_id like 'PH.%' as use_item_sales, id as position
 from {ecommerce_seller}
+""",
+    # A database export as text cells, one file per country, with its header in row 0.
+    "db_grid": """
+select distinct concat('db_', split_part(used_id, '.', 1), '.csv') as file, 'db' as sheet, 0 as row_idx,
+  'Seller' as c0, 'day' as c1, 'total_quantity' as c2, 'revenue_local' as c3, 'Total Page View' as c4, 'total_orders' as c5
+from {ecommerce_seller}
+union all select concat('db_', split_part(seller_id, '.', 1), '.csv'), 'db',
+  (year(day) - 1990) * 372 + month(day) * 31 + day(day), seller_id, cast(day as varchar(10)),
+  cast(quantity as varchar(40)), cast(revenue as varchar(40)), cast(page_view as varchar(40)), cast(orders as varchar(40))
+from {db_day}
+""",
+    # Ship dates as text in seven layouts, one per line number.
+    "date_cells": """
+select l_linenumber as layout, cast(l_shipdate as date) as day, case l_linenumber
+  when 1 then concat(lpad(cast(day(l_shipdate) as varchar(2)),2,'0'),'/',lpad(cast(month(l_shipdate) as varchar(2)),2,'0'),'/',cast(year(l_shipdate) as varchar(4)))
+  when 2 then concat('  ', cast(cast(l_shipdate as date) as varchar(10)), ' 00:00:00')
+  when 3 then concat(cast(year(l_shipdate) as varchar(4)),'/',cast(month(l_shipdate) as varchar(2)),'/',cast(day(l_shipdate) as varchar(2)))
+  when 4 then concat(cast(month(l_shipdate) as varchar(2)),'-',cast(day(l_shipdate) as varchar(2)),'-',cast(year(l_shipdate) as varchar(4)))
+  when 5 then concat(cast(day(l_shipdate) as varchar(2)),' ',substr('JanFebMarAprMayJunJulAugSepOctNovDec', cast(month(l_shipdate) as int) * 3 - 2, 3),' ',cast(year(l_shipdate) as varchar(4)))
+  when 6 then concat(cast(year(l_shipdate) as varchar(4)),lpad(cast(month(l_shipdate) as varchar(2)),2,'0'),lpad(cast(day(l_shipdate) as varchar(2)),2,'0'))
+  else concat(cast(cast(l_shipdate as date) as varchar(10)), ' - ', cast(cast(l_shipdate as date) + interval '6' day as varchar(10))) end as cell
+from {lineitem}
+""",
+    # Prices as text in seven layouts; the value column is what a reader should get.
+    "number_cells": """
+select l_linenumber as layout, case
+    when l_linenumber in (5, 6) then cast(0 as decimal(18,2)) when l_linenumber = 7 then null
+    else cast(l_extendedprice as decimal(18,2)) end as value,
+  case l_linenumber
+    when 1 then cast(cast(l_extendedprice as decimal(18,2)) as varchar(40))
+    when 2 then concat('PHP ', cast(cast(l_extendedprice as decimal(18,2)) as varchar(40)))
+    when 3 then concat(' ', cast(cast(l_extendedprice as decimal(18,2)) as varchar(40)), ' %')
+    when 4 then concat(cast(cast(floor(l_extendedprice / 1000) as bigint) as varchar(40)), ',',
+      lpad(cast(cast(l_extendedprice as decimal(18,2)) - cast(floor(l_extendedprice / 1000) as bigint) * 1000 as varchar(40)), 6, '0'))
+    when 5 then '-' when 6 then 'n/a'
+    else concat(cast(cast(l_extendedprice as decimal(18,2)) as varchar(40)), '-') end as cell
+from {lineitem}
+""",
+    # What is left of the platform exports after parsing: broken rows out, dashes read as 0.
+    "platform_read": """
+select seller_id, day, quantity, case when revenue < 5000 then 0 else revenue end as revenue, page_view, orders
+from {platform_day} where orders <= 2
+""",
+    # Daily facts of all export flows, every id carrying its seller as a prefix.
+    "export_facts": """
+select data_type, data_level, data_type as query_source_table, seller_id, day, source, sum(quantity) as quantity,
+  sum(revenue) as revenue, sum(page_view) as page_view
+from (
+  select 'seller_sales' as data_type, 'seller' as data_level, seller as seller_id, day,
+    coalesce(source, 'NULL_SOURCE') as source, quantity, revenue, null as page_view from {ecommerce_export_seller_sales}
+  union all select 'seller_traffic', 'seller', substr(fk_seller_used_id, 1, length(fk_seller_used_id) - 5), day,
+    coalesce(source, 'NULL_SOURCE'), null, null, page_view from {ecommerce_export_seller_traffic}
+  union all select 'sku_sales', 'sku', seller_full, day, coalesce(source, 'NULL_SOURCE'), quantity, s_onsite_selling, null from {collected}
+  union all select 'sku_traffic', 'sku', seller_full, day, coalesce(source, 'NULL_SOURCE'), null, null, page_view from {collected}
+) t group by data_type, data_level, seller_id, day, source
+""",
+    # Item facts by day; the marketplace of the row's own or registered seller decides the revenue column.
+    "item_facts": """
+select seller_full as seller_id, day, coalesce(source, 'NULL_SOURCE') as source, sum(quantity) as quantity,
+  sum(case when l_linenumber = 7 and r.used_id is null then s_paid
+    when seller_full like '%.LAZ.%' then s_net else s_paid end) as revenue
+from {collected} c left join {ecommerce_sku} r on r.used_id = c.fk_sku_used_id
+where seller_full not like 'MY.%' group by seller_full, day, coalesce(source, 'NULL_SOURCE')
+""",
+    # Facts under the specs' item switch: country PH takes its sales from items.
+    "switched_facts": """
+select data_type, data_level, query_source_table, seller_id, day, source, quantity, revenue, page_view from {export_facts}
+where data_type in ('seller_traffic', 'sku_traffic') or seller_id not like 'PH.%'
+union all select 'seller_sales', 'seller', 'item_seller_sales', seller_id, day, source, quantity, revenue, null
+from {item_facts} where seller_id like 'PH.%'
+union all select 'sku_sales', 'sku', 'item_sku_sales', seller_id, day, source, quantity, revenue, null
+from {item_facts} where seller_id like 'PH.%'
 """,
 }
+SPARK_VIEWS = set(VIEWS) - {"platform_read", "export_facts", "item_facts", "switched_facts"}
 
 _NAME = re.compile(r"\{(\w+)\}")
 
