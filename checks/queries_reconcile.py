@@ -36,7 +36,7 @@ PERIOD = {
 
 def _two_sided_sql(granularity: str) -> str:
     def side(view: str) -> str:
-        sums = ", ".join(f"sum({m}) as {m}" for m in METRICS)
+        sums = ", ".join(f"cast(sum({m}) as decimal(38,6)) as {m}" for m in METRICS)
         return f"select seller_id, {PERIOD[granularity]} as period, {sums} from {{{view}}} group by 1, 2"
 
     def metric(m: str) -> str:
@@ -116,7 +116,7 @@ union all select 'Column_Mapping', count(*) from {{export_specs}}
 union all select 'Errors', (select count(*) from {{platform_day}} where orders > 2)
   + (select count(*) from {{export_specs}} where platform_sheet is null)
 union all select 'Platform_Duplicates', 0 union all select 'DB_Duplicates', 0
-""".replace('{platform_day}', '{platform_day}'), name="report_bundle")
+""")
 def report_bundle(d: CheckData) -> DataFrame:
     bundle = run_two_file(
         d.grid, d.specs, d.db_grid, guess_specs(d.db_grid), new_folder(d.spark, "two-file")
@@ -126,7 +126,10 @@ def report_bundle(d: CheckData) -> DataFrame:
 
 # ---- by source -------------------------------------------------------------------------------
 
-FACT_SUMS = ", ".join(f"sum(coalesce({m}, 0)) as {m}" for m in ("quantity", "revenue", "page_view"))
+FACT_SUMS = ", ".join(f"cast(sum(coalesce({m}, 0)) as decimal(38,6)) as {m}" for m in ("quantity", "revenue", "page_view"))
+
+
+P_SUMS = ", ".join(f"cast(sum({m}) as decimal(38,6)) as {m}" for m in METRICS)
 
 
 def _ctes(granularity: str, platform: str = "platform_day", facts: str = "export_facts") -> str:
@@ -142,8 +145,7 @@ def _ctes(granularity: str, platform: str = "platform_day", facts: str = "export
 from src where data_type like '%{"traffic" if m == "page_view" else "sales"}'"""
         for m in iv.METRICS
     )
-    return f"""p as (select seller_id, {period} as period, sum(quantity) as quantity, sum(revenue) as revenue,
-  sum(page_view) as page_view, sum(orders) as orders from {{{platform}}} group by 1, 2),
+    return f"""p as (select seller_id, {period} as period, {P_SUMS} from {{{platform}}} group by 1, 2),
 src as (select seller_id, {period} as period, data_level, data_type, query_source_table, source, {FACT_SUMS}
   from {{{facts}}} group by 1, 2, 3, 4, 5, 6),
 cells as ({cells}),

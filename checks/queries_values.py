@@ -14,9 +14,8 @@ from tallyframe.sources import files
 from .data import CheckData
 from .registry import CUTOVER, query
 
-SPACES = (
-    r"[\s\x{000b}\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
-)
+# White space beyond ASCII, spelled out because the SQL pattern knows ASCII only.
+SPACES = r"[\s" + "\u000b\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000" + "]+"
 
 
 @query(f"""

@@ -1,8 +1,9 @@
 """Dates out of messy cells, and the period labels built from them.
 
-The parser sorts a cell into one of a few shapes with regular expressions and
-casts the re-ordered parts. A failed ``try_cast`` is just a null, so nothing
-throws and everything stays inside generated code.
+The parser is a chain of anchored rewrites. Each turns one shape of date into
+year, month and day in the preferred order and leaves any other text alone, so
+the chain is one nested expression without branches. The result is then cast;
+a failed ``try_cast`` is just a null, so nothing throws.
 """
 
 from __future__ import annotations
@@ -14,50 +15,42 @@ from pyspark.sql import functions as F
 
 from .text import clean
 
-DATE_LIKE = r"\d{1,4}[./-]\d{1,2}[./-]\d{1,4}"
+# Digits are matched possessively: a date is never cut short to make room for a second one.
+DATE_LIKE = r"\d{1,4}+[./-]\d{1,2}+[./-]\d{1,4}+"
+DATE_RANGE = rf"{DATE_LIKE}.*?{DATE_LIKE}"
 
 _CLOCK = (
     r"(?:[T ]+(?:[01]?\d|2[0-3]):[0-5]?\d(?::[0-5]?\d(?:\.\d+)?)?"
-    r"(?: ?[AaPp][Mm])?(?: ?(?:Z|[+-]\d{2}:?\d{2}))?)?"
+    r"(?: ?[AaPp][Mm])?(?: ?(?:Z|[+-]\d{2}:?\d{2}))?)?(?: -)?"
 )
 _MONTH = (
-    r"((?i:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?"
-    r"|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?))"
+    r"((?i:jan(?=u|\b)|feb(?=r|\b)|mar(?=c|\b)|apr(?=i|\b)|may\b|jun(?=e|\b)|jul(?=y|\b)"
+    r"|aug(?=u|\b)|sep(?=t|\b)|oct(?=o|\b)|nov(?=e|\b)|dec(?=e|\b)))[A-Za-z]*\.?"
 )
-_BARE_SLASH = r"^\d{1,2}/\d{1,2}/\d{4}$"
-_YEAR_FIRST = rf"^(\d{{4}})[-/.](\d{{1,2}})[-/.](\d{{1,2}}){_CLOCK}$"
-_YEAR_LAST = rf"^(\d{{1,2}})[-/.](\d{{1,2}})[-/.](\d{{4}}|\d{{2}}){_CLOCK}$"
-_COMPACT = r"^(\d{4})(\d{2})(\d{2})$"
-_DAY_NAME = rf"^(\d{{1,2}})[ -]{_MONTH}\.?[ ,-]+(\d{{4}}){_CLOCK}$"
-_NAME_DAY = rf"^{_MONTH}\.? (\d{{1,2}}),? (\d{{4}}){_CLOCK}$"
-_NAME_YEAR = rf"^{_MONTH}\.?[ -](\d{{4}})$"
-_YEAR_MONTH = r"^(\d{4})[-/.](\d{1,2})$"
-_MONTH_YEAR = r"^(\d{1,2})[-/.](\d{4})$"
-_YEAR = r"^(\d{4})$"
-
-# Two-digit years up to this one are 20xx, later ones 19xx.
-CENTURY_PIVOT = 75
-
-
-def _date(year: Column, month: Column, day: Column) -> Column:
-    return F.concat_ws("-", year, month, day).try_cast("date")
-
-
-def _full_year(year: Column) -> Column:
-    short = F.when(year.try_cast("int") <= CENTURY_PIVOT, F.concat(F.lit("20"), year))
-    return F.when(F.length(year) == 4, year).otherwise(
-        short.otherwise(F.concat(F.lit("19"), year))
-    )
-
-
-def _month_number(name: Column) -> Column:
-    at = F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), F.lower(F.substring(name, 1, 3)))
-    return ((at + 2) / 3).cast("int").cast("string")
+# Shape and its rewrite, in order. With slashes month and day may be swapped if
+# the preferred order is no date; with dashes the order is certain. Two-digit
+# years up to 75 are 20xx, later ones 19xx.
+_REWRITES = (
+    (rf"^.*?({DATE_LIKE}).*?{DATE_LIKE}.*$", "$1"),
+    (r"^(\d{1,2})/(\d{1,2})/(\d{4})$", "$3/$2/$1"),
+    (rf"^(\d{{4}})[-/.](\d{{1,2}})[-/.](\d{{1,2}}){_CLOCK}$", "$1/$2/$3"),
+    (rf"^(\d{{1,2}})[-/.](\d{{1,2}})[-/.](\d{{4}}|\d{{2}}){_CLOCK}$", "$3/$1/$2"),
+    (r"^([0-6]\d|7[0-5])/(\d{1,2}/\d{1,2})$", "20$1/$2"),
+    (r"^(\d\d)/(\d{1,2}/\d{1,2})$", "19$1/$2"),
+    (r"^(\d{4})(\d{2})(\d{2})$", "$1/$2/$3"),
+    (rf"^(\d{{1,2}})[ -]{_MONTH}[ ,-]+(\d{{4}}){_CLOCK}$", "$3-$2-$1"),
+    (rf"^{_MONTH} (\d{{1,2}}),? (\d{{4}}){_CLOCK}$", "$3-$1-$2"),
+    (rf"^{_MONTH}[ -](\d{{4}})$", "$2-$1-1"),
+    (r"^(\d{4})[-/.](\d{1,2})$", "$1-$2-1"),
+    (r"^(\d{1,2})[-/.](\d{4})$", "$2-$1-1"),
+    (r"^(\d{4})$", "$1-1-1"),
+)
+_ORDERED = r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})$"
 
 
 def is_date_range(c: Column) -> Column:
     """True when a cell holds two or more dates, such as ``01/05/2026 - 07/05/2026``."""
-    return F.size(F.regexp_extract_all(clean(c), F.lit(DATE_LIKE), F.lit(0))) >= 2
+    return clean(c).rlike(DATE_RANGE)
 
 
 def parse_day(c: Column) -> Column:
@@ -66,34 +59,13 @@ def parse_day(c: Column) -> Column:
     A bare ``d/d/yyyy`` reads day first, then month first; every other shape
     reads month first, then day first. A range reads as its first date.
     """
-    cell = clean(c)
-    hits = F.regexp_extract_all(cell, F.lit(DATE_LIKE), F.lit(0))
-    text = F.when(F.size(hits) >= 2, F.get(hits, F.lit(0))).otherwise(cell)
-
-    def part(pattern: str, group: int) -> Column:
-        return F.regexp_extract(text, pattern, group)
-
-    one = F.lit("1")
-    y1, a1, b1 = (part(_YEAR_FIRST, i) for i in (1, 2, 3))
-    a2, b2, y2 = part(_YEAR_LAST, 1), part(_YEAR_LAST, 2), _full_year(part(_YEAR_LAST, 3))
-    shapes = [
-        (_YEAR_FIRST, [_date(y1, a1, b1), _date(y1, b1, a1)]),
-        (_BARE_SLASH, [_date(y2, b2, a2), _date(y2, a2, b2)]),
-        (_YEAR_LAST, [_date(y2, a2, b2), _date(y2, b2, a2)]),
-        (_COMPACT, [_date(*(part(_COMPACT, i) for i in (1, 2, 3)))]),
-        (_DAY_NAME, [_date(part(_DAY_NAME, 3), _month_number(part(_DAY_NAME, 2)), part(_DAY_NAME, 1))]),
-        (_NAME_DAY, [_date(part(_NAME_DAY, 3), _month_number(part(_NAME_DAY, 1)), part(_NAME_DAY, 2))]),
-        (_NAME_YEAR, [_date(part(_NAME_YEAR, 2), _month_number(part(_NAME_YEAR, 1)), one)]),
-        (_YEAR_MONTH, [_date(part(_YEAR_MONTH, 1), part(_YEAR_MONTH, 2), one)]),
-        (_MONTH_YEAR, [_date(part(_MONTH_YEAR, 2), part(_MONTH_YEAR, 1), one)]),
-        (_YEAR, [_date(part(_YEAR, 1), one, one)]),
-    ]
-
-    def branch(chain, shape):
-        pattern, readings = shape
-        return chain.when(text.rlike(pattern), F.coalesce(*readings))
-
-    return reduce(branch, shapes[1:], F.when(text.rlike(shapes[0][0]), F.coalesce(*shapes[0][1])))
+    ordered = reduce(lambda t, rule: F.regexp_replace(t, *rule), _REWRITES, clean(c))
+    preferred = F.regexp_replace(ordered, _ORDERED, "$1-$2-$3").try_cast("date")
+    swapped = F.regexp_replace(ordered, r"^(\d{4})/(\d{1,2})/(\d{1,2})$", "$1-$3-$2").try_cast("date")
+    named = F.try_to_date(F.initcap(ordered), "yyyy-MMM-d")
+    return F.when(
+        ordered.rlike(_ORDERED), F.coalesce(preferred, swapped)
+    ).otherwise(F.when(ordered.rlike("-[A-Za-z]{3}-"), named))
 
 
 def period_label(day: Column, granularity: str) -> Column:

@@ -11,16 +11,13 @@ from decimal import Decimal
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import clean
-
 NUMBER = "decimal(24,6)"
-_EMPTY = ("", "-", ".", "-.")
 
 
 def parse_number(c: Column) -> Column:
     """Keep digits, dot and minus. Blank reads 0, malformed text reads null."""
-    kept = F.regexp_replace(clean(c), r"[^0-9.\-]", "")
-    return F.when(kept.isin(*_EMPTY), F.lit(0).cast(NUMBER)).otherwise(kept.try_cast(NUMBER))
+    kept = F.regexp_replace(F.coalesce(c, F.lit("")), r"[^0-9.\-]+", "")
+    return F.regexp_replace(kept, r"^-?\.?$", "0").try_cast(NUMBER)
 
 
 def coerce(c: Column) -> Column:

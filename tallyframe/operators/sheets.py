@@ -189,22 +189,26 @@ def parsed_rows(
     """Typed rows of the usable sheets, including those that failed to parse."""
     given = F.trim(F.coalesce("seller_id", F.lit("")))
     seller = F.when(given != "", given).otherwise(clean(_cell("seller_id")))
-    malformed = [
-        F.when(_has(m) & parse_number(_cell(m)).isNull(), F.lit(m))
-        for m in config.metrics
-    ]
-    rows = kept_rows(data_rows(grid, sheets.where(usable(config))), granularity)
-    return rows.select(
-        F.col("file").alias("file_name"), "marketplace", F.col("sheet").alias("source_sheet"),
-        "row_idx", seller.alias("seller_id"),
+    parsed = F.struct(
+        seller.alias("seller_id"),
         parse_day(_cell("date")).alias("day"),
         clean(_cell("date")).alias("date_text"),
-        F.coalesce(*malformed).alias("malformed"),
-        *(
-            F.when(_has(m), parse_number(_cell(m))).alias(m)
-            for m in config.metrics
-        ),
-    ).withColumn("period", period_label(F.col("day"), granularity))
+        *(F.when(_has(m), parse_number(_cell(m))).alias(m) for m in config.metrics),
+    )
+    # As a generator the parsed values are computed once: filters on them are not
+    # pushed below it, where they would repeat the whole parser.
+    rows = kept_rows(data_rows(grid, sheets.where(usable(config))), granularity).select(
+        F.col("file").alias("file_name"), "marketplace", F.col("sheet").alias("source_sheet"),
+        "row_idx", "positions", F.explode(F.array(parsed)).alias("parsed"),
+    )
+    malformed = F.coalesce(
+        *(F.when(_has(m) & F.col(f"parsed.{m}").isNull(), F.lit(m)) for m in config.metrics)
+    )
+    return rows.select(
+        "file_name", "marketplace", "source_sheet", "row_idx", "parsed.*",
+        malformed.alias("malformed"),
+        period_label(F.col("parsed.day"), granularity).alias("period"),
+    )
 
 
 def normalized(parsed: DataFrame, config: MetricConfig = DEFAULT) -> DataFrame:
