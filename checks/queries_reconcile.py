@@ -34,7 +34,7 @@ PERIOD = {
 # ---- two-sided -------------------------------------------------------------------------------
 
 
-def _two_sided_sql(granularity: str) -> str:
+def _two_sided_sql(granularity: str, platform: str = "platform_day") -> str:
     def side(view: str) -> str:
         sums = ", ".join(f"cast(sum({m}) as decimal(38,6)) as {m}" for m in METRICS)
         return f"select seller_id, {PERIOD[granularity]} as period, {sums} from {{{view}}} group by 1, 2"
@@ -45,7 +45,7 @@ def _two_sided_sql(granularity: str) -> str:
   coalesce(p.{m}, 0) as pv, coalesce(d.{m}, 0) as dv
 from p full outer join d on p.seller_id is not distinct from d.seller_id and p.period = d.period"""
 
-    return f"""with p as ({side("platform_day")}), d as ({side("db_day")})
+    return f"""with p as ({side(platform)}), d as ({side("db_day")})
 select seller_id, period, metric, cast(pv as double) as platform_value, cast(dv as double) as db_value,
   cast(dv - pv as double) as diff_db_minus_platform,
   case when pv <> 0 then cast(dv - pv as double) / cast(pv as double) when dv = 0 then 0.0::double else 1.0::double end as diff_pct,
@@ -108,8 +108,10 @@ def tolerance_by_metric(d: CheckData) -> DataFrame:
 
 
 @query(f"""
-with c as ({_two_sided_sql("day")})
+with c as ({_two_sided_sql("day", "platform_read")})
 select 'Comparison' as table_name, count(*) as row_count from c
+union all select 'Summary', count(distinct status) from c
+union all select 'Preview', least(count(*), 300) from c
 union all select 'DB_Normalized', count(*) from {{db_day}}
 union all select 'Platform_Normalized', count(*) from {{platform_read}}
 union all select 'Column_Mapping', count(*) from {{export_specs}}
@@ -249,9 +251,9 @@ def duplicate_source(d: CheckData) -> DataFrame:
     return iv.duplicate_source(_by_source(d, "day"))
 
 
-@query(f"""with {_ctes('day')} select status, data_type, metric, count(*) as n, sum(diff_db_minus_platform) as diff
+@query(f"""with {_ctes('day')} select status, data_type, metric, count(*) as n, cast(sum(diff_db_minus_platform) as double) as diff
 from (select status, data_type, metric, cast(diff_db_minus_platform as decimal(38,6)) as diff_db_minus_platform from detail) t
-group by 1, 2, 3""".replace("sum(diff_db_minus_platform) as diff", "cast(sum(diff_db_minus_platform) as double) as diff"))
+group by 1, 2, 3""")
 def status_by_day(d: CheckData) -> DataFrame:
     return _detail(d, "day").groupBy("status", "data_type", "metric").agg(
         F.count("*").alias("n"), F.sum("diff_db_minus_platform").alias("diff")

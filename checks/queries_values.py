@@ -250,7 +250,7 @@ def dim_chain(d: CheckData) -> DataFrame:
 
 
 @query("""
-select case when abs(b - a) <= 1 then true when a <> 0 then abs(b - a) <= 0.05 * abs(a) else b = 0 end as within,
+select case when abs(b - a) <= 1 then true when a <> 0 then 20 * abs(b - a) <= abs(a) else b = 0 end as within,
   count(*) as n
 from (select sum(quantity) as a, sum(case when source = 'crawl' then 0 else quantity end) as b
   from {ecommerce_export_seller_sales} group by seller, day) t
