@@ -11,6 +11,7 @@ from tallyframe.sources.warehouse import Warehouse
 from .views import SPARK_VIEWS, VIEWS, inputs
 
 _KEPT: dict[tuple[str, str, str], DataFrame] = {}
+_WAREHOUSES: dict[tuple[str, str], Warehouse] = {}
 # Derived once per session and written out, as a warehouse would hold them.
 _LAZY = {"lines", "collected"}
 
@@ -32,7 +33,10 @@ class CheckData:
 
     @property
     def warehouse(self) -> Warehouse:
-        return Warehouse(self.table)
+        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if key not in _WAREHOUSES:
+            _WAREHOUSES[key] = Warehouse(self.table)
+        return _WAREHOUSES[key]
 
     @property
     def sellers(self) -> DataFrame:

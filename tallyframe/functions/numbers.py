@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NUMBER = "decimal(24,6)"
+MEASURE = "decimal(38,6)"
 
 
 def parse_number(c: Column) -> Column:
@@ -36,19 +37,23 @@ def ratio(part: Column, whole: Column, other: Column) -> Column:
     )
 
 
-def by_metric(metric: Column, values: dict[str, Decimal]) -> Column:
+def by_metric(metric: Column, values: dict[str, Decimal], kind: str) -> Column:
     """Look a per-metric constant up; a single shared value needs no lookup."""
     distinct = set(values.values())
     if len(distinct) <= 1:
-        return F.lit(distinct.pop() if distinct else Decimal(0))
+        return F.lit(str(distinct.pop() if distinct else 0)).cast(kind)
     pairs = [F.lit(item) for name, value in values.items() for item in (name, str(value))]
-    return F.element_at(F.create_map(*pairs), metric).cast("decimal(18,9)")
+    return F.element_at(F.create_map(*pairs), metric).cast(kind)
 
 
 def within_tolerance(left: Column, right: Column, tol_abs: Column, tol_pct: Column) -> Column:
-    """``|right-left|`` within the absolute or the relative tolerance of ``left``."""
-    gap = F.abs(right - left)
-    relative = F.when(left != 0, gap <= tol_pct * F.abs(left)).otherwise(
-        F.when(right == 0, tol_pct >= 0).otherwise(tol_pct >= 1)
+    """``|right-left|`` within the absolute or the relative tolerance of ``left``.
+
+    Both sides are brought to one decimal type first: compared as they are, two
+    very wide decimals of different scale would be rounded to whole numbers.
+    """
+    left, right = left.cast(MEASURE), right.cast(MEASURE)
+    gap = right - left
+    return (F.abs(gap) <= tol_abs.cast(MEASURE)) | (
+        F.abs(ratio(gap, left, right)) <= tol_pct.cast("double")
     )
-    return (gap <= tol_abs) | relative

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, MetricConfig
-from ..functions.numbers import by_metric, ratio, within_tolerance, zero_if_null
+from ..functions.numbers import MEASURE, by_metric, ratio, within_tolerance, zero_if_null
 
 KEY = ("seller_id", "period")
 STATUSES = ("match", "mismatch", "missing_in_db", "missing_in_platform", "suspicious_extra_source")
@@ -28,7 +28,7 @@ def duplicate_keys(rows: DataFrame) -> DataFrame:
 
 
 def tolerances(metric: Column, config: MetricConfig) -> tuple[Column, Column]:
-    return by_metric(metric, config.tolerance_abs), by_metric(metric, config.tolerance_pct)
+    return by_metric(metric, config.tolerance_abs, MEASURE), by_metric(metric, config.tolerance_pct, "double")
 
 
 def long_form(metrics: Sequence[str], **columns: str) -> Column:
@@ -60,7 +60,7 @@ def compare_two_sided(
     def side(rows: DataFrame, name: str) -> DataFrame:
         def value(metric: str, owner: str) -> Column:
             cell = F.col(metric) if owner == name else F.lit(None)
-            return cell.cast("decimal(38,6)").alias(f"{owner}_{metric}")
+            return cell.cast(MEASURE).alias(f"{owner}_{metric}")
 
         return rows.select(
             *KEY,

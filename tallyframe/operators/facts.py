@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 
 from ..config import LEVELS, one_of
 from ..functions import ids
+from ..functions.numbers import MEASURE
 from ..functions.revenue import daily_item_revenue
 from ..sources import warehouse as wh
+from ..sources.scratch import settle
 from ..sources.warehouse import Warehouse
 
 
@@ -52,7 +54,7 @@ FACT_COLUMNS = (
 )
 FACT_SCHEMA = (
     "data_type string, data_level string, query_source_table string, seller_id string, day date, "
-    "source string, quantity decimal(38,6), revenue decimal(38,6), page_view decimal(38,6)"
+    f"source string, quantity {MEASURE}, revenue {MEASURE}, page_view {MEASURE}"
 )
 NO_SOURCE = "NULL_SOURCE"
 
@@ -70,7 +72,7 @@ class Sellers:
     def __init__(self, spark: SparkSession, sellers: DataFrame | Iterable[str]):
         if isinstance(sellers, DataFrame):
             self.listed: list[str] | None = None
-            self.frame = sellers.select("seller_id").where("seller_id is not null").distinct()
+            self.frame = sellers.select("seller_id").where("seller_id is not null")
         else:
             self.listed = sorted({s.strip() for s in sellers if s and s.strip()})
             if not self.listed:
@@ -115,10 +117,51 @@ def sku_owners(warehouse: Warehouse) -> DataFrame:
     )
 
 
+def _unusual_owners(warehouse: Warehouse) -> DataFrame:
+    owners = sku_owners(warehouse).where("fk_sku_used_id is not null")
+    derived = F.coalesce(
+        F.col("registered_seller") == ids.seller_prefix(F.col("fk_sku_used_id")), F.lit(True)
+    )
+    unusual = (
+        owners.groupBy("fk_sku_used_id")
+        .agg(F.count("*").alias("copies"), F.bool_and(derived).alias("derived"))
+        .where("copies > 1 or not derived")
+    )
+    return settle(owners.join(unusual, "fk_sku_used_id", "left_semi"), "unusual-owners")
+
+
+def unusual_owners(warehouse: Warehouse) -> DataFrame:
+    """Registry rows that say more than the SKU id itself.
+
+    A SKU registered once, to the seller its id begins with, changes nothing:
+    that seller is found from the id. Only the other SKUs have to be joined to
+    the facts. The registry is small next to the facts, so it is worth a pass
+    of its own; its outcome is written out, and facts are shuffled by SKU only
+    if it turns out too large to broadcast.
+    """
+    return warehouse.derived("unusual-owners", lambda: _unusual_owners(warehouse))
+
+
 def with_owner(rows: DataFrame, warehouse: Warehouse) -> DataFrame:
+    """Rows with their registered seller, null where the registry has none."""
     return rows.join(sku_owners(warehouse), "fk_sku_used_id", "left")
 
 
+def with_unusual_owner(rows: DataFrame, warehouse: Warehouse) -> DataFrame:
+    """Rows with the registered seller if it cannot be told from the SKU id."""
+    return rows.join(unusual_owners(warehouse), "fk_sku_used_id", "left")
+
+
+def items_with_owner(rows: DataFrame, warehouse: Warehouse) -> DataFrame:
+    """Item rows with the owner where it matters.
+
+    A row that names its seller has its marketplace; one that does not takes it
+    from the registry, so those rows need the whole registry.
+    """
+    named = with_unusual_owner(rows.where("seller_used_id is not null"), warehouse)
+    return named.unionByName(with_owner(rows.where("seller_used_id is null"), warehouse))
+
+
 def between_days(rows: DataFrame, start: str, end: str) -> DataFrame:
     """Closed range on the raw column, so that the scan can skip row groups."""
     return rows.where(F.col("day").between(F.to_date(F.lit(start)), F.to_date(F.lit(end))))
@@ -160,7 +203,8 @@ def matched_flow(
     every SKU of a shop, so summing by them first leaves about one row per
     (shop, day, source); only those are exploded into candidates and joined.
     """
-    rows = with_owner(between_days(warehouse.table(flow.table), start, end), warehouse)
+    owned = items_with_owner if flow.from_items else with_unusual_owner
+    rows = owned(between_days(warehouse.table(flow.table), start, end), warehouse)
     sku_id = F.col("fk_sku_used_id")
     named = {"registered": F.col("registered_seller"), "prefix": ids.seller_prefix(sku_id)}
     if flow.from_items:
@@ -210,7 +254,7 @@ def labelled(sums: DataFrame, flows: Sequence[Flow]) -> DataFrame:
         )
     )
     metrics = [
-        (F.col(m) if m in sums.columns else F.lit(None)).cast("decimal(38,6)").alias(m)
+        (F.col(m) if m in sums.columns else F.lit(None)).cast(MEASURE).alias(m)
         for m in METRICS
     ]
     return sums.select(label.alias("label"), "seller_id", "day", "source", *metrics).select(

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, LEVELS, MetricConfig, one_of
 from ..functions.dates import period_label
-from ..functions.numbers import ratio, within_tolerance, zero_if_null
+from ..functions.numbers import MEASURE, ratio, within_tolerance, zero_if_null
 from ..functions.text import joined
 from .compare import KEY, aggregate, tolerances
 
@@ -78,7 +78,7 @@ def platform_cells(platform: DataFrame, metrics: Sequence[str], level: str | Non
                     F.lit(lv).alias("data_level"),
                     F.lit(dt).alias("data_type"),
                     F.lit(m).alias("metric"),
-                    F.col(m).cast("decimal(38,6)").alias("platform_value"),
+                    F.col(m).cast(MEASURE).alias("platform_value"),
                 )
                 for lv, dt, carried in expected_cells(level)
                 for m in carried
@@ -88,7 +88,7 @@ def platform_cells(platform: DataFrame, metrics: Sequence[str], level: str | Non
     )
     orders = F.col(ORDERS) if has_orders else F.lit(None)
     return sums.select(
-        *KEY, orders.cast("decimal(38,6)").alias("platform_orders"),
+        *KEY, orders.cast(MEASURE).alias("platform_orders"),
         F.lit(has_orders).alias("platform_orders_available"), cells.alias("cell"),
     ).select(*KEY, "cell.*", "platform_orders", "platform_orders_available")
 
@@ -110,7 +110,7 @@ def db_by_source(facts: DataFrame, granularity: str, level: str | None = "both")
     rows = with_period(at_level(facts, level), granularity)
     for metric in METRICS:
         value = F.col(metric) if metric in facts.columns else F.lit(0)
-        rows = rows.withColumn(metric, value.try_cast("decimal(38,6)"))
+        rows = rows.withColumn(metric, value.try_cast(MEASURE))
     sums = (zero_if_null(F.sum(m)).alias(m) for m in METRICS)
     return rows.groupBy(*CELL, "query_source_table", "source").agg(*sums)
 

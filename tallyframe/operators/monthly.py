@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..functions.dates import month_start
-from ..functions.numbers import zero_if_null
+from ..functions.numbers import MEASURE, zero_if_null
 from ..functions.revenue import MONTHLY_CUTOVER, monthly_item_revenue
 from ..sources import warehouse as wh
 from ..sources.warehouse import Warehouse
-from .facts import Sellers, with_owner
+from .facts import Sellers, with_unusual_owner
 
 SOURCES = ("item", "export_sku_sale", "export_sku_traffic")
 KEY = ("company", "country", "marketplace", "seller_id", "year_month")
@@ -48,8 +48,8 @@ def _shape(sums: DataFrame, source: str, company: str) -> DataFrame:
             F.lit(None).cast("string").alias(name)
             for name in ("mapping_check", "has_finace", "component_number", "cancel_not_cancel")
         ),
-        measure("sum_quantity", "decimal(38,6)"),
-        measure("sum_revenue", "decimal(38,6)"),
+        measure("sum_quantity", MEASURE),
+        measure("sum_revenue", MEASURE),
         measure("page_view", "bigint"),
         measure("product_impression", "bigint"),
     )
@@ -85,7 +85,8 @@ def item_facts(
 def _by_resolved_seller(
     warehouse: Warehouse, table: str, sellers: Sellers, first: str, last: str | None, sums: list[Column]
 ) -> DataFrame:
-    rows = with_owner(in_months(warehouse.table(table), first, last), warehouse)
+    # A usual owner is the seller prefix, which is what a missing owner resolves to.
+    rows = with_unusual_owner(in_months(warehouse.table(table), first, last), warehouse)
     seller = ids.resolved_seller(F.col("registered_seller"), F.col("fk_sku_used_id"))
     early = sellers.early(seller)
     rows = rows if early is None else rows.where(early)

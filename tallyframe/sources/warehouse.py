@@ -22,17 +22,24 @@ CONNECT_TIMEOUT_SECONDS = 20
 
 
 class Warehouse:
-    """Resolves a table name to a DataFrame on first use."""
+    """Resolves a table name to a DataFrame on first use. One instance is one snapshot."""
 
     def __init__(self, resolve: Callable[[str], DataFrame]):
         self._resolve = resolve
         self._tables: dict[str, DataFrame] = {}
+        self._derived: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
         if name not in self._tables:
             self._tables[name] = self._resolve(name)
         return self._tables[name]
 
+    def derived(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A table computed from the dimensions, made once per instance."""
+        if name not in self._derived:
+            self._derived[name] = make()
+        return self._derived[name]
+
     @classmethod
     def from_frames(cls, frames: Mapping[str, DataFrame]) -> Warehouse:
         return cls(frames.__getitem__)
