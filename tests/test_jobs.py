@@ -1,0 +1,173 @@
+"""The jobs end to end on small inputs."""
+
+import glob
+import os
+from datetime import date
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+from tallyframe.plans.batch import run_batch
+from tallyframe.plans.direct import run_direct
+from tallyframe.plans.monthly import check_params, run_monthly, run_single_month
+from tallyframe.plans.two_file import run_two_file
+from tallyframe.sources.files import FileSpec, read_files, spec_table
+from tallyframe.sources.warehouse import Warehouse
+
+SELLER = "TH.SHP.1"
+EXPORT = """Date,Gross Units Sold,Gross Sales (Local Currency),Product Views,Orders
+01/05/2026,10,100,7,3
+02/05/2026,5,50,4,2
+03/05/2026,1,1.2.3,1,1
+04/06/2026,9,90,9,9
+"""
+DB_EXPORT = """seller,day,total_quantity,revenue_local,total_page_view
+TH.SHP.1,2026-05-01,10,100,7
+TH.SHP.1,2026-05-02,6,50,4
+TH.SHP.1,2026-05-09,6,50,4
+TH.SHP.1,2026-05-09,1,5,4
+"""
+
+
+@pytest.fixture(scope="module")
+def warehouse(spark):
+    days = [date(2026, 5, 1), date(2026, 5, 2)]
+    sales = [(SELLER, days[0], "api", 10, 100), (SELLER, days[0], "crawl", 10, 1), (SELLER, days[1], "api", 4, 50)]
+    sku = [(f"{SELLER}.a", d, s, q, Decimal(r)) for _, d, s, q, r in sales]
+    views = [(f"{SELLER}.a", days[0], "api", 7), (f"{SELLER}.a", days[1], None, 4)]
+    frames = {
+        "ecommerce_export_seller_sales": spark.createDataFrame(
+            sales, "seller string, day date, source string, quantity bigint, revenue bigint"
+        ),
+        "ecommerce_export_seller_traffic": spark.createDataFrame(
+            [(f"{SELLER}.shop", d, s, v) for _, d, s, v in views], "fk_seller_used_id string, day date, source string, page_view bigint"
+        ),
+        "ecommerce_export_sku_sales": spark.createDataFrame(
+            sku, "fk_sku_used_id string, day date, source string, quantity bigint, s_onsite_selling decimal(18,2)"
+        ),
+        "ecommerce_export_sku_traffic": spark.createDataFrame(
+            views, "fk_sku_used_id string, day date, source string, page_view bigint"
+        ),
+        "ecommerce_item": spark.createDataFrame(
+            [(f"{SELLER}.a", SELLER, days[0], "api", 10, Decimal(120), Decimal(100), None, None)],
+            "fk_sku_used_id string, seller_used_id string, day date, source string, quantity bigint, s_paid decimal(18,2), "
+            "s_net decimal(18,2), s_onsite_selling decimal(18,2), s_seller_selling decimal(18,2)",
+        ),
+        "ecommerce_sku": spark.createDataFrame([], "used_id string, fk_seller_id bigint"),
+        "ecommerce_seller": spark.createDataFrame([(1, SELLER)], "id bigint, used_id string"),
+    }
+    return Warehouse.from_frames(frames)
+
+
+def write(folder, name, text):
+    with open(f"{folder}/{name}", "w") as handle:
+        handle.write(text)
+
+
+def test_batch_check(spark, warehouse, folder):
+    write(folder, "a.csv", EXPORT)
+    write(folder, "b.pdf", "x")
+    grid, errors = read_files(spark, [folder])
+    specs = spec_table(spark, [FileSpec("a.csv", SELLER, "SHP"), FileSpec("b.pdf", "TH.SHP.2", "SHP")])
+    bundle = run_batch(
+        warehouse, grid, specs, "2026-05-01", "2026-05-31", f"{folder}/out", read_errors=errors, csv=True
+    )
+    detail = {(r.period, r.data_type, r.metric): r for r in bundle.table("Comparison").collect()}
+    assert len(detail) == 3 * 6
+    assert detail["2026-05-01", "seller_sales", "quantity"].status == "suspicious_extra_source"
+    assert detail["2026-05-01", "seller_sales", "revenue"].matching_source_alone == "api"
+    assert detail["2026-05-02", "sku_sales", "quantity"].status == "mismatch"
+    assert detail["2026-05-02", "sku_traffic", "page_view"].status == "match"
+    # Days outside the range stay in and have no facts.
+    assert detail["2026-06-04", "seller_sales", "quantity"].status == "missing_in_db"
+    counts = {r.table_name: r.row_count for r in bundle.manifest().collect()}
+    assert counts["Matched"] + counts["Wrong_Data_Detail"] == 18 == counts["Comparison"]
+    assert counts["Source_Investigation"] == counts["Source_Check_Detail"]
+    assert counts["Per_Seller"] == counts["Wrong_Data_Detail"] and counts["Raw_Platform_Normalized"] == 3
+    problems = {(r.file, r.reason) for r in bundle.table("Errors").collect()}
+    assert problems == {
+        ("a.csv", "malformed_number:revenue"), ("b.pdf", "unsupported file type .pdf"), ("b.pdf", "no_readable_sheet"),
+    }
+    audit = {(r.seller_id, r.query_source_table): r.row_count for r in bundle.table("DB_Query_Debug").collect()}
+    assert audit[SELLER, "seller_sales"] == 3 and audit["TH.SHP.2", "sku_traffic"] == 0 and len(audit) == 8
+    assert glob.glob(f"{bundle.path}/csv/Summary/*.csv")
+    folders = {p.rsplit("/", 1)[1] for p in glob.glob(f"{bundle.path}/Comparison/status=*")}
+    assert "status=match" in folders
+
+
+def test_batch_clipped_and_weekly(spark, warehouse, folder):
+    write(folder, "a.csv", EXPORT)
+    grid, _ = read_files(spark, [folder])
+    specs = spec_table(spark, [FileSpec("a.csv", SELLER, "SHP", use_item_sales=True)])
+    bundle = run_batch(
+        warehouse, grid, specs, "2026-05-01", "2026-05-31", f"{folder}/out", "seller", "week", clip_to_range=True
+    )
+    detail = {(r.period, r.metric): r for r in bundle.table("Comparison").collect()}
+    week = "2026-04-28/2026-05-04"
+    assert set(detail) == {(week, "quantity"), (week, "revenue"), (week, "page_view")}
+    assert detail[week, "quantity"].query_source_table == "item_seller_sales"
+    assert (detail[week, "page_view"].status, detail[week, "quantity"].db_all_sources) == ("match", 10)
+
+
+def test_two_file_compare(spark, folder):
+    for side, text in (("p", EXPORT), ("d", DB_EXPORT)):
+        write_folder = f"{folder}/{side}"
+        os.makedirs(write_folder)
+        write(write_folder, f"{side}.csv", text)
+    platform, _ = read_files(spark, [f"{folder}/p"])
+    db, _ = read_files(spark, [f"{folder}/d"])
+    bundle = run_two_file(
+        platform, spec_table(spark, [FileSpec("p.csv", SELLER, "SHP")]), db, spec_table(spark, [FileSpec("d.csv")]),
+        f"{folder}/out",
+    )
+    got = {(r.period, r.metric): r.status for r in bundle.table("Comparison").collect()}
+    assert got["2026-05-01", "quantity"] == "match" and got["2026-05-02", "quantity"] == "mismatch"
+    assert got["2026-05-09", "revenue"] == "missing_in_platform" and got["2026-06-04", "revenue"] == "missing_in_db"
+    assert {m for _, m in got} == {"quantity", "revenue", "page_view"}
+    assert [(r.period, r.row_count) for r in bundle.table("DB_Duplicates").collect()] == [("2026-05-09", 2)]
+    assert bundle.table("Platform_Duplicates").count() == 0 and bundle.table("Preview").count() == len(got)
+
+
+def test_direct_query(spark, warehouse, folder):
+    bundle = run_direct(warehouse, spark, [SELLER], "2026-05-01", "2026-05-31", folder, "sales", "seller_sale")
+    assert [(r.quantity, r.revenue) for r in bundle.table("Totals").collect()] == [(24, 151)]
+    assert bundle.table("By_Day").count() == 2 and bundle.table("By_Source").count() == 2
+    assert [r.row_count for r in bundle.table("DB_Query_Debug").collect()] == [3]
+    every = run_direct(warehouse, spark, [SELLER], "2026-05-01", "2026-05-31", folder, level="sku", use_items=True)
+    names = {r.query_source_table for r in every.table("DB_Query_Debug").collect()}
+    assert names == {"item_sku_sales", "sku_traffic"}
+
+
+def test_monthly_check(spark, warehouse, folder):
+    bundle = run_monthly(warehouse, spark, f"{SELLER}; TH.SHP.2", "2026-05-01", folder, company="acme")
+    rows = {r.source: r for r in bundle.table("Monthly_Check").collect()}
+    assert set(rows) == {"item", "export_sku_traffic"}
+    assert (rows["item"].sum_revenue, rows["item"].company, rows["item"].mapping_check) == (100, "acme", None)
+    summary = {r.source: r for r in bundle.table("Summary").collect()}
+    assert (summary["item"].page_view, summary["export_sku_traffic"].page_view) == (0, 11)
+    assert bundle.table("Params").first().seller_ids == f"{SELLER}, TH.SHP.2"
+
+
+def test_single_month_check(spark, warehouse, folder):
+    sql = """select p.seller_id, p.company, count(*) as n from {params} p join {items} i
+        on i.seller_used_id = p.seller_id and i.day >= p.start_date and i.day < p.end_date group by 1, 2"""
+    sellers = spark.createDataFrame([(SELLER,), ("x",)], "seller_id string")
+    bundle = run_single_month(
+        sql, sellers, "content", "2026-05-01", {"items": warehouse.table("ecommerce_item")}, folder, "acme"
+    )
+    assert [tuple(r) for r in bundle.table("Check_Content").collect()] == [(SELLER, "acme", 1)]
+    media = check_params(sellers, "media", "2026-05-01").first()
+    assert (media.start_date, media.tracking_month) == (date(2024, 1, 1), date(2026, 5, 1))
+    with pytest.raises(ValueError):
+        check_params(sellers, "other", "2026-05-01")
+
+
+def test_slices_prune_to_their_folder(spark, folder):
+    from tallyframe.plans.bundle import Bundle
+
+    bundle = Bundle(spark, folder, "r")
+    rows = spark.createDataFrame([("match", 1), ("mismatch", 2)], "status string, n int")
+    detail = bundle.write("Comparison", rows, "status")
+    plan = detail.where(F.col("status") == "match")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(status" in plan
