@@ -1,9 +1,9 @@
 """Dates out of messy cells, and the period labels built from them.
 
-The parser is a chain of anchored rewrites. Each turns one shape of date into
-year, month and day in the preferred order and leaves any other text alone, so
-the chain is one nested expression without branches. The result is then cast;
-a failed ``try_cast`` is just a null, so nothing throws.
+Three plain numbers, by far the most common, are split and cast. Any other text
+goes through a chain of anchored rewrites: each turns one shape of date into
+year, month and day in the preferred order and leaves other text alone. A failed
+``try_cast`` is just a null, so nothing throws.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import clean
+from .text import clean, let
 
 # Digits are matched possessively: a date is never cut short to make room for a second one.
 DATE_LIKE = r"\d{1,4}+[./-]\d{1,2}+[./-]\d{1,4}+"
@@ -45,7 +45,8 @@ _REWRITES = (
     (r"^(\d{1,2})[-/.](\d{4})$", "$2-$1-1"),
     (r"^(\d{4})$", "$1-1-1"),
 )
-_ORDERED = r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})$"
+_ORDERED = r"^\d{4}[-/]\d{1,2}[-/]\d{1,2}$"
+_PLAIN = r"^(?:\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{4})$"
 
 
 def is_date_range(c: Column) -> Column:
@@ -53,19 +54,48 @@ def is_date_range(c: Column) -> Column:
     return clean(c).rlike(DATE_RANGE)
 
 
+def _iso(year: Column, month: Column, day: Column) -> Column:
+    return F.concat_ws("-", year, month, day).try_cast("date")
+
+
+def _plain_date(text: Column) -> Column:
+    """Three numbers with a four-digit year: no rewriting, just their order."""
+
+    def ordered(p: Column) -> Column:
+        a, b, c = (F.get(p, F.lit(i)) for i in range(3))
+        year_first, day_first = F.length(a) == 4, F.contains(text, F.lit("/"))
+        year, last = F.when(year_first, a).otherwise(c), F.when(year_first, c).otherwise(a)
+        # b and the other number: with the year first, or in d/m/yyyy, b is the month.
+        return F.when(
+            year_first | day_first, F.coalesce(_iso(year, b, last), _iso(year, last, b))
+        ).otherwise(F.coalesce(_iso(year, last, b), _iso(year, b, last)))
+
+    return let(F.split(text, "[-/.]"), ordered)
+
+
+def _other_date(text: Column) -> Column:
+    """Every other shape, through the chain of rewrites."""
+
+    def read(ordered: Column) -> Column:
+        def part(n: int) -> Column:
+            return F.split_part(F.translate(ordered, "/", "-"), F.lit("-"), F.lit(n))
+
+        swapped = F.when(F.contains(ordered, F.lit("/")), _iso(part(1), part(3), part(2)))
+        named = F.try_to_date(F.initcap(ordered), "yyyy-MMM-d")
+        return F.when(
+            ordered.rlike(_ORDERED), F.coalesce(_iso(part(1), part(2), part(3)), swapped)
+        ).otherwise(F.when(ordered.rlike("-[A-Za-z]{3}-"), named))
+
+    return let(reduce(lambda t, rule: F.regexp_replace(t, *rule), _REWRITES, text), read)
+
+
 def parse_day(c: Column) -> Column:
     """The calendar day in a text cell, or null.
 
     A bare ``d/d/yyyy`` reads day first, then month first; every other shape
     reads month first, then day first. A range reads as its first date.
     """
-    ordered = reduce(lambda t, rule: F.regexp_replace(t, *rule), _REWRITES, clean(c))
-    preferred = F.regexp_replace(ordered, _ORDERED, "$1-$2-$3").try_cast("date")
-    swapped = F.regexp_replace(ordered, r"^(\d{4})/(\d{1,2})/(\d{1,2})$", "$1-$3-$2").try_cast("date")
-    named = F.try_to_date(F.initcap(ordered), "yyyy-MMM-d")
-    return F.when(
-        ordered.rlike(_ORDERED), F.coalesce(preferred, swapped)
-    ).otherwise(F.when(ordered.rlike("-[A-Za-z]{3}-"), named))
+    return let(clean(c), lambda t: F.when(t.rlike(_PLAIN), _plain_date(t)).otherwise(_other_date(t)))
 
 
 def period_label(day: Column, granularity: str) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ SELLER_IN_FILE = r"(?i)[A-Z]{2}\.(SHP|LAZ|TTK)\.[A-Za-z0-9_-]+"
 MARKETPLACE_IN_SELLER = r"\.(SHP|LAZ|TTK)\."
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Use a costly value several times in ``body`` but compute it once per row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def clean(c: Column) -> Column:
     """Null becomes ``''``; any run of whitespace, NBSP included, one space."""
     return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
@@ -21,7 +28,7 @@ def name_key(c: Column) -> Column:
 
 
 def is_blank(c: Column) -> Column:
-    return clean(c) == ""
+    return ~F.coalesce(c, F.lit("")).rlike(r"(?U)\S")
 
 
 def split_values(c: Column) -> Column:

@@ -130,7 +130,7 @@ def _cell(name: str) -> Column:
 
 def data_rows(grid: DataFrame, sheets: DataFrame) -> DataFrame:
     """Rows below the header with at least one filled cell."""
-    filled = F.exists("cells", lambda c: c.isNotNull() & ~is_blank(c))
+    filled = ~is_blank(F.concat_ws("", "cells"))
     return (
         grid.select(*SHEET, "row_idx", "cells")
         .join(sheets, list(SHEET))
