@@ -10,10 +10,11 @@ from tallyframe.sources.warehouse import Warehouse
 
 from .views import SPARK_VIEWS, VIEWS, inputs
 
+# Views are derived once per session and written out, as a warehouse would hold
+# them. Those in _INLINE are only steps towards others and stay part of the plan.
 _KEPT: dict[tuple[str, str, str], DataFrame] = {}
 _WAREHOUSES: dict[tuple[str, str], Warehouse] = {}
-# Derived once per session and written out, as a warehouse would hold them.
-_LAZY = {"lines", "collected"}
+_INLINE = {"lines", "collected"}
 
 
 class CheckData:
@@ -28,7 +29,7 @@ class CheckData:
             text = VIEWS[name]
             frames = {source: self.table(source) for source in inputs(text)}
             view = self.spark.sql(text, **frames)
-            _KEPT[key] = view if name in _LAZY else settle(view, name)
+            _KEPT[key] = view if name in _INLINE else settle(view, name)
         return _KEPT[key]
 
     @property

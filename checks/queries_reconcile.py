@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 from decimal import Decimal
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from tallyframe.operators import slices as sl
 from tallyframe.plans.batch import run_batch
 from tallyframe.plans.two_file import run_two_file
 from tallyframe.sources.files import guess_specs
-from tallyframe.sources.scratch import new_folder
+from tallyframe.sources.scratch import new_folder, settle
 
 from .data import CheckData
 from .queries_ingest import METRICS
@@ -308,16 +309,20 @@ def per_seller_wrong(d: CheckData) -> DataFrame:
 
 
 @query(f"""with {_ctes('day')}
-select (select count(*) from pairs where source is not null) as source_rows,
-  (select count(*) from (select 1 from src group by seller_id, period, data_level, data_type, query_source_table having count(distinct source) > 1) t) as duplicate_source,
-  (select count(*) from detail) as row_count""")
+select 'source_rows' as counter, count(*) as value from pairs where source is not null
+union all select 'duplicate_source', count(*) from (select 1 from src
+  group by seller_id, period, data_level, data_type, query_source_table having count(distinct source) > 1) t
+union all select 'row_count', count(*) from detail""")
 def report_counters(d: CheckData) -> DataFrame:
-    rows = _rows(d, "day")
-    per_cell = rows.groupBy(*iv.CELL, "metric").agg(F.count_if("seen").alias("sources"))
-    counted = per_cell.agg(F.sum("sources").alias("source_rows"), F.count("*").alias("row_count"))
-    several = iv.duplicate_source(_by_source(d, "day")).agg(F.count("*").alias("duplicate_source"))
-    # Two one-row results side by side.
-    return counted.join(F.broadcast(several), how="full").select("source_rows", "duplicate_source", "row_count")
+    by_source = settle(_by_source(d, "day"), "by-source")
+    rows = iv.source_rows(iv.platform_cells(_typed(d, "platform_day", "day"), list(METRICS)), by_source)
+    counted = {
+        "source_rows": iv.source_check_detail(rows),
+        "duplicate_source": iv.duplicate_source(by_source),
+        "row_count": iv.compare_by_source(rows),
+    }
+    counts = [df.agg(F.lit(name).alias("counter"), F.count("*").alias("value")) for name, df in counted.items()]
+    return reduce(DataFrame.unionByName, counts)
 
 
 # ---- whole jobs ------------------------------------------------------------------------------

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyframe.session import apply_settings
+
 from .data import CheckData
 from .views import duckdb_ctes
 
@@ -24,7 +26,7 @@ class Query:
     sql: str | None
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        return plain(self.build(CheckData(spark, sf_dir)))
+        return plain(self.build(CheckData(apply_settings(spark), sf_dir)))
 
     @property
     def oracle(self) -> str | None:

@@ -1,16 +1,14 @@
 """Platform against database by source: status per cell and the source check.
 
 The platform decides which cells exist: every (seller, period) of it is laid
-out as level x data type x metric. Database facts are summed per source and
+out as level x data type. Database facts are summed per source and
 joined to these cells; the joined rows are the source check, and one more
-aggregation over the same partitioning gives the status of the cell. Sources
-are never collected per key, apart from the ones that match and so belong in
-the output.
+aggregation in the order of that join gives the status of the cell.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,22 +65,28 @@ def expected_grid(platform: DataFrame, level: str | None = "both") -> DataFrame:
 
 
 def platform_cells(platform: DataFrame, metrics: Sequence[str], level: str | None = "both") -> DataFrame:
-    """One row per (seller, period, level, type, metric) with the platform value."""
+    """One row per (seller, period, level, type) with the platform values it carries.
+
+    ``p_<metric>`` is null where the type does not carry the metric or the
+    platform does not have it; such a cell does not exist.
+    """
     has_orders = ORDERS in metrics
     shown = [m for m in METRICS if m in metrics]
     sums = aggregate(platform, [*shown, *([ORDERS] if has_orders else [])])
+
+    def value(metric: str, carried: Sequence[str]) -> Column:
+        found = F.col(metric) if metric in shown and metric in carried else F.lit(None)
+        return found.cast(MEASURE).alias(f"p_{metric}")
+
     cells = F.explode(
         F.array(
             *(
                 F.struct(
                     F.lit(lv).alias("data_level"),
                     F.lit(dt).alias("data_type"),
-                    F.lit(m).alias("metric"),
-                    F.col(m).cast(MEASURE).alias("platform_value"),
+                    *(value(m, carried) for m in METRICS),
                 )
                 for lv, dt, carried in expected_cells(level)
-                for m in carried
-                if m in shown
             )
         )
     )
@@ -138,42 +142,57 @@ def duplicate_source(by_source: DataFrame) -> DataFrame:
     )
 
 
-def source_rows(cells: DataFrame, by_source: DataFrame, config: MetricConfig = DEFAULT) -> DataFrame:
-    """Cells joined to their sources; a cell without any source keeps one empty row."""
+def source_rows(cells: DataFrame, by_source: DataFrame) -> DataFrame:
+    """Cells joined to their sources, all metrics side by side.
 
-    def pairs(metrics: Sequence[str]) -> Column:
-        return F.array(
-            *(F.struct(F.lit(m).alias("metric"), F.col(m).alias("source_value")) for m in metrics)
-        )
+    A cell without any source keeps one row, with ``seen`` null. Metrics are
+    only laid out as rows after the join, so each source is shuffled once.
+    """
+    sources = by_source.select(
+        *CELL, "query_source_table", "source", *(F.col(m).alias(f"s_{m}") for m in METRICS),
+        F.lit(True).alias("seen"),
+    )
+    return cells.join(sources, list(CELL), "left")
 
-    carried = F.when(F.col("data_type").endswith("traffic"), pairs(("page_view",))).otherwise(
-        pairs(("quantity", "revenue"))
+
+def _per_metric(**columns: Callable[[str], Column]) -> Column:
+    """One struct per metric the cell has."""
+    return F.explode(
+        F.array_compact(
+            F.array(
+                *(
+                    F.when(
+                        F.col(f"p_{m}").isNotNull(),
+                        F.struct(
+                            F.lit(m).alias("metric"),
+                            F.col(f"p_{m}").alias("platform_value"),
+                            *(make(m).alias(name) for name, make in columns.items()),
+                        ),
+                    )
+                    for m in METRICS
+                )
+            )
+        )
     )
-    long = by_source.select(
-        *CELL, "query_source_table", "source", F.explode(carried).alias("pair")
-    ).select(*CELL, "query_source_table", "source", "pair.*", F.lit(True).alias("seen"))
-    joined_rows = cells.join(long, [*CELL, "metric"], "left")
-    platform, source = F.col("platform_value"), F.col("source_value")
-    match = within_tolerance(platform, source, *tolerances(F.col("metric"), config))
-    return joined_rows.withColumn("source_match", F.col("seen") & match)
 
 
-def source_check_detail(rows: DataFrame) -> DataFrame:
-    platform, source = F.col("platform_value"), F.col("source_value")
-    note = (
-        F.when(F.col("source_match"), "MATCH_UI")
-        .when(source > platform, "OVER_UI")
-        .otherwise("UNDER_UI")
+def source_check_detail(rows: DataFrame, config: MetricConfig = DEFAULT) -> DataFrame:
+    """Every source of every cell against the platform value."""
+    pair = _per_metric(source_value=lambda m: F.col(f"s_{m}"))
+    long = rows.where("seen").select(*CELL, "query_source_table", "source", pair.alias("pair")).select(
+        *CELL, "query_source_table", "pair.metric", "source", "pair.source_value", "pair.platform_value"
     )
+    platform, source = F.col("platform_value"), F.col("source_value")
+    match = within_tolerance(platform, source, *tolerances(F.col("metric"), config))
+    note = F.when(F.col("source_match"), "MATCH_UI").when(source > platform, "OVER_UI").otherwise("UNDER_UI")
     accuracy = F.when(platform != 0, source.cast("double") / platform.cast("double")).otherwise(
         F.when(source == 0, F.lit(1.0)).otherwise(F.lit(0.0))
     )
-    return rows.where("seen").select(
-        *CELL, "query_source_table", "metric", "source", "source_value", "platform_value",
-        (source - platform).alias("source_diff"),
-        accuracy.alias("source_accuracy"),
-        "source_match",
-        note.alias("investigation_note"),
+    return (
+        long.withColumn("source_diff", source - platform)
+        .withColumn("source_accuracy", accuracy)
+        .withColumn("source_match", match)
+        .withColumn("investigation_note", note)
     )
 
 
@@ -207,25 +226,39 @@ def expected_tables(specs: DataFrame, level: str | None = "both") -> DataFrame:
 def compare_by_source(
     rows: DataFrame, expected: DataFrame | None = None, config: MetricConfig = DEFAULT
 ) -> DataFrame:
-    """Status per cell from ``source_rows``."""
-    seen, source_value = F.col("seen"), F.col("source_value")
+    """Status per cell and metric from ``source_rows``.
+
+    The only lists built are those the report shows: the query tables of a
+    cell and the sources that match on their own.
+    """
     table = F.col("query_source_table")
-    per_cell = rows.groupBy(*CELL, "metric").agg(
-        F.first("platform_value").alias("platform_value"),
+
+    def matching(metric: str) -> Column:
+        limits = tolerances(F.lit(metric), config)
+        hit = F.col("seen") & within_tolerance(F.col(f"p_{metric}"), F.col(f"s_{metric}"), *limits)
+        return F.array_sort(F.collect_list(F.when(hit, F.struct(table, F.col("source")))))
+
+    per_cell = rows.groupBy(*CELL).agg(
         F.first("platform_orders").alias("platform_orders"),
         F.first("platform_orders_available").alias("platform_orders_available"),
-        zero_if_null(F.sum(source_value)).alias("db_all_sources"),
-        F.bool_or(seen).alias("any_source"),
+        F.bool_or("seen").alias("any_source"),
         F.collect_set(F.when(F.trim(table) != "", table)).alias("tables"),
-        F.array_sort(
-            F.collect_list(F.when(F.col("source_match"), F.struct(table, F.col("source"))))
-        ).alias("matching"),
+        *(F.first(f"p_{m}").alias(f"p_{m}") for m in METRICS),
+        *(zero_if_null(F.sum(f"s_{m}")).alias(f"s_{m}") for m in METRICS),
+        *(matching(m).alias(f"m_{m}") for m in METRICS),
     )
     label = F.when(F.col("any_source"), joined(F.col("tables")))
     if expected is not None:
         named = expected.withColumnRenamed("query_source_table", "expected_table")
         per_cell = per_cell.join(named, ["seller_id", "data_level", "data_type"], "left")
         label = F.coalesce(label, F.col("expected_table"))
+    value = _per_metric(
+        db_all_sources=lambda m: F.col(f"s_{m}"), matching=lambda m: F.col(f"m_{m}")
+    )
+    per_cell = per_cell.select(
+        *CELL, F.coalesce(label, F.col("data_type")).alias("query_source_table"),
+        "platform_orders", "platform_orders_available", value.alias("value"),
+    ).select(*CELL, "query_source_table", "platform_orders", "platform_orders_available", "value.*")
     platform, db = F.col("platform_value"), F.col("db_all_sources")
     status = (
         F.when(within_tolerance(platform, db, *tolerances(F.col("metric"), config)), "match")
@@ -235,8 +268,8 @@ def compare_by_source(
     )
     advice = F.create_map(*(F.lit(text) for pair in RECOMMENDATIONS.items() for text in pair))
     return per_cell.withColumn("status", status).select(
-        *CELL, F.coalesce(label, F.col("data_type")).alias("query_source_table"), "metric",
-        "platform_value", "platform_orders", "platform_orders_available", "db_all_sources",
+        *CELL, "query_source_table", "metric", "platform_value", "platform_orders",
+        "platform_orders_available", "db_all_sources",
         (db - platform).alias("diff_db_minus_platform"),
         ratio(db - platform, platform, db).alias("diff_pct"),
         "status",

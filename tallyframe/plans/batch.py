@@ -36,11 +36,11 @@ def write_source_report(
     facts = bundle.write("Raw_DB_By_Source", iv.with_period(iv.at_level(facts, level), granularity))
     by_source = settle(iv.db_by_source(facts, granularity, level), "db-by-source")
     cells = iv.platform_cells(platform, metrics, level)
-    rows = settle(iv.source_rows(cells, by_source, config), "source-rows")
+    rows = settle(iv.source_rows(cells, by_source), "source-rows")
     detail = bundle.write("Comparison", iv.compare_by_source(rows, expected, config), "status")
     for name in sl.SLICES:
         bundle.view(name, lambda name=name: sl.slice_of(detail, name))
-    investigation = bundle.write("Source_Investigation", iv.source_check_detail(rows))
+    investigation = bundle.write("Source_Investigation", iv.source_check_detail(rows, config))
     bundle.view("Source_Check_Detail", lambda: investigation)
     bundle.write("Summary", status_summary(detail))
     bundle.write("Duplicate_Source", iv.duplicate_source(by_source))
