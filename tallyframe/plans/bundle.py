@@ -7,14 +7,28 @@ is partitioned by the column they filter on and Spark prunes to that folder.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
-from datetime import datetime, timezone
+from datetime import date, datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def safe_name(value: str, blank: str = "seller") -> str:
+    """A report name part fit for a folder name."""
+    return re.sub("[^A-Za-z0-9_-]+", "_", value).strip("_") or blank
+
+
+def month_label(month: str) -> str:
+    """``yyyymm`` of a month given as date text; other text is only made safe."""
+    try:
+        return date.fromisoformat(f"{month}-01"[:10]).strftime("%Y%m")
+    except ValueError:
+        return safe_name(month, "month")
+
+
 class Bundle:
     def __init__(self, spark: SparkSession, folder: str, kind: str, csv: bool = False):
         stamp = datetime.now(timezone.utc).strftime("%Y%m%d_%H%M%S")

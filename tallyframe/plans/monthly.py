@@ -12,7 +12,7 @@ from ..config import one_of, split_multi
 from ..functions.revenue import MONTHLY_CUTOVER
 from ..operators import monthly as mo
 from ..sources.warehouse import Warehouse
-from .bundle import Bundle
+from .bundle import Bundle, month_label
 
 # The kinds of single-month check and the first day the media check reads.
 CHECK_TYPES = ("content", "media")
@@ -35,7 +35,7 @@ def run_monthly(
     if isinstance(sellers, str):
         sellers = split_multi(sellers)
     chosen = mo.clean_sources(split_multi(sources))
-    bundle = Bundle(spark, folder, "monthly_check", csv)
+    bundle = Bundle(spark, folder, f"monthly_check_{month_label(month)}", csv)
     rows = mo.monthly_rows(warehouse, spark, sellers, month, last_month, chosen, company, cutover)
     stamped = rows.withColumn("query_date", F.current_timestamp().cast("timestamp_ntz"))
     written = bundle.write("Monthly_Check", stamped)
@@ -82,7 +82,7 @@ def run_single_month(
     csv: bool = False,
 ) -> Bundle:
     params = check_params(sellers, check_type, month, company)
-    bundle = Bundle(params.sparkSession, folder, f"{check_type}_check", csv)
+    bundle = Bundle(params.sparkSession, folder, f"{check_type}_check_{month_label(month)}", csv)
     bundle.write(f"Check_{check_type.title()}", single_month_rows(template, params, tables))
     bundle.params(check_type=check_type, target_month=month, company=company)
     return bundle

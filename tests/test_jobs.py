@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyframe.plans.batch import run_batch
+from tallyframe.plans.bundle import Bundle, month_label, safe_name
 from tallyframe.plans.direct import run_direct
 from tallyframe.plans.monthly import check_params, run_monthly, run_single_month
 from tallyframe.plans.two_file import run_two_file
@@ -132,6 +133,7 @@ def test_two_file_compare(spark, folder):
 def test_direct_query(spark, warehouse, folder):
     bundle = run_direct(warehouse, spark, [SELLER], "2026-05-01", "2026-05-31", folder, "sales", "seller_sale")
     assert [(r.quantity, r.revenue) for r in bundle.table("Totals").collect()] == [(24, 151)]
+    assert "/direct_query_TH_SHP_1_" in bundle.path
     assert bundle.table("By_Day").count() == 2 and bundle.table("By_Source").count() == 2
     assert [r.row_count for r in bundle.table("DB_Query_Debug").collect()] == [3]
     every = run_direct(warehouse, spark, [SELLER], "2026-05-01", "2026-05-31", folder, level="sku", use_items=True)
@@ -141,6 +143,7 @@ def test_direct_query(spark, warehouse, folder):
 
 def test_monthly_check(spark, warehouse, folder):
     bundle = run_monthly(warehouse, spark, f"{SELLER}; TH.SHP.2", "2026-05-01", folder, company="acme")
+    assert "/monthly_check_202605_" in bundle.path
     rows = {r.source: r for r in bundle.table("Monthly_Check").collect()}
     assert set(rows) == {"item", "export_sku_traffic"}
     assert (rows["item"].sum_revenue, rows["item"].company, rows["item"].mapping_check) == (100, "acme", None)
@@ -163,9 +166,12 @@ def test_single_month_check(spark, warehouse, folder):
         check_params(sellers, "other", "2026-05-01")
 
 
-def test_slices_prune_to_their_folder(spark, folder):
-    from tallyframe.plans.bundle import Bundle
+def test_report_names():
+    assert [month_label(m) for m in ("2026-05", "2026-05-17", "May 26")] == ["202605", "202605", "May_26"]
+    assert [safe_name(s) for s in ("TH.SHP.1", "...")] == ["TH_SHP_1", "seller"]
+
 
+def test_slices_prune_to_their_folder(spark, folder):
     bundle = Bundle(spark, folder, "r")
     rows = spark.createDataFrame([("match", 1), ("mismatch", 2)], "status string, n int")
     detail = bundle.write("Comparison", rows, "status")
