@@ -7,30 +7,61 @@ joins against it broadcast when it is small and shuffle when it is not.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_DIR = "spark.checkpoint.dir"
+_OWN_ROOTS: dict[str, str] = {}
+_JOB_FOLDERS: ContextVar[list[str] | None] = ContextVar("job_folders", default=None)
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; one of our own only if none is set."""
-    root = spark.conf.get(_CHECKPOINT_DIR, None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="tallyframe-")
-        spark.conf.set(_CHECKPOINT_DIR, root)
-    return root.rstrip("/")
+def scratch_root(spark: SparkSession, root: str | None = None) -> str:
+    """``root``, else the session's checkpoint folder. Only a session whose
+    executors run in the driver may do without one: it gets a temporary folder."""
+    context = spark.sparkContext
+    found = root or spark.conf.get(_CHECKPOINT_DIR, None) or context.getCheckpointDir()
+    if found:
+        return found.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise RuntimeError(f"set {_CHECKPOINT_DIR} to a folder that the driver and all executors share")
+    if context.applicationId not in _OWN_ROOTS:
+        _OWN_ROOTS[context.applicationId] = tempfile.mkdtemp(prefix="tallyframe-")
+    return _OWN_ROOTS[context.applicationId]
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/tallyframe/{name}-{uuid.uuid4().hex}"
+def new_folder(spark: SparkSession, name: str, root: str | None = None) -> str:
+    path = f"{scratch_root(spark, root)}/tallyframe/{name}-{uuid.uuid4().hex}"
+    folders = _JOB_FOLDERS.get()
+    if folders is not None:
+        folders.append(path)
+    return path
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
+def settle(df: DataFrame, name: str, root: str | None = None) -> DataFrame:
     """Write ``df`` once and return the written table."""
     spark = df.sparkSession
-    path = new_folder(spark, name)
+    path = new_folder(spark, name, root)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def job_tables(spark: SparkSession) -> Iterator[None]:
+    """Removes the scratch tables made inside when the block ends. Results that
+    are still to be read afterwards must have been written elsewhere."""
+    token = _JOB_FOLDERS.set([])
+    try:
+        yield
+    finally:
+        folders = _JOB_FOLDERS.get()
+        _JOB_FOLDERS.reset(token)
+        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+        for folder in folders:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(hadoop).delete(path, True)
