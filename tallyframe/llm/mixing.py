@@ -122,8 +122,14 @@ def capped_shares(docs: DataFrame, max_share: float, parts: int, source: str = "
     return {s: max(1, round(w * parts)) for s, w in weight.items() if sizes[s]}, capped
 
 
-def without_surplus(mixed: DataFrame, capped: set[str]) -> DataFrame:
-    """``mixed`` without what the capped pools have left when all others have run out."""
+def without_surplus(mixed: DataFrame, shares: dict[str, int], capped: set[str]) -> DataFrame:
+    """``mixed`` without what the capped pools have left when the blocks of all others
+    have had their turn: these fill their part of so many slots."""
+    shares = {REST: 1} | shares
     others = ~F.col("pool").isin(list(capped)) if capped else F.lit(True)
-    last = mixed.where(others).agg(F.max("slot")).first()[0]
-    return mixed.where(others | (F.col("slot") <= F.lit(last)) if last is not None else F.col("in_mix"))
+    share = sum(n for pool, n in shares.items() if pool not in capped)
+    blocks = mixed.where(others & (F.col("place") == 0)).count()
+    if not blocks or not share:
+        return mixed.where("in_mix")
+    slots = -(-blocks * sum(shares.values()) // share)
+    return mixed.where(others | (F.col("slot") < slots))
