@@ -65,7 +65,8 @@ def test_mixing_holds_a_hot_source_back(spark):
     rows = [(i, f"text {i}", "en", "hot" if i % 2 else f"s{i % 7}", 6) for i in range(2000)]
     after = corpus_pipeline.mix_sources(spark, spark.createDataFrame(rows, DOCS), SF_DIR)
     kept = Counter(r.source for r in after.collect())
-    assert sum(n for s, n in kept.items() if s != "hot") == 1000 and 300 <= kept["hot"] <= 370
+    # The last block of each of the seven others is not full, so shares hold within two blocks.
+    assert sum(n for s, n in kept.items() if s != "hot") == 1000 and abs(kept["hot"] - 1000 / 3) <= 64
 
 
 def test_packing_stage(stages):
