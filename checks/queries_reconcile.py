@@ -305,7 +305,7 @@ def comparison_preview(d: CheckData) -> DataFrame:
 @query(f"""with {_ctes('month')} select {DETAIL} from detail where status <> 'match' and seller_id in
   (select distinct seller_id from detail where status <> 'match' order by seller_id limit 20)""")
 def per_seller_wrong(d: CheckData) -> DataFrame:
-    return sl.per_seller_wrong(_detail(d, "month"))
+    return sl.per_seller_wrong(_detail(d, "month"), sl.SELLER_TABLES)
 
 
 @query(f"""with {_ctes('day')}

@@ -22,12 +22,17 @@ def parent(c: Column) -> Column:
 
 
 def with_ancestors(c: Column) -> Column:
-    """The id and every proper dot prefix of it; null stays null."""
+    """The id and every proper dot prefix of it; null stays null.
+
+    Up to three segments are spelled out: only longer ids need a loop over them.
+    """
+    short = F.array_distinct(F.array(*(F.substring_index(c, ".", n) for n in (1, 2, 3))))
     parts = F.split(c, "[.]", -1)
-    return F.transform(
+    long = F.transform(
         F.sequence(F.lit(1), F.size(parts)),
         lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."),
     )
+    return F.when(c.isNull(), F.lit(None)).when(F.substring_index(c, ".", 3) == c, short).otherwise(long)
 
 
 def resolved_seller(registered: Column, sku_id: Column) -> Column:

@@ -11,6 +11,7 @@ from decimal import Decimal
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Numbers have up to 18 digits before and 6 after the point; further decimals are rounded half up.
 NUMBER = "decimal(24,6)"
 MEASURE = "decimal(38,6)"
 
@@ -21,6 +22,12 @@ def parse_number(c: Column) -> Column:
     return F.regexp_replace(kept, r"^-?\.?$", "0").try_cast(NUMBER)
 
 
+def parse_typed_number(c: Column) -> Column:
+    """As ``parse_number``, but a number in exponent form keeps its exponent."""
+    exponent = F.trim(c).rlike(r"^[+-]?(?:\d+\.?\d*|\.\d+)[eE][+-]?\d+$")
+    return F.when(exponent, F.trim(c).try_cast(NUMBER)).otherwise(parse_number(c))
+
+
 def coerce(c: Column) -> Column:
     """Anything that is no number counts as 0."""
     return F.coalesce(c.try_cast(NUMBER), F.lit(0).cast(NUMBER))

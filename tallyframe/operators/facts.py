@@ -1,10 +1,11 @@
 """Daily facts by seller and source, for any number of sellers in one pass.
 
 Each flow sums its metrics per (seller, day, source). The seller of a row is
-either a column of its table or the outcome of an OR over several ids; in both
-cases the rows are summed before the sellers are matched, so the match runs on
-data of the size of the result and a hot seller, SKU or source is combined
-map-side.
+either a column of its table or one of several ids it is listed under. The sums are
+restricted to the wanted sellers by a semi-join. Spark moves it below the
+aggregation, where it prunes before the shuffle, if the sellers are few enough
+to broadcast; otherwise it runs on the sums. Either way a hot seller, SKU or source is
+combined map-side.
 """
 
 from __future__ import annotations
@@ -62,9 +63,6 @@ NO_SOURCE = "NULL_SOURCE"
 DIRECT_KEYS = ("seller", "seller_id", "seller_used_id", "used_id")
 PREFIX_KEYS = ("fk_sku_used_id", "fk_seller_used_id", "used_id")
 
-# A list of sellers up to this long is also pushed into the scan as an IN filter.
-PUSHED_SELLERS = 200
-
 
 class Sellers:
     """The sellers to report on: a Python list, or a DataFrame with ``seller_id``."""
@@ -72,25 +70,14 @@ class Sellers:
     def __init__(self, spark: SparkSession, sellers: DataFrame | Iterable[str]):
         if isinstance(sellers, DataFrame):
             self.listed: list[str] | None = None
-            self.frame = sellers.select("seller_id").where("seller_id is not null")
+            # Written out, so that Spark knows how many there are.
+            self.frame = settle(sellers.select("seller_id").dropna().distinct(), "sellers")
         else:
             self.listed = sorted({s.strip() for s in sellers if s and s.strip()})
             if not self.listed:
                 raise ValueError("at least one seller_id is needed")
             self.frame = spark.createDataFrame([(s,) for s in self.listed], "seller_id string")
 
-    def early(self, *keys: Column) -> Column | None:
-        """A cheap pre-filter on columns that must hold a listed seller."""
-        if self.listed is None or len(self.listed) > PUSHED_SELLERS:
-            return None
-        return reduce(lambda a, b: a | b, [key.isin(self.listed) for key in keys])
-
-    def early_ancestor(self, sku_parent: Column) -> Column | None:
-        if self.listed is None or len(self.listed) > PUSHED_SELLERS:
-            return None
-        below = [sku_parent.startswith(f"{s}.") for s in self.listed]
-        return reduce(lambda a, b: a | b, [sku_parent.isin(self.listed), *below])
-
     def keep(self, rows: DataFrame) -> DataFrame:
         return rows.join(self.frame, "seller_id", "left_semi")
 
@@ -182,8 +169,6 @@ def direct_flow(warehouse: Warehouse, flow: Flow, sellers: Sellers, start: str,
     """Flows whose table names the seller: seller sales and seller traffic."""
     rows = between_days(warehouse.table(flow.table), start, end)
     key = seller_key(rows.columns, "fk_seller_used_id", flow.table)
-    early = sellers.early(key)
-    rows = rows if early is None else rows.where(early)
     sums = rows.groupBy(key.alias("seller_id"), *_day_and_source()).agg(*_sums(flow.metrics))
     return sellers.keep(sums)
 
@@ -199,26 +184,22 @@ def matched_flow(
     """Flows by SKU: a row counts for a seller if any of its ids points to the seller.
 
     The ids that matter are the row's own seller, the registered seller, the
-    three-segment prefix and the dot prefixes of the SKU. All are the same for
-    every SKU of a shop, so summing by them first leaves about one row per
-    (shop, day, source); only those are exploded into candidates and joined.
+    three-segment prefix and the dot prefixes of the SKU. For most rows these are a
+    handful; each row is counted under all of them, and the sums are cut to the
+    wanted sellers.
     """
     owned = items_with_owner if flow.from_items else with_unusual_owner
     rows = owned(between_days(warehouse.table(flow.table), start, end), warehouse)
     sku_id = F.col("fk_sku_used_id")
-    named = {"registered": F.col("registered_seller"), "prefix": ids.seller_prefix(sku_id)}
+    named = [F.col("registered_seller"), ids.seller_prefix(sku_id)]
     if flow.from_items:
-        named["own"] = F.col("seller_used_id")
-    above = ids.parent(sku_id)
-    early = sellers.early(*named.values())
-    if early is not None:
-        rows = rows.where(early | sellers.early_ancestor(above))
-    per_shop = rows.groupBy(
-        *(key.alias(name) for name, key in named.items()), above.alias("above"), *_day_and_source()
-    ).agg(*(F.sum(value).alias(metric) for metric, value in values.items()))
-    candidates = ids.seller_candidates([F.col(name) for name in named], F.col("above"))
-    exploded = per_shop.select(F.explode(candidates).alias("seller_id"), "day", "source", *values)
-    return sellers.keep(exploded).groupBy("seller_id", "day", "source").agg(*_sums(list(values)))
+        named.append(F.col("seller_used_id"))
+    candidates = ids.seller_candidates(named, ids.parent(sku_id))
+    counted = rows.select(
+        F.explode(candidates).alias("seller_id"), *_day_and_source(),
+        *(value.alias(metric) for metric, value in values.items()),
+    )
+    return sellers.keep(counted.groupBy("seller_id", "day", "source").agg(*_sums(list(values))))
 
 
 def flow_sums(warehouse: Warehouse, name: str, sellers: Sellers, start: str, end: str) -> DataFrame:
@@ -241,6 +222,15 @@ def flow_sums(warehouse: Warehouse, name: str, sellers: Sellers, start: str, end
 
 def labelled(sums: DataFrame, flows: Sequence[Flow]) -> DataFrame:
     """Add the label columns; sums shared by several flows are repeated per flow."""
+    metrics = [
+        (F.col(m) if m in sums.columns else F.lit(None)).cast(MEASURE).alias(m)
+        for m in METRICS
+    ]
+    if len(flows) == 1:
+        names = {"data_type": flows[0].data_type, "data_level": flows[0].level, "query_source_table": flows[0].name}
+        return sums.select(
+            *(F.lit(v).alias(k) for k, v in names.items()), "seller_id", "day", "source", *metrics
+        )
     label = F.explode(
         F.array(
             *(
@@ -253,10 +243,6 @@ def labelled(sums: DataFrame, flows: Sequence[Flow]) -> DataFrame:
             )
         )
     )
-    metrics = [
-        (F.col(m) if m in sums.columns else F.lit(None)).cast(MEASURE).alias(m)
-        for m in METRICS
-    ]
     return sums.select(label.alias("label"), "seller_id", "day", "source", *metrics).select(
         "label.*", "seller_id", "day", "source", *METRICS
     )

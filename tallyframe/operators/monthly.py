@@ -69,8 +69,6 @@ def item_facts(
     join with the registry; the join only filters (and fans out duplicates).
     """
     rows = in_months(warehouse.table(wh.ITEM), first, last)
-    early = sellers.early(F.col("seller_used_id"))
-    rows = rows if early is None else rows.where(early)
     revenue = monthly_item_revenue(ids.segment(F.col("seller_used_id"), 2), F.col("day"), cutover)
     sums = rows.groupBy(
         F.col("seller_used_id").alias("seller_id"), month_start(F.col("day")).alias("year_month")
@@ -88,8 +86,6 @@ def _by_resolved_seller(
     # A usual owner is the seller prefix, which is what a missing owner resolves to.
     rows = with_unusual_owner(in_months(warehouse.table(table), first, last), warehouse)
     seller = ids.resolved_seller(F.col("registered_seller"), F.col("fk_sku_used_id"))
-    early = sellers.early(seller)
-    rows = rows if early is None else rows.where(early)
     return sellers.keep(
         rows.groupBy(seller.alias("seller_id"), month_start(F.col("day")).alias("year_month")).agg(*sums)
     )

@@ -45,8 +45,9 @@ def write_source_report(
     bundle.write("Summary", status_summary(detail))
     bundle.write("Duplicate_Source", iv.duplicate_source(by_source))
     bundle.write("Missing_Order_Summary", iv.missing_order_summary(detail))
-    tabs = sl.per_seller_wrong(detail).withColumn("sheet", sl.sheet_name(F.col("seller_id")))
-    bundle.write("Per_Seller", tabs, "sheet")
+    bundle.view(
+        "Per_Seller", lambda: sl.per_seller_wrong(detail).withColumn("sheet", sl.sheet_name(F.col("seller_id")))
+    )
 
 
 def run_batch(

