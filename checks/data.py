@@ -29,7 +29,7 @@ class CheckData:
             text = VIEWS[name]
             frames = {source: self.table(source) for source in inputs(text)}
             view = self.spark.sql(text, **frames)
-            _KEPT[key] = view if name in _INLINE else settle(view, name)
+            _KEPT[key] = view if name in _INLINE else settle(view, name, lasting=True)
         return _KEPT[key]
 
     @property

@@ -114,7 +114,7 @@ def _unusual_owners(warehouse: Warehouse) -> DataFrame:
         .agg(F.count("*").alias("copies"), F.bool_and(derived).alias("derived"))
         .where("copies > 1 or not derived")
     )
-    return settle(owners.join(unusual, "fk_sku_used_id", "left_semi"), "unusual-owners")
+    return settle(owners.join(unusual, "fk_sku_used_id", "left_semi"), "unusual-owners", lasting=True)
 
 
 def unusual_owners(warehouse: Warehouse) -> DataFrame:
@@ -292,6 +292,27 @@ def facts_of(
     return reduce(DataFrame.unionByName, parts)
 
 
+def settled_facts(
+    warehouse: Warehouse,
+    spark: SparkSession,
+    names: Sequence[str],
+    sellers: Sellers,
+    start: str,
+    end: str,
+    errors: dict[str, str],
+) -> DataFrame:
+    """The named flows, written out flow by flow: one that fails while it is planned or
+    read is recorded in ``errors`` and left out, and the others go on."""
+    written = [spark.createDataFrame([], FACT_SCHEMA)]
+    for name in names:
+        try:
+            found = facts_of(warehouse, spark, [name], sellers, start, end)
+            written.append(settle(found, f"facts-{name}"))
+        except Exception as problem:
+            errors[name] = str(problem).strip().splitlines()[0]
+    return reduce(DataFrame.unionByName, written)
+
+
 def facts(
     warehouse: Warehouse,
     spark: SparkSession,
@@ -321,18 +342,34 @@ def facts_by_switch(
     A seller listed under both switches keeps both sales flows; its traffic is
     counted once.
     """
-    spark = jobs.sparkSession
+    return reduce(
+        DataFrame.unionByName,
+        [
+            facts_of(warehouse, jobs.sparkSession, names, Sellers(jobs.sparkSession, sellers), start, end, errors)
+            for sellers, names in switch_plan(jobs, level)
+        ],
+    )
+
+
+def settled_by_switch(
+    warehouse: Warehouse, jobs: DataFrame, start: str, end: str, level: str | None, errors: dict[str, str]
+) -> DataFrame:
+    """As ``facts_by_switch``, written out flow by flow."""
+    return reduce(
+        DataFrame.unionByName,
+        [
+            settled_facts(warehouse, jobs.sparkSession, names, Sellers(jobs.sparkSession, sellers), start, end, errors)
+            for sellers, names in switch_plan(jobs, level)
+        ],
+    )
+
+
+def switch_plan(jobs: DataFrame, level: str | None = "both") -> list[tuple[DataFrame, list[str]]]:
+    """Which flows to run for which of ``jobs``."""
     jobs = jobs.where("trim(coalesce(seller_id, '')) <> ''")
     traffic = [n for n in choose_flows(level) if n not in EXPORT_SALES]
-    plan = [
+    return [
         (jobs, traffic),
         (jobs.where("not use_item_sales"), [n for n in choose_flows(level) if n in EXPORT_SALES]),
         (jobs.where("use_item_sales"), [n for n in choose_flows(level, True) if n in ITEM_SALES]),
     ]
-    return reduce(
-        DataFrame.unionByName,
-        [
-            facts_of(warehouse, spark, names, Sellers(spark, sellers), start, end, errors)
-            for sellers, names in plan
-        ],
-    )

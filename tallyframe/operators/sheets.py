@@ -95,20 +95,18 @@ def detect_headers(
 ) -> DataFrame:
     """Header row per sheet: best score among the first rows, the earliest of equals.
 
-    Without any row that scores 0 or more, the first row is taken, and the sheet is
-    reported by ``quarantine``.
+    Without any row that scores 0 or more, the first row is taken; as it has no date
+    column then, ``quarantine`` reports the sheet.
     """
     top = grid.where(
         (F.col("row_idx") < search_rows) & (~F.col("has_header") | (F.col("row_idx") == 0))
     )
     score = header_score(F.col("cells"), F.element_at(alias_map(config), F.col("scope")))
-    rank = F.struct(F.greatest(score, F.lit(-1)).alias("score"), -F.col("row_idx"))
+    rank = F.struct(F.greatest(score, F.lit(-1)), -F.col("row_idx"))
     found = F.struct("row_idx", "cells", "seller_id", "marketplace", "scope", "has_header")
-    best = with_specs(top, specs, config).groupBy(*SHEET_OF_SPEC).agg(
-        F.max_by(found, rank).alias("found"), F.max(rank)["score"].alias("header_score")
-    )
+    best = with_specs(top, specs, config).groupBy(*SHEET_OF_SPEC).agg(F.max_by(found, rank).alias("found"))
     return best.select(
-        *SHEET_OF_SPEC, "header_score", "found.has_header", F.col("found.row_idx").alias("header_idx"), F.col("found.cells").alias("headers"),
+        *SHEET_OF_SPEC, "found.has_header", F.col("found.row_idx").alias("header_idx"), F.col("found.cells").alias("headers"),
         "found.seller_id", "found.marketplace", "found.scope",
     )
 
@@ -298,7 +296,6 @@ def quarantine(
     ).where("reason is not null")
     sheet_reason = (
         F.when(F.col("position").isNull(), "no_spec_for_file")
-        .when(F.col("header_score") < 0, "no_header_row")
         .when(~_has("date"), "no_date_column")
         .when(~usable(config), "no_metric_column")
         .when(~F.col("has_plain") & F.lit(granularity == "day"), "only_date_ranges")

@@ -12,7 +12,7 @@ from ..operators import investigate as iv
 from ..operators import sheets as sh
 from ..operators import slices as sl
 from ..operators.compare import status_summary
-from ..sources.scratch import settle
+from ..sources.scratch import job_tables, settle
 from ..sources.warehouse import Warehouse
 from .bundle import Bundle
 from .ingest import ingest
@@ -45,6 +45,8 @@ def write_source_report(
     bundle.write("Summary", status_summary(detail))
     bundle.write("Duplicate_Source", iv.duplicate_source(by_source))
     bundle.write("Missing_Order_Summary", iv.missing_order_summary(detail))
+    bundle.view("Preview", lambda: sl.by_source_preview(detail))
+    bundle.counters(source_rows="Source_Investigation", duplicate_source="Duplicate_Source", row_count="Comparison")
     bundle.view(
         "Per_Seller", lambda: sl.per_seller_wrong(detail).withColumn("sheet", sl.sheet_name(F.col("seller_id")))
     )
@@ -69,16 +71,36 @@ def run_batch(
     Platform days outside the range stay in by default and show up as missing
     in the database; ``clip_to_range`` drops them.
     """
-    read = ingest(grid, specs, granularity, config)
-    metrics = read.metrics()
     bundle = Bundle(grid.sparkSession, folder, "dq_batch_report", csv)
+    with job_tables(grid.sparkSession):
+        _write_batch(
+            bundle, warehouse, grid, specs, start, end, level, granularity, clip_to_range, read_errors, config
+        )
+    return bundle
+
+
+def _write_batch(
+    bundle: Bundle,
+    warehouse: Warehouse,
+    grid: DataFrame,
+    specs: DataFrame,
+    start: str,
+    end: str,
+    level: str | None,
+    granularity: str,
+    clip_to_range: bool,
+    read_errors: DataFrame | None,
+    config: MetricConfig,
+) -> None:
+    read = ingest(grid, specs, granularity, config).settled()
+    metrics = read.metrics()
     platform = read.facts
     if clip_to_range:
         inside = F.col("day").between(F.to_date(F.lit(start)), F.to_date(F.lit(end)))
         platform = sh.normalized(read.parsed.where(inside), config)
     jobs = specs.select(F.trim("seller_id").alias("seller_id"), "use_item_sales").where("seller_id <> ''").distinct()
     failed: dict[str, str] = {}
-    facts = fa.facts_by_switch(warehouse, jobs, start, end, level, failed)
+    facts = fa.settled_by_switch(warehouse, jobs, start, end, level, failed)
     write_source_report(
         bundle, platform, facts, metrics, granularity, level, iv.expected_tables(specs, level), config
     )
@@ -96,4 +118,3 @@ def run_batch(
     expected = au.expected_queries(jobs, names, failed)
     audited = bundle.table("Raw_DB_By_Source").drop("period")
     bundle.write("DB_Query_Debug", au.audit(expected, audited, start, end))
-    return bundle

@@ -11,6 +11,7 @@ import re
 import uuid
 from collections.abc import Callable
 from datetime import date, datetime, timezone
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,16 +42,25 @@ class Bundle:
         path = f"{self.path}/{name}"
         writer = df.write.partitionBy(partition_by) if partition_by else df.write
         writer.parquet(path)
+        self._tables[name] = lambda: self.spark.read.schema(df.schema).parquet(path).select(*df.columns)
+        written = self.table(name)
         if self.csv:
-            plain = df.select(*(F.col(c).cast("string") for c in df.columns))
+            plain = written.select(*(F.col(c).cast("string") for c in df.columns))
             plain.write.option("header", True).csv(f"{self.path}/csv/{name}")
-        self._tables[name] = lambda: self.spark.read.schema(df.schema).parquet(path).select(*df.columns)
-        return self.table(name)
+        return written
 
     def view(self, name: str, make: Callable[[], DataFrame]) -> None:
         """A report table that is a filter or second name of a written one."""
         self._tables[name] = make
 
+    def counters(self, **tables: str) -> None:
+        """A view with the number of rows of some tables, each under a name of its own."""
+        def count() -> DataFrame:
+            counts = [self.table(t).agg(F.lit(n).alias("counter"), F.count("*").alias("value")) for n, t in tables.items()]
+            return reduce(DataFrame.unionByName, counts)
+
+        self.view("Counters", count)
+
     def params(self, **values: str) -> DataFrame:
         row = [tuple("" if v is None else str(v) for v in values.values())]
         schema = ", ".join(f"{name} string" for name in values)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 
 from ..config import DEFAULT, MetricConfig
 from ..operators import sheets as sh
+from ..sources.scratch import settle
 
 
 @dataclass(frozen=True)
@@ -20,6 +21,10 @@ class Ingested:
     granularity: str
     config: MetricConfig
 
+    def settled(self) -> Ingested:
+        """The same with its rows written out, for use by several tables."""
+        return replace(self, parsed=settle(self.parsed, "parsed-rows"))
+
     @property
     def facts(self) -> DataFrame:
         return sh.normalized(self.parsed, self.config)

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from ..config import one_of, split_multi
 from ..functions.revenue import MONTHLY_CUTOVER
 from ..operators import monthly as mo
+from ..sources.scratch import job_tables
 from ..sources.warehouse import Warehouse
-from .bundle import Bundle, month_label
+from .bundle import Bundle, month_label, safe_name
 
 # The kinds of single-month check and the first day the media check reads.
 CHECK_TYPES = ("content", "media")
@@ -36,10 +37,12 @@ def run_monthly(
         sellers = split_multi(sellers)
     chosen = mo.clean_sources(split_multi(sources))
     bundle = Bundle(spark, folder, f"monthly_check_{month_label(month)}", csv)
-    rows = mo.monthly_rows(warehouse, spark, sellers, month, last_month, chosen, company, cutover)
-    stamped = rows.withColumn("query_date", F.current_timestamp().cast("timestamp_ntz"))
-    written = bundle.write("Monthly_Check", stamped)
-    bundle.write("Summary", mo.monthly_summary(written))
+    with job_tables(spark):
+        rows = mo.monthly_rows(warehouse, spark, sellers, month, last_month, chosen, company, cutover)
+        stamp = F.current_timestamp().cast("timestamp_ntz").alias("query_date")
+        at = rows.columns.index("product_impression")
+        written = bundle.write("Monthly_Check", rows.select(*rows.columns[:at], stamp, *rows.columns[at:]))
+        bundle.write("Summary", mo.monthly_summary(written))
     listed = "" if isinstance(sellers, DataFrame) else ", ".join(sellers)
     bundle.params(
         target_month=month, last_month=last_month or month, seller_ids=listed,
@@ -80,9 +83,21 @@ def run_single_month(
     folder: str,
     company: str = "",
     csv: bool = False,
+    client: str = "",
+    args: Mapping[str, object] | None = None,
 ) -> Bundle:
+    """The rows of a user's check of one month. ``company`` defaults to the client's name.
+
+    The report carries the seller in its name if there is one, else their number.
+    """
+    company = company or client
     params = check_params(sellers, check_type, month, company)
-    bundle = Bundle(params.sparkSession, folder, f"{check_type}_check_{month_label(month)}", csv)
-    bundle.write(f"Check_{check_type.title()}", single_month_rows(template, params, tables))
-    bundle.params(check_type=check_type, target_month=month, company=company)
+    first = [r["seller_id"] for r in sellers.select("seller_id").distinct().limit(2).collect()]
+    who = safe_name(first[0] or "") if len(first) == 1 else "sellers"
+    bundle = Bundle(params.sparkSession, folder, f"{check_type}_check_{who}_{month_label(month)}", csv)
+    bundle.write(f"Check_{check_type.title()}", single_month_rows(template, params, tables, args))
+    bundle.params(
+        check_type=check_type, target_month=month, seller_id=first[0] if len(first) == 1 else f"{sellers.count()} sellers",
+        company=company,
+    )
     return bundle

@@ -35,18 +35,19 @@ def scratch_root(spark: SparkSession, root: str | None = None) -> str:
     return _OWN_ROOTS[context.applicationId]
 
 
-def new_folder(spark: SparkSession, name: str, root: str | None = None) -> str:
+def new_folder(spark: SparkSession, name: str, root: str | None = None, lasting: bool = False) -> str:
+    """A folder for one table. A lasting one is not removed with the job it was made in."""
     path = f"{scratch_root(spark, root)}/tallyframe/{name}-{uuid.uuid4().hex}"
     folders = _JOB_FOLDERS.get()
-    if folders is not None:
+    if folders is not None and not lasting:
         folders.append(path)
     return path
 
 
-def settle(df: DataFrame, name: str, root: str | None = None) -> DataFrame:
+def settle(df: DataFrame, name: str, root: str | None = None, lasting: bool = False) -> DataFrame:
     """Write ``df`` once and return the written table."""
     spark = df.sparkSession
-    path = new_folder(spark, name, root)
+    path = new_folder(spark, name, root, lasting)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
