@@ -68,15 +68,13 @@ class Sellers:
     """The sellers to report on: a Python list, or a DataFrame with ``seller_id``."""
 
     def __init__(self, spark: SparkSession, sellers: DataFrame | Iterable[str]):
-        if isinstance(sellers, DataFrame):
-            self.listed: list[str] | None = None
-            # Written out, so that Spark knows how many there are.
-            self.frame = settle(sellers.select("seller_id").dropna().distinct(), "sellers")
-        else:
-            self.listed = sorted({s.strip() for s in sellers if s and s.strip()})
-            if not self.listed:
+        if not isinstance(sellers, DataFrame):
+            listed = sorted({s.strip() for s in sellers if s and s.strip()})
+            if not listed:
                 raise ValueError("at least one seller_id is needed")
-            self.frame = spark.createDataFrame([(s,) for s in self.listed], "seller_id string")
+            sellers = spark.createDataFrame([(s,) for s in listed], "seller_id string")
+        # Written out, so that Spark knows how many there are.
+        self.frame = settle(sellers.select("seller_id").dropna().distinct(), "sellers")
 
     def keep(self, rows: DataFrame) -> DataFrame:
         return rows.join(self.frame, "seller_id", "left_semi")
