@@ -18,9 +18,10 @@ SAMPLE_ROWS = 6000
 #: Hashed features of a text, and centroids of a language.
 FEATURES = 1 << 13
 CENTROIDS = 4
-#: A text is rejected if it is farther from every centroid than this quantile of
-#: the sample's rows of the language are from theirs, and some more.
-REJECT_QUANTILE, REJECT_SLACK = 0.999, 1.05
+#: A text is rejected if its cosine with the nearest centroid is below this part of the
+#: quantile of the sample's texts of its size. Sizes are powers of two of the number of
+#: distinct n-grams; one with fewer sample rows takes half the floor of the next larger one.
+REJECT_QUANTILE, REJECT_PART, SIZE_ROWS = 0.001, 0.6, 100
 UNKNOWN = "und"
 
 _SPACE = 0x20
@@ -50,7 +51,7 @@ class LanguageModel:
     owner: np.ndarray
     weights: np.ndarray
     idf: np.ndarray
-    limits: np.ndarray
+    floors: np.ndarray
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         seen, counts = ngram_counts(text)
@@ -65,8 +66,27 @@ class LanguageModel:
         cosines = values @ self.weights[seen]
         best = int(np.argmax(cosines))
         score = float(np.clip(cosines[best], 0, 1))
-        language = self.owner[best]
-        return self.languages[language], score, bool(1 - score > self.limits[language])
+        return self.languages[self.owner[best]], score, bool(score < self.floors[_size(len(seen))])
+
+
+def _size(features: int) -> int:
+    return max(0, int(features).bit_length() - 1)
+
+
+def _floors(sizes: np.ndarray, cosines: np.ndarray) -> np.ndarray:
+    """The cosine below which a text of each size is rejected; larger texts never get a lower one."""
+    floors = np.full(FEATURES.bit_length(), np.nan)
+    for size in range(len(floors)):
+        own = cosines[sizes == size]
+        if len(own) >= SIZE_ROWS:
+            floors[size] = REJECT_PART * np.quantile(own, REJECT_QUANTILE)
+    known = np.flatnonzero(~np.isnan(floors))
+    top = floors[known[-1]] if len(known) else REJECT_PART * min(cosines, default=0.0)
+    for size in range(len(floors) - 1, -1, -1):
+        above = floors[size + 1] if size + 1 < len(floors) else top
+        below_known = len(known) and size < known[-1]
+        floors[size] = min(above, floors[size]) if not np.isnan(floors[size]) else above / 2 if below_known else above
+    return floors
 
 
 def _centroids(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -123,24 +143,25 @@ def fit(labelled: DataFrame, text: str = "text", language: str = "lang", doc_id:
     entries = [(np.frombuffer(r["seen"], np.int32), np.frombuffer(r["counts"], np.int32)) for r in sample]
     documents = np.bincount(np.concatenate([s for s, _ in entries]) if entries else [], minlength=FEATURES)
     idf = np.log((1 + len(entries)) / (1 + documents)) + 1
-    dense = np.zeros((len(entries), FEATURES), np.float32)
-    for row, (seen, count) in zip(dense, entries, strict=True):
-        row[seen] = (1 + np.log(count)) * idf[seen]
-        row /= np.linalg.norm(row) or 1
     names = np.array([r["lang"] for r in sample], object)
-    owner, found, apart = [], [], []
+    sizes = np.array([_size(len(seen)) for seen, _ in entries])
+    del sample
+    owner, found, near = [], [], np.zeros(len(entries))
     for i, name in enumerate(languages):
-        own = dense[names == name]
+        # One language's rows at a time are spread out over all features.
+        rows = np.flatnonzero(names == name)
+        own = np.zeros((len(rows), FEATURES), np.float32)
+        for row, at in zip(own, rows, strict=True):
+            seen, count = entries[at]
+            row[seen] = (1 + np.log(count)) * idf[seen]
+            row /= np.linalg.norm(row) or 1
         centers = _centroids(own, centroids) if len(own) else own
-        apart.append(1 - (own @ centers.T).max(axis=1) if len(own) else np.zeros(0))
+        near[rows] = (own @ centers.T).max(axis=1) if len(own) else 0
         owner += [i] * len(centers)
         found.append(centers)
-    # A language with few rows gets the limit of all languages together at least.
-    quantile = lambda distances: float(np.quantile(distances, REJECT_QUANTILE)) if len(distances) else 0.0
-    common = quantile(np.concatenate(apart))
-    limits = [min(1.0, REJECT_SLACK * max(common, quantile(d))) for d in apart]
+    floors = _floors(sizes, near)
     weights = np.ascontiguousarray(np.concatenate(found).T) if found else np.zeros((FEATURES, 0), np.float32)
-    return LanguageModel(languages if found else [], np.array(owner), weights, idf, np.array(limits))
+    return LanguageModel(languages if found else [], np.array(owner), weights, idf, floors)
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -148,8 +169,8 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", doc_id:
 
     ``lang_pred`` is a language of the model, or ``und`` (score 0) where the text
     is null or has no letter. ``score`` is the cosine with the nearest centroid
-    from 0 to 1. ``rejected`` marks ``und`` and texts farther away than the
-    rows the language was learned from. Only the text is looked at; null ids
+    from 0 to 1. ``rejected`` marks ``und`` and texts much farther from every centroid
+    than texts of their size that the model was fitted on. Only the text is looked at; null ids
     and repeated rows are kept.
     """
     ship(docs.sparkSession)

@@ -34,7 +34,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0, text
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).encode
-        for batch in (part for whole in batches for part in slices(whole, "text", 8 << 20)):
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             flat, bounds = encode(batch.column("text"))
             flat = np.insert(flat, bounds[1:], np.uint32(end_id))
             bounds = bounds + np.arange(len(bounds))

@@ -9,9 +9,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text handled at once in a task, and words remembered by a worker.
-SLICE_BYTES = 16 << 20
-MAX_WORDS = 1_000_000
+#: Bytes of text handled at once in a task, words encoded at once, and words remembered by a worker.
+SLICE_BYTES = 8 << 20
+ENCODE_WORDS = 20_000
+MAX_WORDS = 800_000
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
@@ -40,8 +41,10 @@ class WordEncoder:
     def numbers(self, words: list[str]) -> np.ndarray:
         if len(self.number) > MAX_WORDS:
             self.forget()
-        new = [w for w in words if w not in self.number]
-        if new:
+        unseen = [w for w in words if w not in self.number]
+        # The library's results are much larger than the ids kept of them, so take some at a time.
+        for at in range(0, len(unseen), ENCODE_WORDS):
+            new = unseen[at : at + ENCODE_WORDS]
             found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
             lengths = np.fromiter(map(len, found), np.int64, len(found))
             self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
