@@ -11,9 +11,12 @@ loses a pair with a chance below 1e-9. Then come rounds of candidates:
    by as many pairs as they have members;
 2. all pairs of a list whose classes are still in different components. Lists longer than
    LONG_LIST are passages that many documents share, or large groups of copies. They
-   are needed only for classes that have little else, as any others that are
-   near duplicates also share values of short lists. For those, other first
-   classes are tried, and at last all pairs across components.
+   are needed only for classes that have little else ("heavy" ones), as any others
+   that are near duplicates also share values of short lists. Of these, the classes
+   whose whole sets have too many shingles that no other heavy class has
+   cannot reach the threshold and leave. The first class of a long list is the one with
+   the fewest such shingles, the middle of a group of copies. Then another one is tried,
+   and at last all pairs across components that the counts allow.
 
 Candidates are filtered by the estimate from the sketch of the union, with a
 margin of five standard deviations, and decided by their whole sets. Pairs
@@ -40,6 +43,8 @@ WORDS, SKETCH, THRESHOLD = 5, 64, 0.75
 #: Longer lists are not taken for all pairs at once; share of a sketch in such lists from
 #: which a class needs them; other first classes tried for them.
 LONG_LIST, HEAVY_SHARE, LEADER_ROUNDS = 32, 0.4, 2
+#: Passes in which classes without enough shared shingles leave; each may leave others without.
+LEAVING_ROUNDS = 3
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -107,6 +112,41 @@ def _alike_sizes(a: Column, b: Column, threshold: float) -> Column:
     return F.least(a, b) >= threshold * F.greatest(a, b)
 
 
+def _can_reach(n_a: Column, alone_a: Column, n_b: Column, alone_b: Column, threshold: float) -> Column:
+    """Could two sets reach the threshold, given how many of their shingles no other set has?"""
+    shared = F.least(n_a - alone_a, n_b - alone_b)
+    return shared >= threshold * (n_a + n_b - shared)
+
+
+def _with_alone(texts: DataFrame, words: int, threshold: float) -> DataFrame:
+    """node, alone: the classes of ``texts`` that can have a near duplicate among them, and
+    how many of their shingles no other one has."""
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole, "text", 4 << 20)):
+            sets = shingle_sets(batch.column("text"), words)
+            right = [_digest(s) == d.as_py() for s, d in zip(sets, batch.column("digest"), strict=True)]
+            nodes, sets = batch.column("node").filter(pa.array(right)), [s for s, ok in zip(sets, right, strict=True) if ok]
+            sizes = [len(s) for s in sets]
+            node = np.repeat(nodes.to_numpy(), sizes)
+            shingles = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(node, pa.int64()), pa.array(np.repeat(sizes, sizes), pa.int64()), pa.array(shingles, pa.int64())],
+                names=["node", "n", "shingle"],
+            )
+
+    # Rows that repeat an id bring their text more than once.
+    held = settle(texts.mapInArrow(spell, "node long, n long, shingle long").distinct(), "near-shingles")
+    for _ in range(LEAVING_ROUNDS):
+        single = held.groupBy("shingle").agg(F.count("*").alias("times"), F.min("node").alias("node")).where("times = 1")
+        alone = single.groupBy("node").agg(F.count("*").alias("alone"))
+        counted = held.groupBy("node", "n").agg(F.lit(0).alias("_")).join(alone, "node", "left")
+        counted = counted.select("node", "n", F.coalesce("alone", F.lit(0)).alias("alone"))
+        staying = settle(counted.where(F.col("n") - F.col("alone") >= threshold * F.col("n")), "near-staying")
+        held = held.join(staying.select("node"), "node", "left_semi")
+    return staying.select("node", "alone")
+
+
 def _estimated(pairs: DataFrame, suspects: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) whose union's sketch does not rule out the threshold."""
     own = suspects.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a"))
@@ -224,10 +264,13 @@ def _linked_classes(docs: DataFrame, classes: DataFrame, words: int, threshold:
     ).where(F.col("in_lists") >= F.col("m") * threshold / 2)
     enough = enough.select("node", (F.col("in_long") > HEAVY_SHARE * F.col("m")).alias("heavy"))
     suspects = settle(classes.join(enough, "node"), "near-suspects")
-    used = shared.join(suspects.select("node", "heavy"), "node").where((F.col("length") <= LONG_LIST) | F.col("heavy"))
-    lists = settle(used.select("value", "node", "n", (F.col("length") > LONG_LIST).alias("long")), "near-lists")
-    chosen = suspects.select(F.col("rep").alias("doc_id"), "node", "digest")
-    texts = settle(docs.join(chosen, "doc_id").select("node", "digest", "text"), "near-texts")
+    chosen = suspects.select(F.col("rep").alias("doc_id"), "node", "digest", "heavy")
+    texts = settle(docs.join(chosen, "doc_id").select("node", "digest", "text", "heavy"), "near-texts")
+    staying = _with_alone(texts.where("heavy"), words, threshold)
+    used = shared.join(suspects.select("node"), "node", "left_semi").join(staying, "node", "left")
+    used = used.withColumn("long", F.col("length") > LONG_LIST).where("not long or alone is not null")
+    alone = F.when(F.col("long"), F.col("alone")).otherwise(0).alias("alone")
+    lists = settle(used.select("value", "node", "n", "long", alone), "near-lists")
 
     def links(pairs: DataFrame) -> DataFrame:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -236,9 +279,9 @@ def _linked_classes(docs: DataFrame, classes: DataFrame, words: int, threshold:
 
     def led(rows: DataFrame, order: Column) -> DataFrame:
         """Each list's first row by ``order`` with all others of other components."""
-        first = rows.groupBy("value").agg(F.min(F.struct(order.alias("o"), "node", "n", "label")).alias("first"))
+        first = rows.groupBy("value").agg(F.min(F.struct(order.alias("o"), "node", "n", "alone", "label")).alias("first"))
         pairs = rows.join(first, "value").where("first.label <> label")
-        pairs = pairs.where(_alike_sizes(F.col("n"), F.col("first.n"), threshold))
+        pairs = pairs.where(_can_reach(F.col("n"), F.col("alone"), F.col("first.n"), F.col("first.alone"), threshold))
         return pairs.select(F.col("first.node").alias("a"), F.col("node").alias("b"))
 
     def open_lists(labels: DataFrame) -> DataFrame:
@@ -248,7 +291,8 @@ def _linked_classes(docs: DataFrame, classes: DataFrame, words: int, threshold:
         return settle(rows.join(split.where("low <> high").select("value"), "value"), "near-open")
 
     labels = suspects.select("node", F.col("node").alias("label"))
-    labels = _joined(labels, links(led(lists.withColumn("label", F.col("node")), F.col("node"))))
+    middle = F.struct(F.col("alone") / F.col("n"), "node")
+    labels = _joined(labels, links(led(lists.withColumn("label", F.col("node")), middle)))
     rows = open_lists(labels)
     members = F.array_sort(F.collect_list(F.struct("node", "n", "label")))
     short = rows.where("not long").groupBy("value").agg(members.alias("members"))
@@ -263,7 +307,10 @@ def _linked_classes(docs: DataFrame, classes: DataFrame, words: int, threshold:
     largest = rows.groupBy("value", "label").agg(F.count("*").alias("size")).groupBy("value")
     largest = largest.agg(F.max(F.struct("size", "label")).alias("top")).select("value", "top.label")
     outside = rows.join(largest, ["value", "label"], "left_anti")
-    outside = outside.select("value", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"))
+    outside = outside.select(
+        "value", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("alone").alias("alone_a"), F.col("label").alias("label_a")
+    )
     pairs = outside.join(rows, "value").where("label_a <> label")
-    pairs = pairs.where(_alike_sizes(F.col("n_a"), F.col("n"), threshold)).select("a", F.col("node").alias("b"))
+    pairs = pairs.where(_can_reach(F.col("n_a"), F.col("alone_a"), F.col("n"), F.col("alone"), threshold))
+    pairs = pairs.select("a", F.col("node").alias("b"))
     return _joined(labels, links(pairs))
