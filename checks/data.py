@@ -17,6 +17,12 @@ _WAREHOUSES: dict[tuple[str, str], Warehouse] = {}
 _INLINE = {"lines", "collected"}
 
 
+def _dealt(view: DataFrame) -> DataFrame:
+    """In as many files as there are cores, as a warehouse table would be; the given
+    tables are single files that only one task can read."""
+    return view.repartition(view.sparkSession.sparkContext.defaultParallelism)
+
+
 class CheckData:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir.rstrip("/")
@@ -29,7 +35,7 @@ class CheckData:
             text = VIEWS[name]
             frames = {source: self.table(source) for source in inputs(text)}
             view = self.spark.sql(text, **frames)
-            _KEPT[key] = view if name in _INLINE else settle(view, name, lasting=True)
+            _KEPT[key] = view if name in _INLINE else settle(_dealt(view), name, lasting=True)
         return _KEPT[key]
 
     @property

@@ -1,9 +1,10 @@
 """Dates out of messy cells, and the period labels built from them.
 
-Three plain numbers, by far the most common, are split and cast. Any other text
-goes through a chain of anchored rewrites: each turns one shape of date into
-year, month and day in the preferred order and leaves other text alone. A failed
-``try_cast`` is just a null, so nothing throws.
+Three plain numbers, by far the most common, are split and cast. Any other text is
+told apart by its shape (numbers with more around them, a month's name, few
+numbers) and goes through the anchored rewrites of that shape only: each turns one kind of
+date into year, month and day in the preferred order and leaves other text alone. A
+failed ``try_cast`` is just a null, so nothing throws.
 """
 
 from __future__ import annotations
@@ -30,17 +31,21 @@ _MONTH = (
 # Shape and its rewrite, in order. With slashes month and day may be swapped if
 # the preferred order is no date; with dashes the order is certain. Two-digit
 # years up to 75 are 20xx, later ones 19xx.
-_REWRITES = (
-    (rf"^.*?({DATE_LIKE}).*?{DATE_LIKE}.*$", "$1"),
+_FIRST_OF_RANGE = (rf"^.*?({DATE_LIKE}).*?{DATE_LIKE}.*$", "$1")
+_THREE_NUMBERS = (
     (r"^(\d{1,2})/(\d{1,2})/(\d{4})$", "$3/$2/$1"),
     (rf"^(\d{{4}})[-/.](\d{{1,2}})[-/.](\d{{1,2}}){_CLOCK}$", "$1/$2/$3"),
     (rf"^(\d{{1,2}})[-/.](\d{{1,2}})[-/.](\d{{4}}|\d{{2}}){_CLOCK}$", "$3/$1/$2"),
     (r"^([0-6]\d|7[0-5])/(\d{1,2}/\d{1,2})$", "20$1/$2"),
     (r"^(\d\d)/(\d{1,2}/\d{1,2})$", "19$1/$2"),
-    (r"^(\d{4})(\d{2})(\d{2})$", "$1/$2/$3"),
+)
+_MONTH_NAME = (
     (rf"^(\d{{1,2}})[ -]{_MONTH}[ ,-]+(\d{{4}}){_CLOCK}$", "$3-$2-$1"),
     (rf"^{_MONTH} (\d{{1,2}}),? (\d{{4}}){_CLOCK}$", "$3-$1-$2"),
     (rf"^{_MONTH}[ -](\d{{4}})$", "$2-$1-1"),
+)
+_FEW_NUMBERS = (
+    (r"^(\d{4})(\d{2})(\d{2})$", "$1/$2/$3"),
     (r"^(\d{4})[-/.](\d{1,2})$", "$1-$2-1"),
     (r"^(\d{1,2})[-/.](\d{4})$", "$2-$1-1"),
     (r"^(\d{4})$", "$1-1-1"),
@@ -73,8 +78,19 @@ def _plain_date(text: Column) -> Column:
     return let(F.split(text, "[-/.]"), ordered)
 
 
+def _rewritten(text: Column) -> Column:
+    def through(rules: tuple[tuple[str, str], ...]) -> Column:
+        return reduce(lambda t, rule: F.regexp_replace(t, *rule), rules, text)
+
+    return (
+        F.when(text.rlike(r"^\d+[-/.]\d+[-/.]\d"), through(_THREE_NUMBERS))
+        .when(text.rlike("[A-Za-z]{3}"), through(_MONTH_NAME))
+        .otherwise(through(_FEW_NUMBERS))
+    )
+
+
 def _other_date(text: Column) -> Column:
-    """Every other shape, through the chain of rewrites."""
+    """Every other shape, through the rewrites it can match."""
 
     def read(ordered: Column) -> Column:
         def part(n: int) -> Column:
@@ -86,7 +102,8 @@ def _other_date(text: Column) -> Column:
             ordered.rlike(_ORDERED), F.coalesce(_iso(part(1), part(2), part(3)), swapped)
         ).otherwise(F.when(ordered.rlike("-[A-Za-z]{3}-"), named))
 
-    return let(reduce(lambda t, rule: F.regexp_replace(t, *rule), _REWRITES, text), read)
+    first = F.when(text.rlike(DATE_RANGE), F.regexp_replace(text, *_FIRST_OF_RANGE)).otherwise(text)
+    return let(let(first, _rewritten), read)
 
 
 def parse_day(c: Column) -> Column:
