@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 #: Bytes of text handled at once in a task, words encoded at once, and words remembered by a worker.
 SLICE_BYTES = 8 << 20
 ENCODE_WORDS = 20_000
-MAX_WORDS = 800_000
+MAX_WORDS = 1_500_000
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
@@ -21,7 +21,7 @@ class WordEncoder:
 
     The texts are cut at ASCII white space, and between an ASCII letter and a mark
     after it, where this tokenizer always cuts too, and lower-cased in ASCII, as it
-    does itself. The pieces are encoded by the library once and remembered; the memory
+    does itself outside of special tokens. The pieces are encoded by the library once and remembered; the memory
     is emptied when it holds MAX_WORDS.
     """
 
@@ -33,35 +33,45 @@ class WordEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[str, int] = {}
+        self.words = pa.array([], pa.string())
         self.lengths = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
         self.starts = np.zeros(0, np.int64)
 
-    def numbers(self, words: list[str]) -> np.ndarray:
-        if len(self.number) > MAX_WORDS:
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        """The places of distinct ``words`` in the memory; new ones are encoded and added.
+
+        The memory is one Arrow array: as Python objects the words would take ten times the space.
+        """
+        if len(self.words) > MAX_WORDS:
             self.forget()
-        unseen = [w for w in words if w not in self.number]
+        places = pc.index_in(words, value_set=self.words)
+        known = len(self.words)
+        new = words.filter(pc.is_null(places))
+        lengths, ids = [self.lengths], [self.ids]
         # The library's results are much larger than the ids kept of them, so take some at a time.
-        for at in range(0, len(unseen), ENCODE_WORDS):
-            new = unseen[at : at + ENCODE_WORDS]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            lengths = np.fromiter(map(len, found), np.int64, len(found))
-            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
-            self.lengths = np.concatenate([self.lengths, lengths])
-            flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(lengths.sum()))
-            self.ids = np.concatenate([self.ids, flat])
-            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
-        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        for at in range(0, len(new), ENCODE_WORDS):
+            part = new.slice(at, ENCODE_WORDS).to_pylist()
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            lengths.append(np.fromiter(map(len, found), np.int64, len(found)))
+            ids.append(np.fromiter((i for one in found for i in one), np.uint32, int(lengths[-1].sum())))
+        self.words = pa.concat_arrays([self.words, new])
+        self.lengths, self.ids = np.concatenate(lengths), np.concatenate(ids)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        missing = pc.is_null(places).to_numpy(zero_copy_only=False)
+        numbers = places.fill_null(0).to_numpy().astype(np.int64)
+        numbers[missing] = known + np.arange(len(new))
+        return numbers
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and for n texts the n + 1 places where they begin and end."""
-        texts = pc.replace_substring_regex(
-            pc.ascii_lower(pc.fill_null(texts, "")), pattern=r"([a-z])([.,!?;:])", replacement=r"\1 \2"
-        )
+        texts = pc.fill_null(texts, "")
+        # Names of special tokens count only as they are written.
+        lowered = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        texts = pc.replace_substring_regex(lowered, pattern=r"([A-Za-z])([.,!?;:])", replacement=r"\1 \2")
         words = pc.ascii_split_whitespace(texts)
         coded = words.flatten().dictionary_encode()
-        numbers = self.numbers(coded.dictionary.to_pylist())
+        numbers = self.numbers(coded.dictionary)
         index = numbers[coded.indices.to_numpy()]
         lengths = self.lengths[index]
         ends = np.cumsum(lengths)
@@ -79,13 +89,15 @@ def encoder(path: str) -> WordEncoder:
 
 
 def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Runs of rows of ``batch`` with up to ``most`` bytes of text, one row at least."""
+    """Runs of rows of ``batch`` with up to ``most`` bytes of text, one row at least.
+    What a run needed is given back before the next one, as workers outlive their tasks."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
     ends, start = np.cumsum(sizes), 0
     while start < len(sizes):
         before = ends[start - 1] if start else 0
         stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
         yield batch.slice(start, stop - start)
+        pa.default_memory_pool().release_unused()
         start = stop
 
 
