@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.sources.scratch import settle
 
-from .ranks import add_ranks
+from .ranks import add_ranks, row_hash
 
 #: Longest period of a schedule, that is the sum of all shares.
 MAX_PERIOD = 20_000
@@ -72,9 +72,9 @@ def mix(docs: DataFrame, shares: dict[str, int], block_rows: int, source: str =
     shares = {REST: 1} | shares
     rows = docs.select(
         F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), pool_of(F.col(source), shares).alias("pool"),
-        F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"),
+        row_hash(doc_id, text).alias("hash"),
     )
-    ranked = add_ranks(settle(rows, "mix-rows"), ["pool"], ["doc_id", "text_hash"])
+    ranked = add_ranks(settle(rows, "mix-rows"), ["pool"], ["doc_id"], "hash")
     ranked = ranked.withColumn("block", F.floor(F.col("rank") / block_rows))
     table = settle(schedule(docs.sparkSession, shares), "mix-schedule")
     period = sum(v for v in shares.values() if v > 0)

@@ -93,6 +93,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
               op6_exact_topk, op7_mixing, op8_language_id, op9_token_counts, op10_sharding)
 }
 
+_HASH = """cast('0x' || substr(md5(concat_ws(':', cast(doc_id as varchar), md5(coalesce(text, '')))), 1, 15) as bigint)"""
+_SHARES = {mixing.REST: 1} | SHARES
+_SHARE_ROWS = ", ".join(f"('{pool}', {share})" for pool, share in _SHARES.items())
+
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": r"""
         with d as (
@@ -125,11 +129,37 @@ ORACLES: dict[str, str] = {
           from v q join v c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id),
         r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
         select query_id, rank, vec_id, score from r where rank <= 20""",
+    "op7_mixing": f"""
+        with recursive shares(pool, share) as (values {_SHARE_ROWS}),
+        pools as (select list(pool order by pool) as names, list(share order by pool) as shares, sum(share) as period from shares),
+        slots(t, done, pick) as (
+          select cast(-1 as bigint), list_transform(shares, lambda w: cast(0 as bigint)), cast(null as bigint) from pools
+          union all
+          select t + 1, list_transform(range(1, len(done) + 1), lambda i: done[i] + cast(i = best as int)), best
+          from (select s.t, s.done, (list_min(list_filter(list_transform(range(1, len(s.done) + 1), lambda i: case
+                  when s.done[i] * period // shares[i] <= s.t + 1
+                  then [((s.done[i] + 1) * period + shares[i] - 1) // shares[i], i] end), lambda x: x is not null)))[2] as best
+                from slots s, pools where s.t + 1 < period) n),
+        turns as (
+          select names[pick] as pool, t as slot, row_number() over (partition by pick order by t) - 1 as turn
+          from slots, pools where pick is not null),
+        d as (
+          select doc_id, source, coalesce(pool, '{mixing.REST}') as pool, {_HASH} as h
+          from documents left join shares on source = pool and pool <> '{mixing.REST}'),
+        r as (select *, row_number() over (partition by pool order by h, doc_id) - 1 as rank from d),
+        b as (
+          select doc_id, source, r.pool, rank // {BLOCK_ROWS} as block, rank % {BLOCK_ROWS} as place, share, period
+          from r join shares using (pool), pools),
+        placed as (
+          select b.*, block // share * period + slot as slot
+          from b join turns on b.pool = turns.pool and block % share = turn),
+        ends as (select pool, share, period, max(block) + 1 as next from b group by all),
+        horizon as (select min(next // share * period + slot) as slot from ends e join turns on e.pool = turns.pool and next % share = turn)
+        select doc_id, source, placed.pool, block, place, placed.slot, placed.slot < horizon.slot as in_mix from placed, horizon""",
     "op10_sharding": f"""
         with d as (
           select doc_id, octet_length(encode(coalesce(text, ''))) as bytes,
-                 cast('0x' || substr(md5(concat_ws(':', cast(doc_id as varchar), md5(coalesce(text, '')))), 1, 15)
-                   as bigint) as h from documents),
+                 {_HASH} as h from documents),
         n as (
           select bits, h >> (60 - bits) as prefix, sum(bytes) as shard_bytes, count(*) as shard_rows
           from d, range(0, 61) t(bits) group by 1, 2

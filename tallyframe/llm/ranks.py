@@ -10,8 +10,20 @@ from pyspark.sql import functions as F
 ROWS_A_BUCKET = 256
 
 
-def add_ranks(df: DataFrame, group: list[str], identity: list[str], rank: str = "rank") -> DataFrame:
-    """Numbers the rows of each group from 0 in the order of a hash of ``identity``.
+#: Bits of ``row_hash``.
+HASH_BITS = 60
+
+
+def row_hash(doc_id: str, text: str) -> Column:
+    """60 bits of the MD5 of id and text, as a number: rows without an id differ by their text."""
+    key = F.concat_ws(":", F.col(doc_id).cast("string"), F.md5(F.coalesce(F.col(text), F.lit(""))))
+    return F.conv(F.substring(F.md5(key), 1, HASH_BITS // 4), 16, 10).cast("long")
+
+
+def add_ranks(df: DataFrame, group: list[str], identity: list[str], hashed: str | None = None,
+              rank: str = "rank") -> DataFrame:
+    """Numbers the rows of each group from 0 in the order of a hash of ``identity``, or
+    of the column ``hashed`` that has HASH_BITS even bits, and then of ``identity``.
 
     The hash's leading bits cut every group into buckets of some hundred rows.
     Buckets are counted, the counts are summed up in two levels, and each row's
@@ -21,7 +33,8 @@ def add_ranks(df: DataFrame, group: list[str], identity: list[str], rank: str =
     """
     bits = max(0, math.ceil(math.log2(max(1, df.count()) / ROWS_A_BUCKET)))
     low = bits // 2
-    keyed = df.withColumn("_hash", F.xxhash64(*identity)).withColumn("_bucket", _top_bits(F.col("_hash"), bits))
+    even = F.col(hashed) if hashed else F.shiftrightunsigned(F.xxhash64(*identity), 64 - HASH_BITS)
+    keyed = df.withColumn("_hash", even).withColumn("_bucket", _top_bits(F.col("_hash"), bits))
     keyed = keyed.withColumns({f"_g{i}": F.col(name) for i, name in enumerate(group)})
     keys = [f"_g{i}" for i in range(len(group))]
     counts = keyed.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
@@ -40,7 +53,7 @@ def add_ranks(df: DataFrame, group: list[str], identity: list[str], rank: str =
 
 
 def _top_bits(value: Column, bits: int) -> Column:
-    return F.shiftrightunsigned(value, 64 - bits) if bits else F.lit(0).cast("long")
+    return F.shiftright(value, HASH_BITS - bits) if bits else F.lit(0).cast("long")
 
 
 def _join_nulls(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

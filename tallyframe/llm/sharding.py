@@ -9,18 +9,12 @@ from pyspark.sql import functions as F
 
 from tallyframe.sources.scratch import settle
 
-#: Bits of the hash that can be used; a directory never gets deeper.
-HASH_BITS = 60
+from .ranks import HASH_BITS, row_hash
+
 #: Bits looked at beyond those that equal shards would need, and in each further pass.
 SPARE_BITS = 3
 
 
-def row_hash(doc_id: str, text: str) -> Column:
-    """60 bits of the MD5 of id and text, as a number."""
-    key = F.concat_ws(":", F.col(doc_id).cast("string"), F.md5(F.coalesce(F.col(text), F.lit(""))))
-    return F.conv(F.substring(F.md5(key), 1, HASH_BITS // 4), 16, 10).cast("long")
-
-
 def _prefix(value: Column, bits: Column | int) -> Column:
     if isinstance(bits, int):
         return F.shiftright(value, HASH_BITS - bits) if bits else F.lit(0).cast("long")
