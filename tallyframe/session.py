@@ -10,6 +10,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Aggregate in sort order where a sort-merge join has just sorted by the same keys.
     "spark.sql.execution.replaceHashWithSortAgg": "true",
+    # The same for aggregates that collect lists: by hash they start to sort after 128 keys anyway.
+    "spark.sql.execution.useObjectHashAggregateExec": "false",
     "spark.sql.session.timeZone": "UTC",
 }
 

@@ -6,12 +6,14 @@ from types import SimpleNamespace
 import pytest
 
 from tallyframe.operators import facts as fa
+from tallyframe.plans.batch import run_batch
 from tallyframe.plans.direct import run_direct
 from tallyframe.plans.monthly import run_monthly
 from tallyframe.sources import scratch
+from tallyframe.sources.files import FileSpec, read_files, spec_table
 from tallyframe.sources.warehouse import JDBC_FETCH_ROWS, jdbc_predicates, jdbc_table
 
-from test_jobs import SELLER, warehouse  # noqa: F401
+from test_jobs import EXPORT, SELLER, warehouse, write  # noqa: F401
 
 
 def session(master="local[2]", conf=None, context=None):
@@ -85,3 +87,28 @@ def test_jdbc_dimensions_are_read_in_many_tasks():
     assert "partitionColumn" not in parts and parts["dbtable"] == "public.ecommerce_sku"
     conditions = jdbc_predicates("ecommerce_sku", 4)
     assert len(set(conditions)) == 4 and all("used_id" in c and c.endswith(f"= {i}") for i, c in enumerate(conditions))
+
+
+def counted(spark, frame, seen):
+    def count(row):
+        seen.add(1)
+        return row
+
+    return spark.createDataFrame(frame.rdd.map(count), frame.schema)
+
+
+@pytest.mark.parametrize("job", ["direct", "batch"])
+def test_jobs_read_every_fact_row_once(spark, warehouse, folder, job):  # noqa: F811
+    facts = ("ecommerce_export_seller_sales", "ecommerce_export_seller_traffic", "ecommerce_export_sku_sales",
+             "ecommerce_export_sku_traffic")
+    seen = {name: spark.sparkContext.accumulator(0) for name in facts}
+    frames = {name: counted(spark, warehouse.table(name), seen[name]) for name in facts}
+    frames |= {name: warehouse.table(name) for name in ("ecommerce_item", "ecommerce_sku", "ecommerce_seller")}
+    own = type(warehouse).from_frames(frames)
+    if job == "direct":
+        run_direct(own, spark, [SELLER], "2026-05-01", "2026-05-31", folder, csv=True)
+    else:
+        write(folder, "a.csv", EXPORT)
+        grid, _ = read_files(spark, [folder])
+        run_batch(own, grid, spec_table(spark, [FileSpec("a.csv", SELLER, "SHP")]), "2026-05-01", "2026-05-31", f"{folder}/out")
+    assert {name: n.value for name, n in seen.items()} == {name: warehouse.table(name).count() for name in facts}
