@@ -68,26 +68,20 @@ def header_detect(d: CheckData) -> DataFrame:
 
 
 @query("""
-select file, count(distinct sheet) as sheets from {export_grid}
-where sheet = 'Key Metrics' or file not like '%.SHP.%' group by 1
+select distinct file, sheet from {export_grid} where sheet = 'Key Metrics' or file not like '%.SHP.%'
 """)
 def sheet_select(d: CheckData) -> DataFrame:
     chosen = sh.with_specs(d.grid.select("file", "sheet", "has_header").distinct(), d.specs)
-    return chosen.groupBy("file").agg(F.count("*").alias("sheets"))
+    return chosen.select("file", "sheet")
 
 
 @query("""
-select file, sheet, count(*) as data_rows, min(row_idx) as first_row, max(row_idx) as last_row from {export_grid}
+select file, sheet, cast(row_idx as bigint) as row_idx, concat_ws('|', c0, c1, c2, c3, c4, c5) as cells from {export_grid}
 where (sheet = 'Key Metrics' and row_idx > 2) or (sheet = 'Notes' and row_idx > 0 and file not like '%.SHP.%')
-group by 1, 2
 """)
 def header_promote(d: CheckData) -> DataFrame:
     rows = sh.data_rows(d.grid, sh.sheet_table(d.grid, d.specs))
-    return rows.groupBy("file", "sheet").agg(
-        F.count("*").alias("data_rows"),
-        F.min("row_idx").cast("int").alias("first_row"),
-        F.max("row_idx").cast("int").alias("last_row"),
-    )
+    return rows.select("file", "sheet", "row_idx", F.array_join("cells", "|").alias("cells"))
 
 
 @query("""

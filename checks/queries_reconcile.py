@@ -127,6 +127,14 @@ def report_bundle(d: CheckData) -> DataFrame:
     return bundle.manifest()
 
 
+@query(_two_sided_sql("day", "platform_read"))
+def report_comparison(d: CheckData) -> DataFrame:
+    bundle = run_two_file(
+        d.grid, d.specs, d.db_grid, guess_specs(d.db_grid), new_folder(d.spark, "two-file")
+    )
+    return bundle.table("Comparison")
+
+
 # ---- by source -------------------------------------------------------------------------------
 
 FACT_SUMS = ", ".join(f"cast(sum(coalesce({m}, 0)) as decimal(38,6)) as {m}" for m in ("quantity", "revenue", "page_view"))
