@@ -15,8 +15,11 @@ loses a pair with a chance below 1e-9. Then come rounds of candidates:
    that are near duplicates also share values of short lists. Of these, the classes
    whose whole sets have too many shingles that no other heavy class has
    cannot reach the threshold and leave. The first class of a long list is the one with
-   the fewest such shingles, the middle of a group of copies. Then another one is tried,
-   and at last all pairs across components that the counts allow.
+   the fewest such shingles, the middle of a group of copies; then others are tried.
+3. all pairs of heavy classes that are still in different components and share one of
+   their rarest shingles: with a quarter of the set and one more, rarest first, two
+   sets at 0.75 always do. The places of the shared one bound what the sets can
+   share at all, which rules out nearly every pair of a passage or a group of copies.
 
 Candidates are filtered by the estimate from the sketch of the union, with a
 margin of five standard deviations, and decided by their whole sets. Pairs
@@ -31,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.sources.scratch import settle
@@ -112,15 +115,16 @@ def _alike_sizes(a: Column, b: Column, threshold: float) -> Column:
     return F.least(a, b) >= threshold * F.greatest(a, b)
 
 
-def _can_reach(n_a: Column, alone_a: Column, n_b: Column, alone_b: Column, threshold: float) -> Column:
-    """Could two sets reach the threshold, given how many of their shingles no other set has?"""
-    shared = F.least(n_a - alone_a, n_b - alone_b)
+def _can_reach(n_a: Column, apart_a: Column, n_b: Column, apart_b: Column, threshold: float) -> Column:
+    """Could two sets reach the threshold, given how many of their shingles they do not share at least?"""
+    shared = F.least(n_a - apart_a, n_b - apart_b)
     return shared >= threshold * (n_a + n_b - shared)
 
 
-def _with_alone(texts: DataFrame, words: int, threshold: float) -> DataFrame:
-    """node, alone: the classes of ``texts`` that can have a near duplicate among them, and
-    how many of their shingles no other one has."""
+def _heavy_classes(texts: DataFrame, words: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The classes of ``texts`` that can have a near duplicate among them: node, alone (how
+    many of their shingles no other one has); and the rarest shingles of each: value, node, n,
+    at (how many of its shingles are rarer)."""
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, "text", 4 << 20)):
@@ -144,7 +148,12 @@ def _with_alone(texts: DataFrame, words: int, threshold: float) -> DataFrame:
         counted = counted.select("node", "n", F.coalesce("alone", F.lit(0)).alias("alone"))
         staying = settle(counted.where(F.col("n") - F.col("alone") >= threshold * F.col("n")), "near-staying")
         held = held.join(staying.select("node"), "node", "left_semi")
-    return staying.select("node", "alone")
+    times = held.groupBy("shingle").agg(F.count("*").alias("times"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("times", "shingle")) - 1
+    placed = held.join(times, "shingle").withColumn("at", place)
+    rarest = placed.where((F.col("at") <= F.col("n") - F.ceil(F.col("n") * threshold)) & (F.col("times") > 1))
+    rarest = settle(rarest.select(F.col("shingle").alias("value"), "node", "n", "at"), "near-rarest")
+    return staying.select("node", "alone"), rarest
 
 
 def _estimated(pairs: DataFrame, suspects: DataFrame, threshold: float) -> DataFrame:
@@ -266,7 +275,7 @@ def _linked_classes(docs: DataFrame, classes: DataFrame, words: int, threshold:
     suspects = settle(classes.join(enough, "node"), "near-suspects")
     chosen = suspects.select(F.col("rep").alias("doc_id"), "node", "digest", "heavy")
     texts = settle(docs.join(chosen, "doc_id").select("node", "digest", "text", "heavy"), "near-texts")
-    staying = _with_alone(texts.where("heavy"), words, threshold)
+    staying, rarest = _heavy_classes(texts.where("heavy"), words, threshold)
     used = shared.join(suspects.select("node"), "node", "left_semi").join(staying, "node", "left")
     used = used.withColumn("long", F.col("length") > LONG_LIST).where("not long or alone is not null")
     alone = F.when(F.col("long"), F.col("alone")).otherwise(0).alias("alone")
@@ -284,33 +293,31 @@ def _linked_classes(docs: DataFrame, classes: DataFrame, words: int, threshold:
         pairs = pairs.where(_can_reach(F.col("n"), F.col("alone"), F.col("first.n"), F.col("first.alone"), threshold))
         return pairs.select(F.col("first.node").alias("a"), F.col("node").alias("b"))
 
-    def open_lists(labels: DataFrame) -> DataFrame:
-        """The lists with classes of several components."""
-        rows = lists.join(labels, "node")
+    def open_lists(rows: DataFrame, labels: DataFrame) -> DataFrame:
+        """Those of the lists that have classes of several components."""
+        rows = rows.join(labels, "node")
         split = rows.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high"))
         return settle(rows.join(split.where("low <> high").select("value"), "value"), "near-open")
 
     labels = suspects.select("node", F.col("node").alias("label"))
     middle = F.struct(F.col("alone") / F.col("n"), "node")
     labels = _joined(labels, links(led(lists.withColumn("label", F.col("node")), middle)))
-    rows = open_lists(labels)
+    rows = open_lists(lists.where("not long"), labels)
     members = F.array_sort(F.collect_list(F.struct("node", "n", "label")))
-    short = rows.where("not long").groupBy("value").agg(members.alias("members"))
+    short = rows.groupBy("value").agg(members.alias("members"))
     pairs = short.select(F.explode("members").alias("x"), "members").select("x", F.explode("members").alias("y"))
     pairs = pairs.where(F.expr("x.node < y.node and x.label <> y.label"))
     pairs = pairs.where(_alike_sizes(F.col("x.n"), F.col("y.n"), threshold))
     labels = _joined(labels, links(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))))
     for turn in range(LEADER_ROUNDS):
-        rows = open_lists(labels).where("long")
+        rows = open_lists(lists.where("long"), labels)
         labels = _joined(labels, links(led(rows, F.xxhash64("node", F.lit(turn)))))
-    rows = open_lists(labels).where("long")
+    rows = open_lists(rarest, labels)
     largest = rows.groupBy("value", "label").agg(F.count("*").alias("size")).groupBy("value")
-    largest = largest.agg(F.max(F.struct("size", "label")).alias("top")).select("value", "top.label")
-    outside = rows.join(largest, ["value", "label"], "left_anti")
-    outside = outside.select(
-        "value", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("alone").alias("alone_a"), F.col("label").alias("label_a")
+    largest = largest.agg(F.max(F.struct("size", "label")).alias("top")).select("value", F.col("top.label").alias("top"))
+    outside = rows.join(largest, "value").where("label <> top").select(
+        "value", "top", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("label").alias("label_a")
     )
-    pairs = outside.join(rows, "value").where("label_a <> label")
-    pairs = pairs.where(_can_reach(F.col("n_a"), F.col("alone_a"), F.col("n"), F.col("alone"), threshold))
-    pairs = pairs.select("a", F.col("node").alias("b"))
-    return _joined(labels, links(pairs))
+    pairs = outside.join(rows, "value").where("label_a <> label and (label = top or a < node)")
+    pairs = pairs.where(_can_reach(F.col("n_a"), F.col("at_a"), F.col("n"), F.col("at"), threshold))
+    return _joined(labels, links(pairs.select("a", F.col("node").alias("b"))))
