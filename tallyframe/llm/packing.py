@@ -132,7 +132,10 @@ def pack(cut: DataFrame, capacity: int) -> DataFrame:
     if capacity > MAX_CAPACITY:
         raise ValueError(f"capacity is {MAX_CAPACITY} at most")
     spark = cut.sparkSession
-    cut = settle(cut.drop("rank", "sequence_id", "offset"), "pack-pieces")
+    # Written with a number for each row, so that only numbers and lengths are dealt
+    # out for the ranks, and the rest of a row travels once.
+    cut = cut.drop("rank", "sequence_id", "offset").withColumn("_row", F.monotonically_increasing_id())
+    cut = settle(cut, "pack-pieces")
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     # A run ends with one of at most `capacity` lengths or splits one run of bins in
     # three, so the table grows with the capacity and not with the pieces.
@@ -140,14 +143,15 @@ def pack(cut: DataFrame, capacity: int) -> DataFrame:
         list(intervals(plan(counts, capacity))),
         "run_length long, first_rank long, end_rank long, items long, first_bin long, first_offset long",
     )
-    ranked = add_ranks(cut, ["length"], ["doc_id", "piece"])
+    ranked = add_ranks(cut.select("_row", "doc_id", "piece", "length"), ["length"], ["doc_id", "piece"])
     within = (F.col("length") == F.col("run_length")) & F.col("rank").between(F.col("first_rank"), F.col("end_rank") - 1)
     place = F.col("rank") - F.col("first_rank")
-    return ranked.join(F.broadcast(table), within).select(
-        *cut.columns,
+    placed = ranked.join(F.broadcast(table), within).select(
+        "_row",
         (F.col("first_bin") + F.floor(place / F.col("items"))).cast("long").alias("sequence_id"),
         (F.col("first_offset") + place % F.col("items") * F.col("length")).cast("long").alias("offset"),
     )
+    return cut.join(placed, "_row").drop("_row")
 
 
 def sequences(packed: DataFrame) -> DataFrame:
