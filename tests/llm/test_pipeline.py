@@ -69,6 +69,15 @@ def test_mixing_holds_a_hot_source_back(spark):
     assert sum(n for s, n in kept.items() if s != "hot") == 1000 and abs(kept["hot"] - 1000 / 3) <= 64
 
 
+def test_mixing_keeps_every_row_of_a_hot_source(spark):
+    rows = [(i, f"text {i}", "en", "hot" if i % 2 else f"s{i % 7}", 6) for i in range(2000)]
+    after = corpus_pipeline.mix_sources(spark, spark.createDataFrame(rows, DOCS), SF_DIR).collect()
+    assert sorted(tuple(r) for r in after) == rows
+    # The surplus is the tail; before it the source has its quarter within two blocks.
+    head = max(i for i, r in enumerate(after) if r.source != "hot") + 1
+    assert abs(sum(r.source == "hot" for r in after[:head]) - 1000 / 3) <= 64
+
+
 def test_packing_stage(stages):
     before, after = stages["best-fit packing"]
     rows = after.collect()
