@@ -101,7 +101,8 @@ def ordered(mixed: DataFrame) -> DataFrame:
 
 def capped_shares(docs: DataFrame, max_share: float, parts: int, source: str = "source") -> tuple[dict[str, int], set[str]]:
     """Shares in proportion to the rows of each source, except that none gets more
-    than ``max_share`` of the mix; and the sources this holds back. Sources below one of
+    than ``max_share`` of the mix; and the sources this holds back. As that raises the
+    shares of the others, sources of a smaller size may be held back too. Sources below one of
     ``parts`` go to the rest, so that at most ``parts`` sources are brought to the driver."""
     counts = docs.groupBy(F.col(source).alias("source")).agg(F.count("*").alias("n"))
     total = docs.count()
@@ -124,12 +125,13 @@ def capped_shares(docs: DataFrame, max_share: float, parts: int, source: str = "
 
 def without_surplus(mixed: DataFrame, shares: dict[str, int], capped: set[str]) -> DataFrame:
     """``mixed`` without what the capped pools have left when the blocks of all others
-    have had their turn: these fill their part of so many slots."""
+    have had their turn: these fill their part of so many slots. Without others nothing
+    is surplus."""
     shares = {REST: 1} | shares
     others = ~F.col("pool").isin(list(capped)) if capped else F.lit(True)
     share = sum(n for pool, n in shares.items() if pool not in capped)
     blocks = mixed.where(others & (F.col("place") == 0)).count()
     if not blocks or not share:
-        return mixed.where("in_mix")
+        return mixed
     slots = -(-blocks * sum(shares.values()) // share)
     return mixed.where(others | (F.col("slot") < slots))

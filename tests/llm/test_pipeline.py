@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from tallyframe.llm import language_id
+from tallyframe.llm import language_id, mixing
 from .test_layout_operators import check_packed
 from .test_text_operators import bare, brute_groups
 
@@ -78,6 +78,16 @@ def test_mixing_keeps_every_row_of_a_hot_source(spark):
     assert abs(sum(r.source == "hot" for r in after[:head]) - 1000 / 3) <= 64
 
 
+@pytest.mark.parametrize("parts", [(90, 10), (50, 30, 20), (40, 30, 20, 10), (33, 23, 22, 22)])
+def test_mixing_keeps_every_row_of_few_sources(spark, parts):
+    rows = [(i, f"text {i}", "en", f"s{s}", 6) for s, n in enumerate(parts) for i in range(1000 * s, 1000 * s + 10 * n)]
+    docs = spark.createDataFrame(rows, DOCS)
+    assert sorted(tuple(r) for r in corpus_pipeline.mix_sources(spark, docs, SF_DIR).collect()) == rows
+    shares, capped = mixing.capped_shares(docs, corpus_pipeline.MAX_SHARE, corpus_pipeline.SHARE_PARTS)
+    if capped == {r[3] for r in rows}:
+        assert mixing.without_surplus(mixing.mix(docs, shares, 2), shares, capped).count() == len(rows)
+
+
 def test_packing_stage(stages):
     before, after = stages["best-fit packing"]
     rows = after.collect()
