@@ -15,7 +15,8 @@ def squeezed(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), WHITE_SPACE, "")
 
 
-def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", content_hash=F.md5) -> DataFrame:
+def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", content_hash=F.md5,
+                 row: str | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when they are the same bytes without white space. They are
@@ -26,12 +27,15 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", co
 
     Null text counts as empty. A row without an id stays only if no row of its
     group has one. Rows that repeat an id and a text are judged alike: all of
-    them stay or none. Any other columns of ``docs`` are not looked at.
+    them stay or none. The column ``row``, if given, is returned as it is; any other
+    columns of ``docs`` are not looked at.
     """
+    carried = [row] if row else []
     rows = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"),
         F.coalesce(F.length(text), F.lit(0)).cast("long").alias("n_chars"),
         squeezed(F.col(text)).alias("bytes"),
+        *carried,
     )
     rows = rows.withColumn("hash", content_hash("bytes"))
     # A number that is larger for longer texts, then for smaller ids: one fixed-width
@@ -49,8 +53,8 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", co
         "keep_chars",
         (F.col("keep_chars").cast("decimal(10,0)") * step - F.col("best")).cast("long").alias("keep_id"),
     )
-    members = rows.select("doc_id", "n_chars", "hash", F.sha2("bytes", 256).alias("text_sha256"))
+    members = rows.select("doc_id", "n_chars", "hash", F.sha2("bytes", 256).alias("text_sha256"), *carried)
     kept = F.col("keep_id").isNull() | (F.col("doc_id") == F.col("keep_id")) & (F.col("n_chars") == F.col("keep_chars"))
     return members.join(groups, ["hash", "text_sha256"]).select(
-        "doc_id", "keep_id", "group_size", F.coalesce(kept, F.lit(False)).alias("kept"), "text_sha256"
+        "doc_id", "keep_id", "group_size", F.coalesce(kept, F.lit(False)).alias("kept"), "text_sha256", *carried
     )

@@ -92,7 +92,7 @@ def _digest(shingles: np.ndarray) -> bytes:
 
 
 def profiles(docs: DataFrame, words: int = WORDS, sketch: int = SKETCH) -> DataFrame:
-    """doc_id, n (size of the shingle set), digest of the set, sketch."""
+    """doc_id, row, n (size of the shingle set), digest of the set, sketch."""
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, "text", 8 << 20)):
@@ -103,12 +103,12 @@ def profiles(docs: DataFrame, words: int = WORDS, sketch: int = SKETCH) -> DataF
                 pa.array(np.concatenate([s[:sketch] for s in sets])),
             )
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
+                [batch.column("doc_id"), batch.column("row"), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([_digest(s) for s in sets], pa.binary()), lowest],
-                names=["doc_id", "n", "digest", "sketch"],
+                names=["doc_id", "row", "n", "digest", "sketch"],
             )
 
-    return docs.mapInArrow(profile, "doc_id long, n long, digest binary, sketch array<bigint>")
+    return docs.mapInArrow(profile, "doc_id long, row long, n long, digest binary, sketch array<bigint>")
 
 
 def _alike_sizes(a: Column, b: Column, threshold: float) -> Column:
@@ -229,7 +229,7 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS,
-                threshold: float = THRESHOLD, sketch: int = SKETCH) -> DataFrame:
+                threshold: float = THRESHOLD, sketch: int = SKETCH, row: str | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     Documents with a Jaccard similarity of ``threshold`` or more are linked; of each
@@ -238,10 +238,12 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wor
     has make one shingle. Null and blank texts have none and stay alone. A row without
     an id is linked only with rows of the same shingle set, and is kept if no
     linked row has an id. Repeated rows are judged alike. Equal ids with different
-    texts are separate documents, of which either both or none are the smallest.
+    texts are separate documents, of which either both or none are the smallest. The whole
+    number ``row``, if given, is returned as it is.
     """
     ship(docs.sparkSession)
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    number = F.col(row) if row else F.lit(None)
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), number.cast("long").alias("row"))
     own = settle(profiles(docs, words, sketch), "near-profiles")
     classes = own.where("n > 0").groupBy("digest").agg(
         F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")
@@ -253,10 +255,10 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wor
     smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     named = named.join(smallest, "label").select("digest", "component_id")
     component = F.coalesce("component_id", "doc_id")
-    out = own.select("doc_id", "n", "digest").join(named, "digest", "left")
+    out = own.select("doc_id", "row", "n", "digest").join(named, "digest", "left")
     return out.select(
         "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
-        F.col("doc_id").eqNullSafe(component).alias("kept"),
+        F.col("doc_id").eqNullSafe(component).alias("kept"), *([F.col("row").alias(row)] if row else []),
     )
 
 

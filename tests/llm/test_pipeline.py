@@ -104,6 +104,22 @@ def test_stages_take_odd_rows(spark):
         assert {r.doc_id for r in docs.collect()} <= {2}
 
 
+def test_stages_judge_rows_and_not_ids(spark):
+    """A decision on one row holds for no other one with its id, or without any."""
+    words = " ".join(f"the words of a long text number {i}" for i in range(12))
+    rows = [(None, "123"), (None, "some text of its own"), (None, words + " more"), (1, words), (2, "the first text"),
+            (2, "the longer copy"), (3, "thelonger  copy   "), (2, words + " most")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+
+    def left(stage):
+        return Counter((r.doc_id, r.text) for r in stage(spark, docs, SF_DIR).collect())
+
+    assert left(corpus_pipeline.keep_known_languages) == Counter(rows[1:])
+    assert left(corpus_pipeline.drop_exact_copies) == Counter(rows) - Counter([(2, "the longer copy")])
+    gone = {x for x in rows if x not in left(corpus_pipeline.drop_near_copies)}
+    assert (2, words + " most") in gone and not gone & {(2, "the first text"), (None, "some text of its own"), (1, words)}
+
+
 def test_run(spark, stages):
     found = corpus_pipeline.run(spark, SF_DIR)
     assert Counter(r.doc_id for r in found.collect()) == Counter(r.doc_id for r in stages["best-fit packing"][1].collect())
