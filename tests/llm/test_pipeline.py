@@ -120,6 +120,12 @@ def test_stages_judge_rows_and_not_ids(spark):
     assert (2, words + " most") in gone and not gone & {(2, "the first text"), (None, "some text of its own"), (1, words)}
 
 
+def test_language_stage_without_labels(spark):
+    rows = [(1, "some words", None, "s", 1), (2, "12 !", None, "s", 1), (None, None, None, None, None), (None, "É", None, "s", 1)]
+    after = corpus_pipeline.keep_known_languages(spark, spark.createDataFrame(rows, DOCS), SF_DIR)
+    assert Counter((r.doc_id, r.text) for r in after.collect()) == Counter([(1, "some words"), (None, "É")])
+
+
 def test_run(spark, stages):
     found = corpus_pipeline.run(spark, SF_DIR)
     assert Counter(r.doc_id for r in found.collect()) == Counter(r.doc_id for r in stages["best-fit packing"][1].collect())
