@@ -22,7 +22,8 @@ loses a pair with a chance below 1e-9. Then come rounds of candidates:
    share at all, which rules out nearly every pair of a passage or a group of copies.
 
 Candidates are filtered by the estimate from the sketch of the union, with a
-margin of five standard deviations, and decided by their whole sets. Pairs
+margin of seven standard deviations (for a sketch of 64 and a pair at the threshold, a
+binomial chance below 1e-9 to be left out), and decided by their whole sets. Pairs
 within a component are never looked at again.
 """
 
@@ -46,6 +47,8 @@ WORDS, SKETCH, THRESHOLD = 5, 64, 0.75
 #: Longer lists are not taken for all pairs at once; share of a sketch in such lists from
 #: which a class needs them; other first classes tried for them.
 LONG_LIST, HEAVY_SHARE, LEADER_ROUNDS = 32, 0.4, 2
+#: Standard deviations below the threshold's expected estimate at which a pair is ruled out.
+MARGIN = 7
 #: Passes in which classes without enough shared shingles leave; each may leave others without.
 LEAVING_ROUNDS = 3
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -165,7 +168,7 @@ def _estimated(pairs: DataFrame, suspects: DataFrame, threshold: float) -> DataF
     union = F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, longest)
     both = F.size(F.array_intersect(F.array_intersect("sketch_a", "sketch_b"), union))
     expected = F.size(union) * threshold
-    return joined.where(both >= expected - 5 * F.sqrt(expected * (1 - threshold))).select("a", "b")
+    return joined.where(both >= expected - MARGIN * F.sqrt(expected * (1 - threshold))).select("a", "b")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, threshold: float) -> DataFrame:

@@ -1,6 +1,7 @@
 """Exact and near duplicates, languages, token counts: small tables and brute force."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -119,6 +120,18 @@ def test_near_groups_edges(spark):
     assert near_dedup.near_groups(clash).count() == len(rows)
 
 
+@pytest.mark.parametrize("shared", [23, 24, 27, 30, 31])
+def test_estimate_rules_out_below_a_chance_of_1e_9(spark, shared):
+    """Of the 64 smallest of the union, ``shared`` are in both sketches."""
+    common, rest = list(range(shared)), list(range(shared, 64))
+    sketches = [(0, common + rest), (1, common + list(range(1000, 1000 + len(rest))))]
+    suspects = spark.createDataFrame(sketches, "node long, sketch array<long>")
+    pairs = spark.createDataFrame([(0, 1)], "a long, b long")
+    found = near_dedup._estimated(pairs, suspects, 0.75).count()
+    chance = sum(math.comb(64, k) * 0.75**k * 0.25 ** (64 - k) for k in range(shared + 1))
+    assert found or chance < 1e-9
+
+
 def test_long_chain_is_one_component(spark):
     words = [f"w{i}" for i in range(260)]
     rows = [(i, " ".join(words[2 * i : 2 * i + 60])) for i in range(100)]
