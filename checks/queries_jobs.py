@@ -156,12 +156,13 @@ def scan_csv_quoted(d: CheckData) -> DataFrame:
 @query("""select concat(split_part(seller_id, '.', 1), '.ALL') as seller_id, cast(day as varchar) as period, count(*) as n,
   cast(sum(quantity) as double) as quantity from {db_day} group by 1, 2""")
 def same_name_files(d: CheckData) -> DataFrame:
-    """One file per country, all of the same name in folders of their own."""
+    """A file of each task for each country: the same names in folders of their own."""
     folder = new_folder(d.spark, "same-names")
     rows = d.table("db_day").select(
         F.split_part("seller_id", F.lit("."), F.lit(1)).alias("country"), "day", F.col("quantity").alias("total_quantity")
     )
-    rows.repartition(1).write.partitionBy("country").option("header", True).csv(folder)
+    # Dealt out in turn, so that every task has rows of every country.
+    rows.repartition(max(2, d.spark.sparkContext.defaultParallelism)).write.partitionBy("country").option("header", True).csv(folder)
     grid = read_delimited(d.spark, [folder])
     country = F.regexp_extract("file", "country=([^/]+)/", 1)
     specs = sh.db_specs(guess_specs(grid)).withColumn("seller_id", F.concat(country, F.lit(".ALL")))

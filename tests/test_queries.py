@@ -2,12 +2,14 @@
 ALL_QUERIES=1 for every one of them, or use ``python -m checks.verify``."""
 
 import os
+from pathlib import Path
 
 import pytest
 
 import __spark_entry__ as entry
+from checks import queries_jobs
 from checks.registry import QUERIES
-from checks.verify import check, duck
+from checks.verify import check, difference, duck, frame_of
 
 SF_DIR = "/root/testdata/sf0.001"
 SHORT = [
@@ -33,3 +35,14 @@ def test_query(spark, con, name):
 
 def test_flagship(spark):
     assert len(entry.entry(spark).columns) == 14
+
+
+def test_same_name_files_are_written_by_several_tasks(spark, monkeypatch, folder):
+    monkeypatch.setattr(queries_jobs, "new_folder", lambda *_: f"{folder}/names")
+    query = QUERIES["same_name_files"]
+    found = query.run(spark, SF_DIR).toPandas()
+    assert difference(found, frame_of(duck(SF_DIR), query.oracle)) == ""
+    names = {p.name: set() for p in Path(folder).rglob("*.csv")}
+    for p in Path(folder).rglob("*.csv"):
+        names[p.name].add(p.parent.name)
+    assert len(names) > 1 and any(len(folders) > 1 for folders in names.values())
