@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_DIR = "spark.checkpoint.dir"
 _OWN_ROOTS: dict[str, str] = {}
-_JOB_FOLDERS: ContextVar[list[str] | None] = ContextVar("job_folders", default=None)
+#: The folders of the running job and of the jobs it runs in, outermost first.
+_JOB_FOLDERS: ContextVar[tuple[list[str], ...]] = ContextVar("job_folders", default=())
 
 
 def scratch_root(spark: SparkSession, root: str | None = None) -> str:
@@ -36,11 +37,12 @@ def scratch_root(spark: SparkSession, root: str | None = None) -> str:
 
 
 def new_folder(spark: SparkSession, name: str, root: str | None = None, lasting: bool = False) -> str:
-    """A folder for one table. A lasting one is not removed with the job it was made in."""
+    """A folder for one table. A lasting one outlives the job it was made in; it is
+    removed with the job around that one, if any."""
     path = f"{scratch_root(spark, root)}/tallyframe/{name}-{uuid.uuid4().hex}"
-    folders = _JOB_FOLDERS.get()
-    if folders is not None and not lasting:
-        folders.append(path)
+    owners = _JOB_FOLDERS.get()[: -1 if lasting else None]
+    if owners:
+        owners[-1].append(path)
     return path
 
 
@@ -52,17 +54,21 @@ def settle(df: DataFrame, name: str, root: str | None = None, lasting: bool = Fa
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, *folders: str) -> None:
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(hadoop).delete(path, True)
+
+
 @contextmanager
 def job_tables(spark: SparkSession) -> Iterator[None]:
-    """Removes the scratch tables made inside when the block ends. Results that
-    are still to be read afterwards must have been written elsewhere."""
-    token = _JOB_FOLDERS.set([])
+    """Removes the scratch tables made inside when the block ends, but for lasting ones.
+    Results that are still to be read afterwards must be lasting or written elsewhere."""
+    folders: list[str] = []
+    token = _JOB_FOLDERS.set((*_JOB_FOLDERS.get(), folders))
     try:
         yield
     finally:
-        folders = _JOB_FOLDERS.get()
         _JOB_FOLDERS.reset(token)
-        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-        for folder in folders:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(hadoop).delete(path, True)
+        remove(spark, *folders)
