@@ -192,3 +192,21 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", doc_id:
             )
 
     return docs.mapInArrow(predict, f"doc_id {id_type}, lang_pred string, score double, rejected boolean")
+
+
+def drop_unrecognised(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``identify`` does not reject, all columns as they are, in one
+    pass and without a shuffle. A model without languages rejects only texts without a letter."""
+    rows = docs.where(F.col(text).rlike(r"\p{L}"))
+    if not model.languages:
+        return rows
+    ship(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fitted = shared.value
+        for batch in batches:
+            keep = [not fitted.predict(t.as_py())[2] for t in batch.column(text)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return rows.mapInArrow(known, docs.schema)

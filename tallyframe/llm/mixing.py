@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyframe.sources.scratch import settle
+from tallyframe.sources.scratch import job_tables, settle
 
 from .ranks import add_ranks, row_hash
 
@@ -58,7 +58,7 @@ def pool_of(source: Column, shares: dict[str, int]) -> Column:
 
 
 def mix(docs: DataFrame, shares: dict[str, int], block_rows: int, source: str = "source", doc_id: str = "doc_id",
-        text: str = "text") -> DataFrame:
+        text: str = "text", row: str | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, source, pool, block, place, slot, in_mix.
 
     ``shares`` are whole numbers; sources that are not named, null ones among
@@ -67,12 +67,19 @@ def mix(docs: DataFrame, shares: dict[str, int], block_rows: int, source: str =
     ``slot`` is the block's turn in the mix and ``place`` the row's place in the
     block: sorted by both, the rows are interleaved. The mix holds its weights
     until the first pool that has rows runs out; ``in_mix`` says which rows come
-    before. Pools without rows leave their slots empty. Repeated rows take a place each.
+    before. Pools without rows leave their slots empty. Repeated rows take a place each,
+    and rows without an id are told apart by their texts. Null text counts as empty. The
+    column ``row``, if given, is returned as it is.
     """
-    shares = {REST: 1} | shares
+    with job_tables(docs.sparkSession):
+        return _mixed(docs, {REST: 1} | shares, block_rows, source, doc_id, text, [row] if row else [])
+
+
+def _mixed(docs: DataFrame, shares: dict[str, int], block_rows: int, source: str, doc_id: str, text: str,
+           carried: list[str]) -> DataFrame:
     rows = docs.select(
         F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), pool_of(F.col(source), shares).alias("pool"),
-        row_hash(doc_id, text).alias("hash"),
+        row_hash(doc_id, text).alias("hash"), *carried,
     )
     ranked = add_ranks(settle(rows, "mix-rows"), ["pool"], ["doc_id"], "hash")
     ranked = ranked.withColumn("block", F.floor(F.col("rank") / block_rows))
@@ -85,8 +92,8 @@ def mix(docs: DataFrame, shares: dict[str, int], block_rows: int, source: str =
     placed = ranked.join(F.broadcast(table), ["pool", "turn"], "left")
     slot = F.floor(F.col("block") / F.col("share")) * period + F.col("slot")
     placed = settle(placed.select(
-        "doc_id", "source", "pool", "block", (F.col("rank") % block_rows).alias("place"), slot.alias("slot")
-    ), "mix-placed")
+        "doc_id", "source", "pool", "block", (F.col("rank") % block_rows).alias("place"), slot.alias("slot"), *carried
+    ), "mix-placed", lasting=True)
     ends = placed.groupBy("pool").agg(F.max("block").alias("last")).withColumn("next", F.col("last") + 1)
     ends = ends.withColumn("share", F.try_element_at(own, F.col("pool"))).withColumn("turn", F.col("next") % F.col("share"))
     ends = ends.join(F.broadcast(table), ["pool", "turn"])
@@ -121,17 +128,3 @@ def capped_shares(docs: DataFrame, max_share: float, parts: int, source: str = "
     free, room = sum(n for s, n in sizes.items() if s not in capped), max(0.0, 1 - len(capped) * max_share)
     weight = {s: max_share if s in capped else (n / free * room if free else 0) for s, n in sizes.items()}
     return {s: max(1, round(w * parts)) for s, w in weight.items() if sizes[s]}, capped
-
-
-def without_surplus(mixed: DataFrame, shares: dict[str, int], capped: set[str]) -> DataFrame:
-    """``mixed`` without what the capped pools have left when the blocks of all others
-    have had their turn: these fill their part of so many slots. Without others nothing
-    is surplus."""
-    shares = {REST: 1} | shares
-    others = ~F.col("pool").isin(list(capped)) if capped else F.lit(True)
-    share = sum(n for pool, n in shares.items() if pool not in capped)
-    blocks = mixed.where(others & (F.col("place") == 0)).count()
-    if not blocks or not share:
-        return mixed
-    slots = -(-blocks * sum(shares.values()) // share)
-    return mixed.where(others | (F.col("slot") < slots))

@@ -38,8 +38,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.sources.scratch import settle
+from tallyframe.sources.scratch import job_tables, settle
 
+from .rows import free_name, numbered, smallest_id_first
 from .shipping import ship
 from .tokens import slices
 
@@ -132,18 +133,15 @@ def _heavy_classes(texts: DataFrame, words: int, threshold: float) -> tuple[Data
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, "text", 4 << 20)):
             sets = shingle_sets(batch.column("text"), words)
-            right = [_digest(s) == d.as_py() for s, d in zip(sets, batch.column("digest"), strict=True)]
-            nodes, sets = batch.column("node").filter(pa.array(right)), [s for s, ok in zip(sets, right, strict=True) if ok]
             sizes = [len(s) for s in sets]
-            node = np.repeat(nodes.to_numpy(), sizes)
+            node = np.repeat(batch.column("node").to_numpy(), sizes)
             shingles = np.concatenate(sets) if sets else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(node, pa.int64()), pa.array(np.repeat(sizes, sizes), pa.int64()), pa.array(shingles, pa.int64())],
                 names=["node", "n", "shingle"],
             )
 
-    # Rows that repeat an id bring their text more than once.
-    held = settle(texts.mapInArrow(spell, "node long, n long, shingle long").distinct(), "near-shingles")
+    held = settle(texts.mapInArrow(spell, "node long, n long, shingle long"), "near-shingles")
     for _ in range(LEAVING_ROUNDS):
         single = held.groupBy("shingle").agg(F.count("*").alias("times"), F.min("node").alias("node")).where("times = 1")
         alone = single.groupBy("node").agg(F.count("*").alias("alone"))
@@ -174,7 +172,7 @@ def _estimated(pairs: DataFrame, suspects: DataFrame, threshold: float) -> DataF
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, threshold: float) -> DataFrame:
     """Pairs (a, b) whose whole sets reach the threshold."""
     own = texts.select(F.col("node").alias("a"), F.col("digest").alias("digest_a"), F.col("text").alias("text_a"))
-    other = texts.select(F.col("node").alias("b"), F.col("digest").alias("digest_b"), F.col("text").alias("text_b"))
+    other = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     percent = round(100 * threshold)
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,18 +182,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, threshold: float)
             linked = []
             for i, second in enumerate(shingle_sets(batch.column("text_b"), words)):
                 if kept[0] != digests[i]:
-                    # A row whose text has another set has only its id in common with the class.
-                    first = shingle_sets(batch.column("text_a").slice(i, 1), words)[0]
-                    kept = (digests[i], first if _digest(first) == digests[i] else np.zeros(0, np.int64))
-                if not len(kept[1]) or _digest(second) != batch.column("digest_b")[i].as_py():
-                    continue
+                    kept = (digests[i], shingle_sets(batch.column("text_a").slice(i, 1), words)[0])
                 shared = len(np.intersect1d(kept[1], second, assume_unique=True))
                 if 100 * shared >= percent * (len(kept[1]) + len(second) - shared):
                     linked.append((nodes[i], batch.column("b")[i].as_py()))
             a, b = zip(*linked, strict=True) if linked else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    joined = pairs.join(own, "a").join(other, "b").select("a", "digest_a", "text_a", "b", "digest_b", "text_b")
+    joined = pairs.join(own, "a").join(other, "b").select("a", "digest_a", "text_a", "b", "text_b")
     return joined.mapInArrow(decide, "a long, b long")
 
 
@@ -236,38 +230,63 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wor
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     Documents with a Jaccard similarity of ``threshold`` or more are linked; of each
-    component the row with the smallest id is kept. Words are separated by ASCII white
+    component one row is kept, the one with the smallest id and, among repeated rows
+    or where none has an id, with the smallest row number. Words are separated by ASCII white
     space and compared in ASCII lower case; fewer words than a shingle
-    has make one shingle. Null and blank texts have none and stay alone. A row without
-    an id is linked only with rows of the same shingle set, and is kept if no
-    linked row has an id. Repeated rows are judged alike. Equal ids with different
-    texts are separate documents, of which either both or none are the smallest. The whole
-    number ``row``, if given, is returned as it is.
+    has make one shingle. Null and blank texts have none, stay alone and are kept. The
+    component_id of rows without an id is the smallest id they are linked with, or null.
+    Equal ids with different texts are separate documents. ``row`` names a column of distinct
+    whole numbers and is returned as it is; without it the rows are numbered here.
+
+    Shingles are compared by 64-bit hashes: that two of n shingles of a pair
+    share one by chance has a probability of about n * n / 2^65.
     """
     ship(docs.sparkSession)
-    number = F.col(row) if row else F.lit(None)
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), number.cast("long").alias("row"))
+    carried = [row] if row else []
+    row = row or free_name(docs, "_row")
+    with job_tables(docs.sparkSession):
+        if not carried:
+            docs = numbered(docs, row)
+        rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(row).cast("long").alias("row"))
+        found = _near_groups(rows, words, threshold, sketch)
+        return settle(found.select("doc_id", "n_shingles", "component_id", "kept", *(F.col("row").alias(c) for c in carried)),
+                      "near-groups", lasting=True)
+
+
+def _near_groups(docs: DataFrame, words: int, threshold: float, sketch: int) -> DataFrame:
     own = settle(profiles(docs, words, sketch), "near-profiles")
     classes = own.where("n > 0").groupBy("digest").agg(
-        F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")
+        F.min(smallest_id_first(F.col("doc_id"), F.col("row"))).alias("rep"), F.first("n").alias("n"),
+        F.first("sketch").alias("sketch"),
     )
     classes = settle(classes.withColumn("node", F.monotonically_increasing_id()), "near-classes")
     labels = _linked_classes(docs, classes, words, threshold)
     named = classes.select("node", "digest", "rep").join(labels, "node", "left")
     named = named.withColumn("label", F.coalesce("label", "node"))
-    smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    named = named.join(smallest, "label").select("digest", "component_id")
-    component = F.coalesce("component_id", "doc_id")
+    smallest = named.groupBy("label").agg(F.min("rep").alias("best"))
+    named = named.join(smallest, "label").select(
+        "digest", F.col("best.id").alias("component_id"), F.col("best.row").alias("keep_row")
+    )
     out = own.select("doc_id", "row", "n", "digest").join(named, "digest", "left")
     return out.select(
-        "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
-        F.col("doc_id").eqNullSafe(component).alias("kept"), *([F.col("row").alias(row)] if row else []),
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        (F.col("row") == F.coalesce("keep_row", "row")).alias("kept"), "row",
     )
 
 
+def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **settings) -> DataFrame:
+    """``docs`` with one row of each component of ``near_groups``, all columns as they are."""
+    row = free_name(docs, "_row")
+    with job_tables(docs.sparkSession):
+        rows = numbered(docs, row)
+        gone = near_groups(rows, text, doc_id, row=row, **settings).where("not kept")
+        gone = settle(gone.select(row), "near-gone", lasting=True)
+    return rows.join(gone, row, "left_anti").select(*docs.columns)
+
+
 def _linked_classes(docs: DataFrame, classes: DataFrame, words: int, threshold: float) -> DataFrame:
     """node, label for every class that may have a near duplicate."""
-    postings = classes.where("rep is not null").select(
+    postings = classes.select(
         "node", "n", F.size("sketch").alias("m"), F.explode("sketch").alias("value")
     )
     lists = postings.groupBy("value").agg(F.count("*").alias("length")).where("length > 1")
@@ -278,8 +297,8 @@ def _linked_classes(docs: DataFrame, classes: DataFrame, words: int, threshold:
     ).where(F.col("in_lists") >= F.col("m") * threshold / 2)
     enough = enough.select("node", (F.col("in_long") > HEAVY_SHARE * F.col("m")).alias("heavy"))
     suspects = settle(classes.join(enough, "node"), "near-suspects")
-    chosen = suspects.select(F.col("rep").alias("doc_id"), "node", "digest", "heavy")
-    texts = settle(docs.join(chosen, "doc_id").select("node", "digest", "text", "heavy"), "near-texts")
+    chosen = suspects.select(F.col("rep.row").alias("row"), "node", "digest", "heavy")
+    texts = settle(docs.join(chosen, "row").select("node", "digest", "text", "heavy"), "near-texts")
     staying, rarest = _heavy_classes(texts.where("heavy"), words, threshold)
     used = shared.join(suspects.select("node"), "node", "left_semi").join(staying, "node", "left")
     used = used.withColumn("long", F.col("length") > LONG_LIST).where("not long or alone is not null")

@@ -10,9 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.sources.scratch import settle
+from tallyframe.sources.scratch import job_tables, settle
 
 from .ranks import add_ranks
+from .rows import free_name
 from .shipping import ship
 from .tokens import binary_slices, encoder, slices
 
@@ -126,32 +127,35 @@ def pack(cut: DataFrame, capacity: int) -> DataFrame:
 
     Only the number of pieces of each length, ``capacity`` numbers at most, goes
     to the driver, which plans runs of equal sequences for them. The pieces of a
-    length are numbered without meeting in one task, and find their run by that number.
+    length are numbered by a hash of their place in the table without meeting in one task,
+    and find their run by that number, so null and repeated ids are spread like any others.
     Columns named rank, sequence_id or offset are replaced.
     """
     if capacity > MAX_CAPACITY:
         raise ValueError(f"capacity is {MAX_CAPACITY} at most")
     spark = cut.sparkSession
-    # Written with a number for each row, so that only numbers and lengths are dealt
-    # out for the ranks, and the rest of a row travels once.
-    cut = cut.drop("rank", "sequence_id", "offset").withColumn("_row", F.monotonically_increasing_id())
-    cut = settle(cut, "pack-pieces")
-    counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    # A run ends with one of at most `capacity` lengths or splits one run of bins in
-    # three, so the table grows with the capacity and not with the pieces.
-    table = spark.createDataFrame(
-        list(intervals(plan(counts, capacity))),
-        "run_length long, first_rank long, end_rank long, items long, first_bin long, first_offset long",
-    )
-    ranked = add_ranks(cut.select("_row", "doc_id", "piece", "length"), ["length"], ["doc_id", "piece"])
-    within = (F.col("length") == F.col("run_length")) & F.col("rank").between(F.col("first_rank"), F.col("end_rank") - 1)
-    place = F.col("rank") - F.col("first_rank")
-    placed = ranked.join(F.broadcast(table), within).select(
-        "_row",
-        (F.col("first_bin") + F.floor(place / F.col("items"))).cast("long").alias("sequence_id"),
-        (F.col("first_offset") + place % F.col("items") * F.col("length")).cast("long").alias("offset"),
-    )
-    return cut.join(placed, "_row").drop("_row")
+    cut = cut.drop("rank", "sequence_id", "offset")
+    row = free_name(cut, "_row")
+    with job_tables(spark):
+        # Written with a number for each row, so that only numbers and lengths are dealt
+        # out for the ranks, and the rest of a row travels once.
+        cut = settle(cut.withColumn(row, F.monotonically_increasing_id()), "pack-pieces", lasting=True)
+        counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
+        # A run ends with one of at most `capacity` lengths or splits one run of bins in
+        # three, so the table grows with the capacity and not with the pieces.
+        table = spark.createDataFrame(
+            list(intervals(plan(counts, capacity))),
+            "run_length long, first_rank long, end_rank long, items long, first_bin long, first_offset long",
+        )
+        ranked = add_ranks(cut.select(row, "length"), ["length"], [row])
+        within = (F.col("length") == F.col("run_length")) & F.col("rank").between(F.col("first_rank"), F.col("end_rank") - 1)
+        place = F.col("rank") - F.col("first_rank")
+        placed = ranked.join(F.broadcast(table), within).select(
+            row,
+            (F.col("first_bin") + F.floor(place / F.col("items"))).cast("long").alias("sequence_id"),
+            (F.col("first_offset") + place % F.col("items") * F.col("length")).cast("long").alias("offset"),
+        )
+    return cut.join(placed, row).drop(row)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

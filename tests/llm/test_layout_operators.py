@@ -75,7 +75,21 @@ def test_plan_fills_bins(counts):
         used.update({n: bins * k for n, k in held})
     assert {n: c for n, c in used.items()} == {n: c for n, c in counts.items() if c}
     bins, total = sum(b for b, _, _ in runs), sum(n * c for n, c in counts.items())
-    assert bins <= 1 + 11 / 9 * max(-(-total // capacity), sum(c for n, c in counts.items() if 2 * n > capacity)) + 1
+    # No packing has fewer: by volume, with one item above a half in a bin, or two above a third.
+    halves, thirds = (sum(c for n, c in counts.items() if k * n > capacity) for k in (2, 3))
+    least = max(-(-total // capacity), halves, _unmatched(counts, capacity), -(-thirds // 2))
+    assert bins <= 11 / 9 * least + 2
+
+
+def _unmatched(counts, capacity):
+    """The fewest bins for the items above a third: a plain largest-fit matching."""
+    left, bins = sorted(n for n, c in counts.items() for _ in range(c) if 3 * n > capacity), 0
+    while left:
+        first, bins = left.pop(), bins + 1
+        fits = [n for n in left if n + first <= capacity]
+        if fits:
+            left.remove(max(fits))
+    return bins
 
 
 def check_packed(rows, capacity):
@@ -297,8 +311,6 @@ def test_capped_shares(spark):
     docs = spark.createDataFrame(rows, DOCS)
     shares, capped = mixing.capped_shares(docs, 0.25, 100)
     assert capped == {"a"} and shares["a"] == 25 and all(17 <= shares[f"s{i}"] <= 19 for i in range(4))
-    kept = Counter(r.source for r in mixing.without_surplus(mixing.mix(docs, shares, 2), shares, capped).collect())
-    assert {s: n for s, n in kept.items() if s != "a"} == {"s0": 10, "s1": 10, "s2": 10, "s3": 10, None: 1} and 12 <= kept["a"] <= 18
     assert mixing.capped_shares(docs.limit(0), 0.25, 100) == ({}, set())
 
 
