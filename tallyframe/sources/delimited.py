@@ -1,21 +1,22 @@
 """CSV and TSV files of any encoding and layout, as one grid.
 
-Lines are read as text, so large files are split across tasks. One pass finds,
-per block of a file, how many lines it has and whether its bytes are valid
-UTF-8; that gives every line its number and every file its header. The second pass
-decodes and parses. Only files in which a quoted cell runs over a line end
-cannot be split: they are parsed whole, one task each.
+Lines are read as text, so large files are split across tasks. One pass finds, per
+block of a file, how many lines it has, whether its bytes are valid UTF-8 and whether any
+line leaves a quoted cell open; that gives every line its number and every file its
+header. The second pass decodes and parses.
+
+Only in files with an open line does it matter in which state a line begins: at the
+start of a record, or within a quoted cell. Every line maps either state to the one it ends
+in, and only lines with a quote change anything, so these maps, a few bytes for each such
+line, are composed over the lines of a block and then over the blocks of a file.
+The lines that turn out to begin within a cell are put to those before them; all others are
+parsed where they are read, like the lines of any file.
 """
 
 from __future__ import annotations
 
-import csv
-import io
-import re
-import sys
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +26,12 @@ from .scratch import settle
 
 GLOB = "*.[cCtT][sS][vV]"
 _BOM = "^﻿"
-_OPEN_GRID = "file string, row_idx bigint, cells array<string>"
+#: Longest record, in bytes of all its lines: a quote that is never closed would make one of the rest of a file.
+RECORD_BYTES = 16 << 20
+#: Bytes without a character in Windows-1252.
+UNDEFINED = r"[\x81\x8D\x8F\x90\x9D]"
+
+NOT_TEXT, OPEN_QUOTE, LONG_RECORD = "neither UTF-8 nor Windows-1252 text", "quote left open in line ", "record too long in line "
 
 
 def _c1_characters() -> dict[str, str]:
@@ -57,14 +63,36 @@ def _lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     )
 
 
+def _leaves_open(line: Column, separator: str) -> Column:
+    """Does a line that begins a record end within a quoted cell? Only a quote at the start of a
+    cell opens it; after the closing one, quotes are characters like others."""
+    inside = '[^"]*+(?:""[^"]*+)*+'
+    cell = f'(?:"{inside}"[^{separator}]*+|[^{separator}"][^{separator}]*+|){separator}'
+    return line.rlike(f'^(?:{cell})*+"{inside}$')
+
+
+def _separated(make) -> Column:
+    """What ``make`` gives for the file's separator."""
+    return F.when(F.lower("file").endswith(".tsv"), make("\t")).otherwise(make(","))
+
+
+def _ends_open(line: Column) -> tuple[Column, Column]:
+    """Whether a line ends within a quoted cell if it begins a record, and if it begins in such a cell."""
+    line = F.regexp_replace(line, _BOM, "")
+    quoted = F.contains(line, F.lit('"'))
+    from_cell = F.concat(F.lit('"'), line)
+    return (quoted & _separated(lambda s: _leaves_open(line, s)), ~quoted | _separated(lambda s: _leaves_open(from_cell, s)))
+
+
 def _blocks(lines: DataFrame) -> DataFrame:
     """One row per block: what to add to a line's id to get its number in the file, and
-    the file's encoding, header and separator."""
-    quotes = F.length("raw") - F.length(F.replace("raw", F.lit('"'), F.lit("")))
+    the file's encoding and header, and whether any line is open."""
     first = F.when(~is_blank(F.regexp_replace("raw", _BOM, "")), F.struct("line_id", "raw"))
+    utf8 = F.is_valid_utf8("raw")
+    undefined = ~utf8 & F.decode(F.col("raw").cast("binary"), "ISO-8859-1").rlike(UNDEFINED)
     counted = lines.groupBy("file", "block_start").agg(
         F.min("line_id").alias("first_id"), F.count("*").alias("n"), F.min(first).alias("first"),
-        F.bool_and(F.is_valid_utf8("raw")).alias("utf8"), F.bool_or(quotes % 2 == 1).alias("open"),
+        F.bool_and(utf8).alias("utf8"), F.bool_or(undefined).alias("undefined"), F.bool_or(_ends_open(F.col("raw"))[0]).alias("open"),
     )
     whole = Window.partitionBy("file")
     before = F.sum("n").over(whole.orderBy("block_start").rowsBetween(Window.unboundedPreceding, -1))
@@ -72,77 +100,127 @@ def _blocks(lines: DataFrame) -> DataFrame:
     header = F.struct(F.col("first.line_id") + shift, F.col("first.raw"))
     numbered = counted.select(
         "file", "block_start", shift, F.bool_and("utf8").over(whole).alias("utf8"),
-        F.bool_or("open").over(whole).alias("open"),
+        F.bool_or("undefined").over(whole).alias("undefined"), F.bool_or("open").over(whole).alias("open"),
         F.min(F.when(F.col("first").isNotNull(), header)).over(whole).alias("header"),
     )
-    tabbed = F.lower("file").endswith(".tsv")
     return numbered.where("header is not null").select(
-        "file", "block_start", "shift", "utf8", "open", F.col("header.col1").alias("header_line"),
-        F.when(tabbed, F.lit("\t")).otherwise(F.lit(",")).alias("separator"),
+        "file", "block_start", "shift", "utf8", "undefined", "open", F.col("header.col1").alias("header_line"),
+    )
+
+
+def _composed(order: str, *within: str) -> tuple[Column, Column]:
+    """For rows with ``constant`` (the state a row ends in whatever it begins in, else null) and
+    ``turned`` (does it change the state): the same of all rows up to this one."""
+    upto = Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    turns = F.sum(F.col("turned").cast("int")).over(upto)
+    known = F.when(F.col("constant").isNotNull(), F.struct("constant", turns.alias("turns")))
+    last = F.last(known, ignorenulls=True).over(upto)
+    turned = ((turns - F.coalesce(last["turns"], F.lit(0))) % 2 == 1)
+    return last["constant"] != turned, turned
+
+
+def _continued(lines: DataFrame, blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The records of more than one line: file, first, last (their lines' numbers) and bytes; and
+    the files that cannot be read: file, error."""
+    open_blocks = blocks.where("open and not undefined")
+    from_start, from_cell = _ends_open(F.col("raw"))
+    raw = lines.join(open_blocks, ["file", "block_start"]).where(F.contains("raw", F.lit('"')))
+    quoted = raw.select(
+        "file", "block_start", (F.col("line_id") + F.col("shift")).alias("line"),
+        F.when(from_start == from_cell, from_start).alias("constant"), (from_start & ~from_cell).alias("turned"),
     )
+    constant, turned = _composed("line", "file", "block_start")
+    quoted = settle(quoted.select("file", "block_start", "line", constant.alias("constant"), turned.alias("turned")), "delimited-states")
+    # What a block does as a whole is what it does up to its last line; of these there are few.
+    newest = quoted.groupBy("file", "block_start").agg(F.max(F.struct("line", "constant", "turned")).alias("end"))
+    newest = newest.select("file", "block_start", "end.constant", "end.turned")
+    constant, turned = _composed("block_start", "file")
+    ends = newest.select("file", "block_start", F.coalesce(constant, turned).alias("ends_open"))
+    begins = F.lag("ends_open", 1, False).over(Window.partitionBy("file").orderBy("block_start")).alias("begins_open")
+    begins = ends.select("file", "block_start", begins)
+    # How each line ends, and from that where records of several lines begin and end.
+    ended = F.coalesce("constant", F.col("turned") != F.col("begins_open")).alias("ends_open")
+    ended = quoted.join(begins, ["file", "block_start"]).select("file", "block_start", "line", ended, "begins_open")
+    in_block = Window.partitionBy("file", "block_start").orderBy("line")
+    changed = ended.withColumn("before", F.lag("ends_open").over(in_block))
+    changed = changed.withColumn("before", F.coalesce("before", "begins_open")).where("before <> ends_open")
+    # Openers and closers take turns, so an opener's partner is the next change, be it in a later block.
+    firsts = changed.groupBy("file", "block_start").agg(F.min("line").alias("first_change"))
+    later = F.lead("first_change").over(Window.partitionBy("file").orderBy("block_start")).alias("later")
+    partner = F.coalesce(F.lead("line").over(in_block), F.col("later")).alias("last")
+    spans = changed.join(firsts.select("file", "block_start", later), ["file", "block_start"])
+    spans = spans.select("file", F.col("line").alias("first"), partner, "ends_open").where("ends_open")
+    spans = settle(spans.select("file", "first", "last"), "delimited-spans")
+    unclosed = spans.where("last is null").select("file", F.concat(F.lit(OPEN_QUOTE), F.col("first") + 1).alias("error"))
+    # Every line has a line break at least.
+    closed = F.col("last") - F.col("first") < RECORD_BYTES
+    long = spans.where(~closed).select("file", F.concat(F.lit(LONG_RECORD), F.col("first") + 1).alias("error"))
+    return spans.where(closed), unclosed.unionByName(long)
 
 
 def _cells(text: Column, separator: str) -> Column:
     """The cells of a line, as many as it has. A quote opens a quoted cell only at its start."""
     other = f"[^{separator}]*+"
-    cell = rf'{separator}("(?:[^"]++|"")*+"{other}|{other})'
+    inside = '[^"]*+(?:""[^"]*+)*+'
+    cell = f'{separator}("{inside}"{other}|{other})'
     found = F.regexp_extract_all(F.concat(F.lit(separator), text), F.lit(cell), F.lit(1))
     bare = F.transform(
         found,
         lambda c: F.when(
             c.startswith('"'),
-            F.replace(F.regexp_replace(c, r'^"((?:[^"]++|"")*+)"(.*)$', "$1$2"), F.lit('""'), F.lit('"')),
+            F.concat(
+                F.replace(F.regexp_extract(c, f'^"({inside})"', 1), F.lit('""'), F.lit('"')),
+                F.regexp_replace(c, f'^"{inside}"', ""),
+            ),
         ).otherwise(c),
     )
     return F.when(F.contains(text, F.lit('"')), bare).otherwise(F.split(text, separator, -1))
 
 
-def _parse_whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    csv.field_size_limit(sys.maxsize)
-    c1 = str.maketrans(_c1_characters())
-    for batch in batches:
-        for file, content in zip(batch["file"], batch["content"], strict=True):
-            try:
-                text = content.decode("utf-8-sig")
-            except UnicodeDecodeError:
-                text = content.decode("latin-1").translate(c1)
-            rows, header, line = [], None, 0
-            reader = csv.reader(io.StringIO(text, newline=""), delimiter="\t" if file.lower().endswith(".tsv") else ",")
-            for cells in reader:
-                if any(c.strip() for c in cells):
-                    header = line if header is None else header
-                    rows.append((file, line - header, cells))
-                line = reader.line_num
-            yield pd.DataFrame(rows, columns=["file", "row_idx", "cells"])
-
-
-def _whole_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    exact = [re.sub(r"([\[\]{}*?\\])", r"\\\1", path) for path in paths]
-    files = spark.read.format("binaryFile").load(exact).select(full_path().alias("file"), "content")
-    return files.mapInPandas(_parse_whole, _OPEN_GRID)
+def _parsed(text: Column) -> Column:
+    return _separated(lambda separator: _cells(text, separator))
 
 
-def read_delimited(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Grid of all CSV/TSV files under ``paths``. Row 0 is the header, the first line
-    that is not blank; the others count the lines from there.
+def delimited_files(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The grid of all CSV/TSV files under ``paths``, and the files that cannot be read: file, error.
 
-    A file is known by its full path; its sheet has the base name without suffix.
+    Row 0 is the header, the first line that is not blank; the others count the lines from
+    there, a record of several lines by its first one. Line breaks within a cell are given
+    as line feeds. A file is known by its full path; its sheet has the base name without suffix.
     """
     lines = _lines(spark, paths)
     blocks = settle(_blocks(lines), "delimited-blocks")
+    failed = blocks.where("undefined").select("file", F.lit(NOT_TEXT).alias("error")).distinct()
     text = _text(F.col("raw"), F.col("utf8"))
-    rows = lines.join(blocks.where("not open"), ["file", "block_start"])
-    rows = rows.withColumn("text", text).where(~is_blank(F.col("text")))
-    cells = F.when(F.col("separator") == "\t", _cells(F.col("text"), "\t")).otherwise(_cells(F.col("text"), ","))
-    grid = rows.select("file", (F.col("line_id") + F.col("shift") - F.col("header_line")).alias("row_idx"), cells.alias("cells"))
-    # Names of files only, of which the driver has listed more already.
-    whole = [r["file"] for r in blocks.where("open").select("file").distinct().collect()]
-    if whole:
-        grid = grid.unionByName(settle(_whole_files(spark, whole), "delimited-whole"))
-    return grid.select(
+    line = F.col("line_id") + F.col("shift")
+    numbered = lines.join(blocks.where("not undefined"), ["file", "block_start"]).withColumn("text", text)
+    numbered = numbered.select("file", line.alias("line"), "header_line", "text", "open")
+    single = numbered.where("not open")
+    if not blocks.where("open and not undefined").isEmpty():
+        spans, unclosed = _continued(lines, blocks)
+        members = spans.select("file", F.col("first").alias("record"), F.explode(F.sequence("first", "last")).alias("line"))
+        inside = numbered.where("open").join(members, ["file", "line"])
+        sizes = inside.groupBy("file", "record").agg(F.sum(F.octet_length("text")).alias("bytes"))
+        long = sizes.where(F.col("bytes") > RECORD_BYTES).select("file", F.concat(F.lit(LONG_RECORD), F.col("record") + 1).alias("error"))
+        bad = settle(unclosed.unionByName(long).groupBy("file").agg(F.min("error").alias("error")), "delimited-errors")
+        failed = failed.unionByName(bad)
+        inside = inside.join(bad, "file", "left_anti")
+        joined = inside.groupBy("file", "header_line", F.col("record").alias("line")).agg(
+            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("text")
+        )
+        outside = numbered.where("open").join(members, ["file", "line"], "left_anti").join(bad, "file", "left_anti")
+        single = single.unionByName(outside).select("file", "header_line", "line", "text").unionByName(joined)
+    rows = single.where(~is_blank(F.col("text")) & (F.col("line") >= F.col("header_line")))
+    grid = rows.select(
         "file",
         F.regexp_replace(base_name(F.col("file")), r"\.[^.]+$", "").alias("sheet"),
-        "row_idx",
-        "cells",
+        (F.col("line") - F.col("header_line")).alias("row_idx"),
+        _parsed(F.col("text")).alias("cells"),
         F.lit(True).alias("has_header"),
     )
+    return grid, failed
+
+
+def read_delimited(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """The grid of ``delimited_files`` without those that cannot be read."""
+    return delimited_files(spark, paths)[0]
