@@ -153,6 +153,40 @@ def scan_csv_quoted(d: CheckData) -> DataFrame:
     )
 
 
+@query(r"""
+with t as (select doc_id, regexp_replace(text, '\r\n?', chr(10), 'g') as text, regexp_replace(text, '[\x00-\x1F",]', ' ', 'g') as bare
+           from {documents} where text is not null),
+c as (select doc_id, case doc_id % 4 when 0 then text when 1 then concat('5" ', bare) when 2 then concat('q', text, '"', 'x"y')
+        else concat('x', chr(10), '2" ', text) end as cell,
+        case doc_id % 4 when 3 then concat('7" ', chr(10), doc_id) else cast(doc_id as varchar) end as last_cell from t)
+select doc_id, md5(cell) as cell_md5, length(cell) as n_chars, last_cell from c
+""")
+def scan_csv_layouts(d: CheckData) -> DataFrame:
+    """Whole documents with quotes that open a cell, stand within one, are doubled or follow a
+    closing one, and with line breaks in cells, row by row in another layout."""
+    folder = new_folder(d.spark, "documents-layouts")
+    doubled = F.replace("text", F.lit('"'), F.lit('""'))
+    bare = F.regexp_replace("text", r'[\x00-\x1F",]', " ")
+    layouts = (
+        F.format_string('%d,"%s",%d', "doc_id", doubled, "doc_id"),
+        F.format_string('%d,5" %s,%d', "doc_id", bare, "doc_id"),
+        F.format_string('%d,"q%s"""x"y,%d', "doc_id", doubled, "doc_id"),
+        F.format_string('%d,"x\n2"" %s","7"" \n%d"', "doc_id", doubled, "doc_id"),
+    )
+    line = F.coalesce(*(F.when(F.col("doc_id") % 4 == k, text) for k, text in enumerate(layouts)))
+    d.table("documents").where("text is not null").select(line.alias("value")).write.text(folder)
+    # Spark's text files are renamed, as those of a user end in .csv; the first row of each is its header.
+    files = d.spark.read.format("binaryFile").load(folder).select("path").collect()
+    hadoop = d.spark._jvm.org.apache.hadoop.fs
+    for old in (hadoop.Path(r["path"]) for r in files):
+        old.getFileSystem(d.spark.sparkContext._jsc.hadoopConfiguration()).rename(old, old.suffix(".csv"))
+    cell = F.get("cells", F.lit(1))
+    return read_delimited(d.spark, [folder]).select(
+        F.get("cells", F.lit(0)).cast("bigint").alias("doc_id"), F.md5(cell).alias("cell_md5"), F.length(cell).alias("n_chars"),
+        F.get("cells", F.lit(2)).alias("last_cell"),
+    )
+
+
 @query("""select concat(split_part(seller_id, '.', 1), '.ALL') as seller_id, cast(day as varchar) as period, count(*) as n,
   cast(sum(quantity) as double) as quantity from {db_day} group by 1, 2""")
 def same_name_files(d: CheckData) -> DataFrame:
