@@ -45,11 +45,10 @@ def write_source_report(
     bundle.write("Summary", status_summary(detail))
     bundle.write("Duplicate_Source", iv.duplicate_source(by_source))
     bundle.write("Missing_Order_Summary", iv.missing_order_summary(detail))
-    bundle.view("Preview", lambda: sl.by_source_preview(detail))
+    bundle.write("Preview", sl.by_source_preview(detail))
+    wrong = sl.per_seller_wrong(detail).withColumn("sheet", sl.sheet_name(F.col("seller_id")))
+    bundle.write("Per_Seller", wrong, cluster_by=("seller_id", "status"))
     bundle.counters(source_rows="Source_Investigation", duplicate_source="Duplicate_Source", row_count="Comparison")
-    bundle.view(
-        "Per_Seller", lambda: sl.per_seller_wrong(detail).withColumn("sheet", sl.sheet_name(F.col("seller_id")))
-    )
 
 
 def run_batch(

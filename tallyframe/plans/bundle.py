@@ -1,19 +1,21 @@
 """Report bundle: a folder of tables written by the executors.
 
 Tables that others are derived from are written first and read back, so no
-stage is computed twice. Slices of a written table are views on it: the table
-is partitioned by the column they filter on and Spark prunes to that folder.
+stage is computed twice. Rows are counted while they are written. Slices of a written
+table by status are views on it: the table is partitioned by that column and Spark
+prunes to that folder. A table that is looked up by other columns is clustered by
+them: each value lies in one file or a few next to each other, whose statistics
+let a reader skip all others.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from datetime import date, datetime, timezone
-from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -36,11 +38,18 @@ class Bundle:
         self.spark, self.csv = spark, csv
         self.path = f"{folder.rstrip('/')}/{kind}_{stamp}_{uuid.uuid4().hex[:12]}"
         self._tables: dict[str, Callable[[], DataFrame]] = {}
+        self._counts: dict[str, Observation] = {}
 
-    def write(self, name: str, df: DataFrame, partition_by: str | None = None) -> DataFrame:
+    def write(
+        self, name: str, df: DataFrame, partition_by: str | None = None, cluster_by: Sequence[str] = ()
+    ) -> DataFrame:
         """Write a table and return it as read back, with its size known."""
         path = f"{self.path}/{name}"
-        writer = df.write.partitionBy(partition_by) if partition_by else df.write
+        if cluster_by:
+            df = df.repartitionByRange(*cluster_by).sortWithinPartitions(*cluster_by)
+        self._counts[name] = Observation()
+        counted = df.observe(self._counts[name], F.count(F.lit(1)).alias("n"))
+        writer = counted.write.partitionBy(partition_by) if partition_by else counted.write
         writer.parquet(path)
         self._tables[name] = lambda: self.spark.read.schema(df.schema).parquet(path).select(*df.columns)
         written = self.table(name)
@@ -54,12 +63,9 @@ class Bundle:
         self._tables[name] = make
 
     def counters(self, **tables: str) -> None:
-        """A view with the number of rows of some tables, each under a name of its own."""
-        def count() -> DataFrame:
-            counts = [self.table(t).agg(F.lit(n).alias("counter"), F.count("*").alias("value")) for n, t in tables.items()]
-            return reduce(DataFrame.unionByName, counts)
-
-        self.view("Counters", count)
+        """A table with the number of rows of some written ones, each under a name of its own."""
+        rows = [(name, self._counts[table].get["n"]) for name, table in tables.items()]
+        self.write("Counters", self.spark.createDataFrame(rows, "counter string, value long"))
 
     def params(self, **values: str) -> DataFrame:
         row = [tuple("" if v is None else str(v) for v in values.values())]

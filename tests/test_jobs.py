@@ -97,6 +97,42 @@ def test_batch_check(spark, warehouse, folder):
     assert "status=match" in folders
 
 
+def test_batch_report_is_whole_on_disk(spark, warehouse, folder):
+    """A reader of the folder alone finds the parts of the sellers, the preview and the counters."""
+    write(folder, "a.csv", EXPORT)
+    grid, _ = read_files(spark, [folder])
+    specs = spec_table(spark, [FileSpec("a.csv", SELLER, "SHP")])
+    path = run_batch(warehouse, grid, specs, "2026-05-01", "2026-05-31", f"{folder}/out", csv=True).path
+
+    def table(name):
+        return spark.read.parquet(f"{path}/{name}")
+
+    detail = table("Comparison")
+    wrong = detail.where("status <> 'match'").count()
+    assert wrong and table("Per_Seller").where("sheet = 'S_TH.SHP.1'").count() == wrong
+    assert table("Preview").count() == detail.count() == 18
+    counters = {r.counter: r.value for r in table("Counters").collect()}
+    assert counters == {"source_rows": table("Source_Investigation").count(), "row_count": 18,
+                        "duplicate_source": table("Duplicate_Source").count()}
+    for name in ("Per_Seller", "Preview", "Counters"):
+        assert glob.glob(f"{path}/csv/{name}/*.csv"), name
+
+
+def test_a_sellers_part_lies_in_few_files(spark, folder):
+    bundle = Bundle(spark, folder, "report")
+    rows = spark.range(40_000).selectExpr("concat('S', id % 200) as seller_id", "concat('s', id % 3) as status", "id as n", "uuid() as text")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        bundle.write("Per_Seller", rows, cluster_by=("seller_id", "status"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    written = spark.read.parquet(f"{bundle.path}/Per_Seller").withColumn("part", F.col("_metadata.file_path"))
+    parts = written.select("part").distinct().count()
+    # Sellers on a border of two files aside, each seller has one.
+    spread = written.groupBy("seller_id").agg(F.countDistinct("part").alias("n"), F.count("*").alias("rows")).collect()
+    assert parts == 8 and sum(r.n for r in spread) <= 200 + parts and {r.rows for r in spread} == {200}
+
+
 def test_batch_clipped_and_weekly(spark, warehouse, folder):
     write(folder, "a.csv", EXPORT)
     grid, _ = read_files(spark, [folder])
