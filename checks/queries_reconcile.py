@@ -264,7 +264,7 @@ def duplicate_source(d: CheckData) -> DataFrame:
 from (select status, data_type, metric, cast(diff_db_minus_platform as decimal(38,6)) as diff_db_minus_platform from detail) t
 group by 1, 2, 3""")
 def status_by_day(d: CheckData) -> DataFrame:
-    return _detail(d, "day").groupBy("status", "data_type", "metric").agg(
+    return iv.cell_statuses(_rows(d, "day")).groupBy("status", "data_type", "metric").agg(
         F.count("*").alias("n"), F.sum("diff_db_minus_platform").alias("diff")
     )
 
@@ -279,7 +279,7 @@ SLICE_SQL = " union all ".join(
 def status_slices(d: CheckData) -> DataFrame:
     # One pass over the detail: each row counts for every slice it belongs to.
     inside = F.array_compact(F.array(*(F.when(F.expr(cond), F.lit(name)) for name, cond in sl.SLICES.items())))
-    rows = _detail(d, "day").select("data_type", F.explode(inside).alias("slice"))
+    rows = iv.cell_statuses(_rows(d, "day")).select("data_type", F.explode(inside).alias("slice"))
     return rows.groupBy("slice", "data_type").agg(F.count("*").alias("n"))
 
 
@@ -288,7 +288,7 @@ def status_slices(d: CheckData) -> DataFrame:
   string_agg(distinct query_source_table, ', ' order by query_source_table) as missing_query_tables
 from detail where status = 'missing_in_db' group by 1, 2""")
 def missing_order_summary(d: CheckData) -> DataFrame:
-    return iv.missing_order_summary(_detail(d, "day"))
+    return iv.missing_orders(_rows(d, "day"))
 
 
 @query(f"""with {_ctes('month')} select {DETAIL} from detail

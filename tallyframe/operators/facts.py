@@ -127,14 +127,27 @@ def unusual_owners(warehouse: Warehouse) -> DataFrame:
     return warehouse.derived("unusual-owners", lambda: _unusual_owners(warehouse))
 
 
+def _owned(rows: DataFrame, owners: DataFrame) -> DataFrame:
+    """``rows`` joined to ``owners`` by SKU id.
+
+    Rows without one match nothing. If the join is a shuffle they would all go to one task, so
+    each gets a key of its own that no SKU has.
+    """
+    sku = F.col("fk_sku_used_id")
+    own = F.concat(F.lit("\0"), F.monotonically_increasing_id().cast("string"))
+    keyed = rows.withColumn("join_key", F.coalesce(sku, own))
+    named = owners.where(sku.isNotNull()).withColumnRenamed("fk_sku_used_id", "join_key")
+    return keyed.join(named, "join_key", "left").drop("join_key")
+
+
 def with_owner(rows: DataFrame, warehouse: Warehouse) -> DataFrame:
     """Rows with their registered seller, null where the registry has none."""
-    return rows.join(sku_owners(warehouse), "fk_sku_used_id", "left")
+    return _owned(rows, sku_owners(warehouse))
 
 
 def with_unusual_owner(rows: DataFrame, warehouse: Warehouse) -> DataFrame:
     """Rows with the registered seller if it cannot be told from the SKU id."""
-    return rows.join(unusual_owners(warehouse), "fk_sku_used_id", "left")
+    return _owned(rows, unusual_owners(warehouse))
 
 
 def items_with_owner(rows: DataFrame, warehouse: Warehouse) -> DataFrame:

@@ -223,6 +223,86 @@ def expected_tables(specs: DataFrame, level: str | None = "both") -> DataFrame:
     )
 
 
+def _status(platform: Column, db: Column, matched: Column, config: MetricConfig, metric: str | None = None) -> Column:
+    """Of a metric in a cell; ``matched`` says whether one source alone equals the platform."""
+    limits = tolerances(F.lit(metric) if metric else F.col("metric"), config)
+    return (
+        F.when(within_tolerance(platform, db, *limits), "match")
+        .when(matched, "suspicious_extra_source")
+        .when((db == 0) & (platform != 0), "missing_in_db")
+        .otherwise("mismatch")
+    )
+
+
+def _matches(metric: str, config: MetricConfig) -> Column:
+    """Does the source of a joined row equal the platform on its own?"""
+    limits = tolerances(F.lit(metric), config)
+    return F.col("seen") & within_tolerance(F.col(f"p_{metric}"), F.col(f"s_{metric}"), *limits)
+
+
+def cell_statuses(rows: DataFrame, config: MetricConfig = DEFAULT, by: Sequence[str] = ()) -> DataFrame:
+    """Status per cell and metric from ``source_rows``, when no one asks which sources match.
+
+    Nothing is collected: of a cell only sums and flags are kept, whatever the number of
+    its sources. Columns in ``by`` belong to the cell and are carried along.
+    """
+    per_cell = rows.groupBy(*CELL).agg(
+        *(F.first(c).alias(c) for c in by),
+        *(F.first(f"p_{m}").alias(f"p_{m}") for m in METRICS),
+        *(zero_if_null(F.sum(f"s_{m}")).alias(f"s_{m}") for m in METRICS),
+        *(F.bool_or(_matches(m, config)).alias(f"m_{m}") for m in METRICS),
+    )
+    value = _per_metric(db_all_sources=lambda m: F.col(f"s_{m}"), matched=lambda m: F.col(f"m_{m}"))
+    cells = per_cell.select(*CELL, *by, value.alias("value")).select(*CELL, *by, "value.*")
+    platform, db = F.col("platform_value"), F.col("db_all_sources")
+    matched = F.coalesce("matched", F.lit(False))
+    return cells.withColumn("status", _status(platform, db, matched, config)).withColumn(
+        "diff_db_minus_platform", db - platform
+    ).drop("matched")
+
+
+def missing_orders(rows: DataFrame, config: MetricConfig = DEFAULT) -> DataFrame:
+    """``missing_order_summary`` from ``source_rows`` without the detail of all cells.
+
+    The label of a cell is made of its query tables. Its sources are first summed per table, so
+    only the few tables of a cell meet, and only where a metric is missing.
+    """
+    orders = ("platform_orders", "platform_orders_available")
+    table = F.when(F.trim("query_source_table") != "", F.col("query_source_table"))
+    per_table = rows.groupBy(*CELL, table.alias("label")).agg(
+        F.bool_or("seen").alias("seen"),
+        *(F.first(c).alias(c) for c in orders),
+        *(F.first(f"p_{m}").alias(f"p_{m}") for m in METRICS),
+        *(F.sum(f"s_{m}").alias(f"s_{m}") for m in METRICS),
+        *(F.bool_or(_matches(m, config)).alias(f"m_{m}") for m in METRICS),
+    )
+    per_cell = per_table.groupBy(*CELL).agg(
+        F.bool_or("seen").alias("seen"),
+        *(F.first(c).alias(c) for c in orders),
+        *(F.first(f"p_{m}").alias(f"p_{m}") for m in METRICS),
+        *(zero_if_null(F.sum(f"s_{m}")).alias(f"s_{m}") for m in METRICS),
+        *(F.coalesce(F.bool_or(f"m_{m}"), F.lit(False)).alias(f"m_{m}") for m in METRICS),
+        F.expr("listagg(label, ', ') within group (order by label)").alias("label"),
+    )
+    missing = {
+        m: (_status(F.col(f"p_{m}"), F.col(f"s_{m}"), F.col(f"m_{m}"), config, m) == "missing_in_db") & F.col(f"p_{m}").isNotNull()
+        for m in METRICS
+    }
+    cells = per_cell.select(
+        *KEY, *orders, F.coalesce(F.when(F.col("seen"), F.coalesce("label", F.lit(""))), F.col("data_type")).alias("label"),
+        *(wrong.alias(f"no_{m}") for m, wrong in missing.items())
+    )
+    cells = cells.where(" or ".join(f"no_{m}" for m in METRICS))
+    shown = [F.when(F.bool_or(f"no_{m}"), F.lit(m)) for m in sorted(METRICS)]
+    return cells.groupBy(*KEY).agg(
+        F.max("platform_orders").alias("platform_orders"),
+        F.bool_or("platform_orders_available").alias("platform_orders_available"),
+        F.sum(sum((F.col(f"no_{m}").cast("long") for m in METRICS), F.lit(0))).alias("missing_rows"),
+        F.concat_ws(", ", *shown).alias("missing_metrics"),
+        F.expr("listagg(distinct label, ', ') within group (order by label)").alias("missing_query_tables"),
+    )
+
+
 def compare_by_source(
     rows: DataFrame, expected: DataFrame | None = None, config: MetricConfig = DEFAULT
 ) -> DataFrame:
@@ -234,9 +314,7 @@ def compare_by_source(
     table = F.col("query_source_table")
 
     def matching(metric: str) -> Column:
-        limits = tolerances(F.lit(metric), config)
-        hit = F.col("seen") & within_tolerance(F.col(f"p_{metric}"), F.col(f"s_{metric}"), *limits)
-        return F.array_sort(F.collect_list(F.when(hit, F.struct(table, F.col("source")))))
+        return F.array_sort(F.collect_list(F.when(_matches(metric, config), F.struct(table, F.col("source")))))
 
     per_cell = rows.groupBy(*CELL).agg(
         F.first("platform_orders").alias("platform_orders"),
@@ -260,12 +338,7 @@ def compare_by_source(
         "platform_orders", "platform_orders_available", value.alias("value"),
     ).select(*CELL, "query_source_table", "platform_orders", "platform_orders_available", "value.*")
     platform, db = F.col("platform_value"), F.col("db_all_sources")
-    status = (
-        F.when(within_tolerance(platform, db, *tolerances(F.col("metric"), config)), "match")
-        .when(F.size("matching") > 0, "suspicious_extra_source")
-        .when((db == 0) & (platform != 0), "missing_in_db")
-        .otherwise("mismatch")
-    )
+    status = _status(platform, db, F.size("matching") > 0, config)
     advice = F.create_map(*(F.lit(text) for pair in RECOMMENDATIONS.items() for text in pair))
     return per_cell.withColumn("status", status).select(
         *CELL, "query_source_table", "metric", "platform_value", "platform_orders",

@@ -251,3 +251,22 @@ def test_jdbc_options():
     assert "partitionColumn" not in jdbc_table(options, "ecommerce_sku", "2026-01-01", "2026-01-31", 8)
     with pytest.raises(ValueError):
         jdbc_options(clients, "other", "me", "secret")
+
+
+def test_rows_without_a_sku_are_spread(spark):
+    """Half of the rows have no SKU id; joined by shuffle they reach all tasks, and none is lost."""
+    rows = spark.range(8000).selectExpr("if(id % 2 = 0, null, concat('S.1.', id % 50)) as fk_sku_used_id", "id as quantity")
+    owners = spark.range(50).selectExpr("concat('S.1.', id) as fk_sku_used_id", "concat('R', id) as registered_seller")
+    owners = owners.unionByName(spark.sql("select cast(null as string) as fk_sku_used_id, 'nobody' as registered_seller"))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        joined = fa._owned(rows, owners).withColumn("task", F.spark_partition_id())
+        tasks = [r.n for r in joined.where("fk_sku_used_id is null").groupBy("task").agg(F.count("*").alias("n")).collect()]
+        assert len(tasks) == 8 and max(tasks) < 2 * min(tasks)
+        assert joined.count() == 8000 and joined.where("registered_seller is not null").count() == 4000
+        assert joined.columns[:2] == ["fk_sku_used_id", "quantity"]
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
