@@ -16,7 +16,8 @@ from . import (
 
 SEQUENCE_LENGTH, PACK_END = 2048, 0
 FILE_END = 1
-SHARD_BYTES = 32 << 20
+#: Small enough that small tables are split too, and the SQL checks more than one shard.
+SHARD_BYTES = 256 << 10
 BLOCK_ROWS = 32
 #: Target weights of the mix, in parts; all other sources share one part.
 SHARES = {"src0": 20, "src1": 10, "src2": 10, "src3": 8, "src4": 8, "src5": 6, "src6": 6, "src7": 5, "src8": 5,

@@ -5,7 +5,9 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -171,6 +173,91 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in language_id.identify(asked, nothing).collect()} == {"und"}
 
 
+def plain_ngrams(text):
+    letters = [b if b >= 0x80 or 97 <= b <= 122 else 32 for b in f" {text.lower()} ".encode()]
+    found = Counter()
+    for n, mark in ((2, 1 << 24), (3, 0)):
+        for i in range(len(letters) - n + 1):
+            part = letters[i : i + n]
+            if set(part) != {32}:
+                found[((int.from_bytes(bytes(part)) | mark) * 2654435761 % 2**32) >> 19] += 1
+    return found
+
+
+def plain_language_model(rows):
+    """idf and, language by language, centroids: plain dictionaries and loops."""
+    grams = [plain_ngrams(text) for text, _ in rows]
+    seen = Counter(f for g in grams for f in g)
+    idf = {f: math.log((1 + len(rows)) / (1 + n)) + 1 for f, n in seen.items()}
+
+    def unit(vector):
+        norm = math.sqrt(sum(x * x for x in vector.values())) or 1
+        return {f: x / norm for f, x in vector.items()}
+
+    def vector(found):
+        return unit({f: (1 + math.log(n)) * idf.get(f, math.log(1 + len(rows)) + 1) for f, n in found.items()})
+
+    def dot(a, b):
+        return sum(x * b[f] for f, x in a.items() if f in b)
+
+    def total(vectors):
+        out = Counter()
+        for v in vectors:
+            out.update(v)
+        return out
+
+    centroids = []
+    for language in sorted({lang for _, lang in rows}):
+        own = [vector(g) for g, (_, lang) in zip(grams, rows, strict=True) if lang == language]
+        centers = [max(own, key=lambda v, mean=unit(total(own)): dot(v, mean))]
+        while len(centers) < min(language_id.CENTROIDS, len(own)):
+            centers.append(min(own, key=lambda v: max(dot(v, c) for c in centers)))
+        for _ in range(12):
+            nearest = [max(range(len(centers)), key=lambda c, v=v: dot(v, centers[c])) for v in own]
+            parts = [[v for v, n in zip(own, nearest, strict=True) if n == c] for c in range(len(centers))]
+            centers = [unit(total(part)) if part else center for part, center in zip(parts, centers, strict=True)]
+        centroids += [(language, c) for c in centers]
+    return vector, dot, centroids
+
+
+def test_language_query_is_the_nearest_centroid(spark):
+    """Every row of the query against plain centroids; the sample holds all labelled rows of this table."""
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()
+    learned = [r for r in docs if zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and r.lang and re.search(r"[^\W\d_]", r.text or "")]
+    assert len(learned) < language_id.SAMPLE_ROWS / 4
+    # Ties of equal texts are broken by the order of the rows, so these are put in one.
+    vector, dot, centroids = plain_language_model(sorted(((r.text, r.lang) for r in learned), key=lambda x: (x[1], sample_key(x[0]))))
+    found = {r.doc_id: r for r in QUERIES["op8_language_id"](spark, SF_DIR).collect()}
+    assert set(found) == {r.doc_id for r in docs}
+    for r in docs:
+        if not re.search(r"[^\W\d_]", r.text or ""):
+            assert (found[r.doc_id].lang_pred, found[r.doc_id].score, found[r.doc_id].rejected) == ("und", 0.0, True)
+            continue
+        own = vector(plain_ngrams(r.text))
+        scored = sorted(((dot(own, c), language) for language, c in centroids), reverse=True)
+        assert abs(found[r.doc_id].score - min(1, scored[0][0])) < 2e-3, r.doc_id
+        if scored[0][0] - max((s for s, language in scored if language != scored[0][1]), default=0) > 4e-3:
+            assert found[r.doc_id].lang_pred == scored[0][1]
+
+
+def sample_key(text):
+    """The order in which the sample's rows are taken."""
+    seen, counts = language_id.ngram_counts(text)
+    return seen.astype(np.int32).tobytes(), counts.astype(np.int32).tobytes()
+
+
+def test_token_count_query(spark):
+    reference, pre_token = unigram_reference(), token_counts.PRE_TOKEN
+    texts = texts_of(spark)
+    found = QUERIES["op9_token_counts"](spark, SF_DIR).collect()
+    assert sorted(r.doc_id for r in found) == sorted(texts)
+    for r in found:
+        text = texts[r.doc_id] or ""
+        tokens = len(reference.encode("▁" + text.replace(" ", "▁")).tokens) if text else 0
+        words = len(pre_token.findall(" " + text)) if text else 0
+        assert (r.n_tokens, r.n_pretokens, r.n_chars) == (tokens, words, len(text)), r.doc_id
+
+
 def unigram_reference(byte_fallback=True):
     from sentencepiece import SentencePieceProcessor
     from tokenizers import Tokenizer, models
