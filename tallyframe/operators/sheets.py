@@ -1,7 +1,7 @@
 """From a raw cell grid to normalised facts.
 
 A grid has one row per sheet row: ``file, sheet, row_idx, cells`` and, for
-delimited files, ``has_header`` (row 0 is the header). A file is known by its full
+delimited files, ``has_header`` (row 0 is the header) and, if known, ``is_header``. A file is known by its full
 path. Each spec that names a file reads its sheets on its own, so a sheet is keyed by
 the position of the spec as well. Everything known about a
 sheet (header row, column positions, row flags) sits in one small table with a
@@ -98,9 +98,10 @@ def detect_headers(
     Without any row that scores 0 or more, the first row is taken; as it has no date
     column then, ``quarantine`` reports the sheet.
     """
-    top = grid.where(
-        (F.col("row_idx") < search_rows) & (~F.col("has_header") | (F.col("row_idx") == 0))
-    )
+    # Headers of delimited files are a part of the grid of their own: with the mark for them, which
+    # is a constant in each part, Spark leaves the files' other rows unread.
+    first = F.col("is_header") if "is_header" in grid.columns else F.col("has_header") & (F.col("row_idx") == 0)
+    top = grid.where(first | (~F.col("has_header") & (F.col("row_idx") < search_rows)))
     score = header_score(F.col("cells"), F.element_at(alias_map(config), F.col("scope")))
     rank = F.struct(F.greatest(score, F.lit(-1)), -F.col("row_idx"))
     found = F.struct("row_idx", "cells", "seller_id", "marketplace", "scope", "has_header")

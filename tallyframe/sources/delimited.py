@@ -16,6 +16,7 @@ parsed where they are read, like the lines of any file.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -105,6 +106,7 @@ def _blocks(lines: DataFrame) -> DataFrame:
     )
     return numbered.where("header is not null").select(
         "file", "block_start", "shift", "utf8", "undefined", "open", F.col("header.col1").alias("header_line"),
+        F.col("header.raw").alias("header_raw"),
     )
 
 
@@ -184,8 +186,8 @@ def _parsed(text: Column) -> Column:
 def delimited_files(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """The grid of all CSV/TSV files under ``paths``, and the files that cannot be read: file, error.
 
-    Row 0 is the header, the first line that is not blank; the others count the lines from
-    there, a record of several lines by its first one. Line breaks within a cell are given
+    Row 0 is the header, the first line that is not blank, which ``is_header`` marks; the others
+    count the lines from there, a record of several lines by its first one. Line breaks within a cell are given
     as line feeds. A file is known by its full path; its sheet has the base name without suffix.
     """
     lines = _lines(spark, paths)
@@ -211,14 +213,28 @@ def delimited_files(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFram
         outside = numbered.where("open").join(members, ["file", "line"], "left_anti").join(bad, "file", "left_anti")
         single = single.unionByName(outside).select("file", "header_line", "line", "text").unionByName(joined)
     rows = single.where(~is_blank(F.col("text")) & (F.col("line") >= F.col("header_line")))
-    grid = rows.select(
+    # Headers are known from the first pass, so whoever wants only them does not read the files
+    # again. Where one runs over a line end, it is put together with the other records.
+    headers = blocks.where("not undefined").dropDuplicates(["file"]).withColumn("header_open", _ends_open(F.col("header_raw"))[0])
+    headers = headers.join(failed.select("file"), "file", "left_anti")
+    headers = settle(headers.select("file", "header_line", "header_open", _text(F.col("header_raw"), F.col("utf8")).alias("text")), "delimited-headers")
+    plain = headers.where("not header_open").select("file", "header_line", F.col("header_line").alias("line"), "text")
+    parts = [(plain, True), (rows.where(F.col("line") > F.col("header_line")), False)]
+    if not headers.where("header_open").isEmpty():
+        long = rows.join(headers.where("header_open").select("file"), "file", "left_semi").where(F.col("line") == F.col("header_line"))
+        parts.append((long, True))
+    return reduce(DataFrame.unionByName, [_grid(part, is_header) for part, is_header in parts]), failed
+
+
+def _grid(rows: DataFrame, is_header: bool) -> DataFrame:
+    return rows.select(
         "file",
         F.regexp_replace(base_name(F.col("file")), r"\.[^.]+$", "").alias("sheet"),
         (F.col("line") - F.col("header_line")).alias("row_idx"),
         _parsed(F.col("text")).alias("cells"),
         F.lit(True).alias("has_header"),
+        F.lit(is_header).alias("is_header"),
     )
-    return grid, failed
 
 
 def read_delimited(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
