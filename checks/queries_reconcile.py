@@ -189,7 +189,8 @@ def _facts(d: CheckData) -> DataFrame:
 
 
 def _by_source(d: CheckData, granularity: str) -> DataFrame:
-    return iv.db_by_source(_facts(d), granularity)
+    facts = fa.facts(d.warehouse, d.spark, d.sellers, START, END, grain=granularity)
+    return iv.db_by_source(facts, granularity, summed=True)
 
 
 def _rows(d: CheckData, granularity: str) -> DataFrame:

@@ -131,6 +131,17 @@ def period_label(day: Column, granularity: str) -> Column:
     raise ValueError(f"unknown granularity {granularity!r}; choose day, week or month")
 
 
+def period_start(day: Column, granularity: str) -> Column:
+    """The first day of the period, which has the same label as all of its days."""
+    if granularity == "month":
+        return F.trunc(day, "MM")
+    if granularity == "week":
+        return F.date_sub(F.next_day(F.date_sub(day, 1), "MON"), 6)
+    if granularity == "day":
+        return day
+    raise ValueError(f"unknown granularity {granularity!r}; choose day, week or month")
+
+
 def month_start(day: Column) -> Column:
     return F.trunc(day, "MM")
 

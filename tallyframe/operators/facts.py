@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..config import LEVELS, one_of
 from ..functions import ids
+from ..functions.dates import period_start
 from ..functions.numbers import MEASURE
 from ..functions.revenue import daily_item_revenue
 from ..sources import warehouse as wh
@@ -165,9 +166,9 @@ def between_days(rows: DataFrame, start: str, end: str) -> DataFrame:
     return rows.where(F.col("day").between(F.to_date(F.lit(start)), F.to_date(F.lit(end))))
 
 
-def _day_and_source() -> list[Column]:
+def _day_and_source(grain: str = "day") -> list[Column]:
     return [
-        F.col("day").cast("date").alias("day"),
+        period_start(F.col("day").cast("date"), grain).alias("day"),
         F.coalesce("source", F.lit(NO_SOURCE)).alias("source"),
     ]
 
@@ -176,11 +177,13 @@ def _sums(metrics: Sequence[str]) -> list[Column]:
     return [F.sum(m).alias(m) for m in metrics]
 
 
-def direct_flow(warehouse: Warehouse, flow: Flow, sellers: Sellers, start: str, end: str) -> DataFrame:
+def direct_flow(
+    warehouse: Warehouse, flow: Flow, sellers: Sellers, start: str, end: str, grain: str = "day"
+) -> DataFrame:
     """Flows whose table names the seller: seller sales and seller traffic."""
     rows = between_days(warehouse.table(flow.table), start, end)
     key = seller_key(rows.columns, "fk_seller_used_id", flow.table)
-    sums = rows.groupBy(key.alias("seller_id"), *_day_and_source()).agg(*_sums(flow.metrics))
+    sums = rows.groupBy(key.alias("seller_id"), *_day_and_source(grain)).agg(*_sums(flow.metrics))
     return sellers.keep(sums)
 
 
@@ -191,6 +194,7 @@ def matched_flow(
     sellers: Sellers,
     start: str,
     end: str,
+    grain: str = "day",
 ) -> DataFrame:
     """Flows by SKU: a row counts for a seller if any of its ids points to the seller.
 
@@ -207,17 +211,20 @@ def matched_flow(
         named.append(F.col("seller_used_id"))
     candidates = ids.seller_candidates(named, ids.parent(sku_id))
     counted = rows.select(
-        F.explode(candidates).alias("seller_id"), *_day_and_source(),
+        F.explode(candidates).alias("seller_id"), *_day_and_source(grain),
         *(value.alias(metric) for metric, value in values.items()),
     )
     return sellers.keep(counted.groupBy("seller_id", "day", "source").agg(*_sums(list(values))))
 
 
-def flow_sums(warehouse: Warehouse, name: str, sellers: Sellers, start: str, end: str) -> DataFrame:
-    """Sums of one flow: ``seller_id, day, source`` and the metrics the flow has."""
+def flow_sums(
+    warehouse: Warehouse, name: str, sellers: Sellers, start: str, end: str, grain: str = "day"
+) -> DataFrame:
+    """Sums of one flow: ``seller_id, day, source`` and the metrics the flow has. With a
+    longer ``grain`` the day is the first one of its week or month."""
     flow = FLOWS[name]
     if flow.level == "seller" and not flow.from_items:
-        return direct_flow(warehouse, flow, sellers, start, end)
+        return direct_flow(warehouse, flow, sellers, start, end, grain)
     if flow.from_items:
         owner = F.coalesce("seller_used_id", "registered_seller")
         values = {
@@ -228,7 +235,7 @@ def flow_sums(warehouse: Warehouse, name: str, sellers: Sellers, start: str, end
         values = {"quantity": F.col("quantity"), "revenue": F.col("s_onsite_selling")}
     else:
         values = {"page_view": F.col("page_view")}
-    return matched_flow(warehouse, flow, values, sellers, start, end)
+    return matched_flow(warehouse, flow, values, sellers, start, end, grain)
 
 
 def labelled(sums: DataFrame, flows: Sequence[Flow]) -> DataFrame:
@@ -281,6 +288,7 @@ def facts_of(
     start: str,
     end: str,
     errors: dict[str, str] | None = None,
+    grain: str = "day",
 ) -> DataFrame:
     """The union of the named flows in the fixed nine-column layout.
 
@@ -292,7 +300,7 @@ def facts_of(
     parts = []
     for group in filter(None, groups):
         try:
-            sums = flow_sums(warehouse, group[0], sellers, start, end)
+            sums = flow_sums(warehouse, group[0], sellers, start, end, grain)
             parts.append(labelled(sums, [FLOWS[n] for n in group]))
         except Exception as problem:
             if errors is None:
@@ -334,10 +342,11 @@ def facts(
     use_items: bool = False,
     names: Iterable[str] | None = None,
     errors: dict[str, str] | None = None,
+    grain: str = "day",
 ) -> DataFrame:
-    """Facts of all sellers under one item switch."""
+    """Facts of all sellers under one item switch, summed by day or by a longer ``grain``."""
     chosen = choose_flows(level, use_items, names)
-    return facts_of(warehouse, spark, chosen, Sellers(spark, sellers), start, end, errors)
+    return facts_of(warehouse, spark, chosen, Sellers(spark, sellers), start, end, errors, grain)
 
 
 def facts_by_switch(

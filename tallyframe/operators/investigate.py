@@ -109,12 +109,18 @@ def at_level(rows: DataFrame, level: str | None) -> DataFrame:
     return rows if level == "both" else rows.where(F.col("data_level") == level)
 
 
-def db_by_source(facts: DataFrame, granularity: str, level: str | None = "both") -> DataFrame:
-    """Sums per cell, query table and source; absent or non-numeric metrics are 0."""
+def db_by_source(facts: DataFrame, granularity: str, level: str | None = "both", summed: bool = False) -> DataFrame:
+    """Sums per cell, query table and source; absent or non-numeric metrics are 0.
+
+    ``summed`` says that the facts have one row for each of these already, as the flows
+    have that were summed by periods of this length: then nothing is shuffled again.
+    """
     rows = with_period(at_level(facts, level), granularity)
     for metric in METRICS:
         value = F.col(metric) if metric in facts.columns else F.lit(0)
         rows = rows.withColumn(metric, value.try_cast(MEASURE))
+    if summed:
+        return rows.select(*CELL, "query_source_table", "source", *(zero_if_null(F.col(m)).alias(m) for m in METRICS))
     sums = (zero_if_null(F.sum(m)).alias(m) for m in METRICS)
     return rows.groupBy(*CELL, "query_source_table", "source").agg(*sums)
 

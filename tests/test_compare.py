@@ -147,6 +147,28 @@ def test_by_source_statuses(spark):
     ]
 
 
+def test_statuses_without_lists_equal_the_detail(spark):
+    """Also where a cell has several query tables, blank ones, sources that cancel out, or none."""
+    rng = random.Random(8)
+    sellers = [f"s{i}" for i in range(40)]
+    types = [(dt, table) for dt in ("seller_sales", "seller_traffic", "sku_sales", "sku_traffic") for table in (dt, f"item_{dt}", " ", "x")]
+    fact_rows = [
+        (s, dt, table, source, *(rng.choice([None, -2, 0, 0, 2, 3]) for _ in range(3)))
+        for s in sellers for dt, table in rng.sample(types, rng.randrange(6)) for source in rng.sample(["api", "crawl", None], rng.randrange(1, 4))
+    ]
+    platform_rows = [(s, *(rng.choice([0, 2, 3]) for _ in range(3)), rng.randrange(5)) for s in sellers]
+    rows, detail, _ = cells(spark, platform_rows, fact_rows)
+    key = ["seller_id", "data_type", "metric", "status", "diff_db_minus_platform"]
+    found = sorted(map(tuple, iv.cell_statuses(rows).select(*key).collect()))
+    assert found == sorted(map(tuple, detail.select(*key).collect())) and {r[3] for r in found} >= {
+        "match", "mismatch", "missing_in_db", "suspicious_extra_source"}
+    summary = iv.missing_order_summary(detail)
+    direct = iv.missing_orders(rows).select(*summary.columns)
+    assert sorted(map(tuple, direct.collect())) == sorted(map(tuple, summary.collect())) and summary.count() > 5
+    plan = iv.cell_statuses(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_" not in plan and "collect_" not in iv.missing_orders(rows)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_level_expected_tables_and_absent_orders(spark):
     specs = spark.createDataFrame(
         [("a", False, 0), ("a", True, 1), (" ", True, 2)], "seller_id string, use_item_sales boolean, position bigint"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.operators import audit as au
 from tallyframe.operators import facts as fa
+from tallyframe.operators import investigate as iv
 from tallyframe.operators import monthly as mo
 from tallyframe.sources.warehouse import Warehouse, jdbc_options, jdbc_table
 
@@ -207,6 +208,14 @@ def test_switch_and_missing_table(spark, tables):
     assert (sample.source_sample, sample.first_day, sample.status) == ("NULL_SOURCE, s0, s1", "2026-01-20", "ok")
 
 
+@pytest.mark.parametrize("grain", ["day", "week", "month"])
+def test_flows_summed_by_period_need_no_second_sum(spark, warehouse, grain):
+    days = fa.facts(warehouse, spark, WANTED, "2026-01-01", "2026-12-31")
+    periods = fa.facts(warehouse, spark, WANTED, "2026-01-01", "2026-12-31", grain=grain)
+    summed, plain = iv.db_by_source(periods, grain, summed=True), iv.db_by_source(days, grain)
+    assert sorted(map(str, summed.collect())) == sorted(map(str, plain.collect())) and plain.count() > 3
+
+
 def test_source_sample_keeps_the_first_five(spark):
     facts = spark.createDataFrame(
         [("d", "l", "q", "s", date(2026, 1, 1), f"x{i}", Decimal(1), None, None) for i in range(9)], fa.FACT_SCHEMA
