@@ -5,12 +5,16 @@ plus one, so of two linked fingerprints one segment differs by one bit at most.
 segment is indexed under its 32 variants with one bit left out; fingerprints linked
 share a variant, which an equality join finds, and the other bits are counted.
 
-Only components are wanted, so a list of fingerprints with one variant is settled in steps:
-
-1. lists of two are a pair; in longer ones each member is compared with the smallest;
-2. lists that still hold several components: up to SHORT_LIST members are compared
-   with each other across components;
-3. members of longer ones are indexed once more under all 2016 variants of the whole
+In the lists of a variant without bit i only fingerprints that differ in it are compared, so a
+list matters only if it holds both; those that are equal in a whole segment meet in the
+list of bit 0. Only components are wanted, so the lists are settled in steps:
+
+1. each member is compared with one of its list, LEADER_ROUNDS times with another one;
+   a list whose members are in one component is closed;
+2. the members of open lists with up to SHORT_LIST are compared with each other, across components;
+3. the others are cut once more in the same way: the other segment in halves, of which one
+   differs by one bit at most, under 32 variants; short lists of these are compared as in 2;
+4. members of lists that are still long are indexed under all 2016 variants of the whole
    fingerprint with two bits left out. Such a list has four members at most, and any two
    of them are linked, so long lists cost a fixed number of rows for each member.
 """
@@ -33,8 +37,8 @@ from .shipping import ship
 from .tokens import slices
 
 WORDS, SEED, DISTANCE = 3, 42, 2
-#: Longest list whose members are compared with each other.
-SHORT_LIST = 16
+#: Longest list whose members are compared with each other, and rounds with one member of each list before.
+SHORT_LIST, LEADER_ROUNDS = 16, 2
 #: Shingles whose bits are spread out at once.
 SPREAD = 1 << 15
 
@@ -84,10 +88,24 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wo
 
 
 def _variants(prints: DataFrame) -> DataFrame:
-    """print and key: 64 rows for each, a half with one bit left out and which half and bit."""
-    keys = F.expr("""transform(sequence(0L, 63L), k -> shiftleft(k, 32)
-        | (shiftrightunsigned(print, if(k < 32, 0, 32)) & 4294967295L & ~shiftleft(1L, cast(k % 32 as int))))""")
-    return prints.select("print", F.explode(keys).alias("key"))
+    """print, key and bit: 64 rows for each, a half with one bit left out and which half and
+    bit, and that bit."""
+    segment = "shiftrightunsigned(print, if(k < 32, 0, 32)) & 4294967295L"
+    variants = F.expr(f"""transform(sequence(0L, 63L), k -> struct(
+        shiftleft(k, 32) | ({segment} & ~shiftleft(1L, cast(k % 32 as int))) as key,
+        shiftrightunsigned(print, cast(k as int)) & 1 as bit))""")
+    return prints.select("print", F.explode(variants).alias("variant")).select("print", "variant.*")
+
+
+def _lists(prints: DataFrame) -> DataFrame:
+    """key, n, print of the lists that may hold linked fingerprints."""
+    variants = _variants(prints)
+    # Rows in the low half of a number, set bits in the high half: one column to shuffle.
+    sizes = variants.groupBy("key").agg(F.sum(F.shiftleft("bit", 32) + 1).alias("sizes"))
+    n, ones = F.col("sizes").bitwiseAND(F.lit((1 << 32) - 1)), F.shiftright("sizes", 32)
+    whole = F.shiftright("key", 32) % 32 == 0
+    kept = sizes.where((n > 1) & (whole | ones.between(1, n - 1))).select("key", n.alias("n"))
+    return settle(variants.select("key", "print").join(kept, "key").select("key", "n", "print"), "simhash-lists")
 
 
 def _close(a: Column, b: Column) -> Column:
@@ -104,11 +122,34 @@ def _merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
     return settle(merged, "simhash-labels")
 
 
-def _across_short(members: DataFrame) -> DataFrame:
+def _open(rows: DataFrame, *key: str) -> DataFrame:
+    """Of ``rows`` (key columns, label and others) those of lists with several components, and
+    the number of the list's rows."""
+    split = rows.groupBy(*key).agg(F.count("*").alias("n"), F.min("label").alias("a"), F.max("label").alias("b")).where("a < b")
+    return rows.drop("n").join(split.select(*key, "n"), list(key))
+
+
+def _led(rows: DataFrame, turn: int) -> DataFrame:
+    """Links between components of each list's first member, by a hash that changes every turn, and the others."""
+    first = F.min(F.struct(F.xxhash64("print", F.lit(turn)).alias("order"), "print", "label")).alias("first")
+    pairs = rows.join(rows.groupBy("key").agg(first), "key").where("label <> first.label")
+    pairs = pairs.where(_close(F.col("print"), F.col("first.print")))
+    return pairs.select(F.least("label", "first.label").alias("a"), F.greatest("label", "first.label").alias("b"))
+
+
+def _across_short(members: DataFrame, *key: str) -> DataFrame:
     """Links between components within lists of SHORT_LIST members at most."""
-    a = members.select("key", F.col("print").alias("print_a"), F.col("label").alias("a"))
-    b = members.select("key", F.col("print").alias("print_b"), F.col("label").alias("b"))
-    return a.join(b, "key").where("a < b").where(_close(F.col("print_a"), F.col("print_b"))).select("a", "b")
+    a = members.select(*key, F.col("print").alias("print_a"), F.col("label").alias("a"))
+    b = members.select(*key, F.col("print").alias("print_b"), F.col("label").alias("b"))
+    return a.join(b, list(key)).where("a < b").where(_close(F.col("print_a"), F.col("print_b"))).select("a", "b")
+
+
+def _halved(members: DataFrame) -> DataFrame:
+    """key, half, print, label: 32 rows for each member of a list, a half of the segment the
+    list does not share with one bit left out, and which half and bit."""
+    other = "shiftrightunsigned(print, if(shiftrightunsigned(key, 37) = 0, 32, 0) + if(k < 16, 0, 16)) & 65535L"
+    halves = F.expr(f"transform(sequence(0L, 31L), k -> shiftleft(k, 16) | ({other} & ~shiftleft(1L, cast(k % 16 as int))))")
+    return members.select("key", F.explode(halves).alias("half"), "print", "label")
 
 
 def _across_long(members: DataFrame) -> DataFrame:
@@ -130,26 +171,22 @@ def _across_long(members: DataFrame) -> DataFrame:
     return lists.where("low < high").select(F.col("low").alias("a"), others).where("b > a")
 
 
-def linked_prints(prints: DataFrame) -> DataFrame:
-    """print, label for the distinct ``prints`` that are linked with another one: the smallest
-    fingerprint that can be reached by links of DISTANCE bits at most."""
-    sizes = _variants(prints).groupBy("key").agg(
-        F.count("*").alias("n"), F.min("print").alias("low"), F.max("print").alias("high")
-    )
-    lists = settle(sizes.where("n > 1"), "simhash-lists")
-    longer = lists.where("n > 2").select("key", "n", "low")
-    members = settle(_variants(prints).join(longer, "key"), "simhash-members")
-    first = lists.select(F.col("low").alias("a"), F.col("high").alias("b"))
-    led = members.where("print > low").select(F.col("low").alias("a"), F.col("print").alias("b"))
-    edges = settle(first.union(led).where(_close(F.col("a"), F.col("b"))).distinct(), "simhash-edges")
-    labels = settle(components(edges).select(F.col("node").alias("print"), "label"), "simhash-labels")
-    labels = settle(prints.select("print").join(labels, "print", "left").select("print", F.coalesce("label", "print").alias("label")),
-                    "simhash-labels")
-    members = members.join(labels, "print").select("key", "n", "print", "label")
-    split = members.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b")
-    rest = settle(members.join(split.select("key"), "key"), "simhash-open")
-    across = _across_short(rest.where(F.col("n") <= SHORT_LIST)).union(_across_long(rest.where(F.col("n") > SHORT_LIST)))
-    return _merged(labels, across)
+def component_labels(prints: DataFrame) -> DataFrame:
+    """print, label for the distinct ``prints``: one of the fingerprints that can be reached by
+    links of DISTANCE bits at most, the same for all of these."""
+    lists = _lists(prints)
+    labels = prints.select("print", F.col("print").alias("label"))
+
+    def opened() -> DataFrame:
+        return settle(_open(lists.join(labels, "print"), "key"), "simhash-open")
+
+    for turn in range(LEADER_ROUNDS):
+        labels = _merged(labels, _led(opened(), turn))
+    rows = opened()
+    long = settle(_open(_halved(rows.where(F.col("n") > SHORT_LIST)), "key", "half"), "simhash-halves")
+    across = _across_short(rows.where(F.col("n") <= SHORT_LIST), "key")
+    across = across.union(_across_short(long.where(F.col("n") <= SHORT_LIST), "key", "half"))
+    return _merged(labels, across.union(_across_long(long.where(F.col("n") > SHORT_LIST))))
 
 
 def simhash_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, seed: int = SEED) -> DataFrame:
@@ -166,7 +203,7 @@ def simhash_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         own = settle(fingerprints(docs, text, doc_id, words, seed), "simhash-prints", lasting=True)
         # Copies are counted out where they are read; only one of each fingerprint travels on.
         prints = settle(own.groupBy("print").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-        named = prints.join(linked_prints(prints), "print")
+        named = prints.join(component_labels(prints), "print")
         smallest = named.groupBy("label").agg(F.min("least").alias("component_id"))
         named = settle(named.join(smallest, "label").select("print", "component_id"), "simhash-named", lasting=True)
     out = own.join(named, "print")

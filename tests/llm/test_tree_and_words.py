@@ -247,9 +247,11 @@ def test_simhash_of_nothing(spark, folder):
     assert query(spark, "op13_simhash_near_dedup", [], folder) == []
 
 
+@pytest.mark.parametrize("rounds", [2, 0])
 @pytest.mark.parametrize("kind", ["chain", "ball", "half"])
-def test_linked_prints(spark, kind):
+def test_component_labels(spark, monkeypatch, kind, rounds):
     """Long chains, dense groups of thousands of links, and long lists of prints that are not linked."""
+    monkeypatch.setattr(simhash, "LEADER_ROUNDS", rounds)
     rng = random.Random(kind)
     base = rng.getrandbits(64)
     if kind == "chain":
@@ -265,7 +267,7 @@ def test_linked_prints(spark, kind):
         prints |= {p ^ 0b101 << rng.randrange(30) for p in list(prints)[:40]} | {p ^ 1 << 50 for p in list(prints)[:40]}
     prints |= {rng.getrandbits(64) for _ in range(100)}
     signed = [(int(np.uint64(p).astype(np.int64)),) for p in prints]
-    found = {r.print: r.label for r in simhash.linked_prints(spark.createDataFrame(signed, "print long")).collect()}
+    found = {r.print: r.label for r in simhash.component_labels(spark.createDataFrame(signed, "print long")).collect()}
     assert set(found) == {p for p, in signed}
 
     def grouped(labels):
