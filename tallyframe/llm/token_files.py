@@ -21,6 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyframe.sources.scratch import settle
+
 from .shipping import ship
 from .tokens import binary_slices, encoder, slices
 
@@ -165,7 +167,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     parts = counts.groupBy("part").agg(F.sum("n_ids").alias("n_ids"))
     parts = parts.select("part", F.coalesce(F.sum("n_ids").over(before.orderBy("part")), F.lit(0)).alias("part_start"))
     in_part = F.coalesce(F.sum("n_ids").over(before.partitionBy("part").orderBy("block")), F.lit(0))
-    starts = counts.select("part", "block", in_part.alias("in_part")).join(parts, "part")
+    # A row for each block, written so that its size is known: while it is small the ids stay where they are read.
+    starts = settle(counts.select("part", "block", in_part.alias("in_part")).join(parts, "part"), "token-starts")
     return rows.join(starts, ["part", "block"]).select(
         "doc_id", (F.col("start") + F.col("in_part") + F.col("part_start")).alias("start"), "n_tokens", "ids"
     )
