@@ -11,12 +11,13 @@ list of bit 0. Only components are wanted, so the lists are settled in steps:
 
 1. each member is compared with one of its list, LEADER_ROUNDS times with another one;
    a list whose members are in one component is closed;
-2. the members of open lists with up to SHORT_LIST are compared with each other, across components;
-3. the others are cut once more in the same way: the other segment in halves, of which one
-   differs by one bit at most, under 32 variants; short lists of these are compared as in 2;
-4. members of lists that are still long are indexed under all 2016 variants of the whole
+2. of an open list, the members outside its largest component are compared with all others, if
+   they are FEW_OTHERS at most;
+3. other lists are cut once more in the same way: the other segment in halves, of which one
+   differs by one bit at most, under 32 variants; these lists are treated as in 2;
+4. members of lists that still have many others are indexed under all 2016 variants of the whole
    fingerprint with two bits left out. Such a list has four members at most, and any two
-   of them are linked, so long lists cost a fixed number of rows for each member.
+   of them are linked, so such lists cost a fixed number of rows for each member.
 """
 
 from __future__ import annotations
@@ -37,8 +38,9 @@ from .shipping import ship
 from .tokens import slices
 
 WORDS, SEED, DISTANCE = 3, 42, 2
-#: Longest list whose members are compared with each other, and rounds with one member of each list before.
-SHORT_LIST, LEADER_ROUNDS = 16, 2
+#: Most members outside a list's largest component that are compared with the whole list, and
+#: rounds with one member of each list before.
+FEW_OTHERS, LEADER_ROUNDS = 16, 2
 #: Shingles whose bits are spread out at once.
 SPREAD = 1 << 15
 
@@ -98,14 +100,14 @@ def _variants(prints: DataFrame) -> DataFrame:
 
 
 def _lists(prints: DataFrame) -> DataFrame:
-    """key, n, print of the lists that may hold linked fingerprints."""
+    """key, print of the lists that may hold linked fingerprints."""
     variants = _variants(prints)
     # Rows in the low half of a number, set bits in the high half: one column to shuffle.
     sizes = variants.groupBy("key").agg(F.sum(F.shiftleft("bit", 32) + 1).alias("sizes"))
     n, ones = F.col("sizes").bitwiseAND(F.lit((1 << 32) - 1)), F.shiftright("sizes", 32)
     whole = F.shiftright("key", 32) % 32 == 0
-    kept = sizes.where((n > 1) & (whole | ones.between(1, n - 1))).select("key", n.alias("n"))
-    return settle(variants.select("key", "print").join(kept, "key").select("key", "n", "print"), "simhash-lists")
+    kept = sizes.where((n > 1) & (whole | ones.between(1, n - 1))).select("key")
+    return settle(variants.select("key", "print").join(kept, "key"), "simhash-lists")
 
 
 def _close(a: Column, b: Column) -> Column:
@@ -123,25 +125,32 @@ def _merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _open(rows: DataFrame, *key: str) -> DataFrame:
-    """Of ``rows`` (key columns, label and others) those of lists with several components, and
-    the number of the list's rows."""
-    split = rows.groupBy(*key).agg(F.count("*").alias("n"), F.min("label").alias("a"), F.max("label").alias("b")).where("a < b")
-    return rows.drop("n").join(split.select(*key, "n"), list(key))
+    """Of ``rows`` (key columns, print, label) those of lists with several components, with the
+    list's largest component, ``top``, and how many rows are not in it, ``others``."""
+    parts = rows.groupBy(*key, "label").agg(F.count("*").alias("n"))
+    lists = parts.groupBy(*key).agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.max(F.struct("n", "label")).alias("top"))
+    lists = lists.where("parts > 1").select(*key, F.col("top.label").alias("top"), (F.col("n") - F.col("top.n")).alias("others"))
+    return rows.select(*key, "print", "label").join(lists, list(key))
 
 
 def _led(rows: DataFrame, turn: int) -> DataFrame:
     """Links between components of each list's first member, by a hash that changes every turn, and the others."""
     first = F.min(F.struct(F.xxhash64("print", F.lit(turn)).alias("order"), "print", "label")).alias("first")
-    pairs = rows.join(rows.groupBy("key").agg(first), "key").where("label <> first.label")
-    pairs = pairs.where(_close(F.col("print"), F.col("first.print")))
+    first = rows.groupBy("key").agg(first).select(F.col("key").alias("list"), "first")
+    linked = (F.col("label") != F.col("first.label")) & _close(F.col("print"), F.col("first.print"))
+    pairs = rows.join(first, [F.col("key") == F.col("list"), linked])
     return pairs.select(F.least("label", "first.label").alias("a"), F.greatest("label", "first.label").alias("b"))
 
 
-def _across_short(members: DataFrame, *key: str) -> DataFrame:
-    """Links between components within lists of SHORT_LIST members at most."""
-    a = members.select(*key, F.col("print").alias("print_a"), F.col("label").alias("a"))
-    b = members.select(*key, F.col("print").alias("print_b"), F.col("label").alias("b"))
-    return a.join(b, list(key)).where("a < b").where(_close(F.col("print_a"), F.col("print_b"))).select("a", "b")
+def _across_few(rows: DataFrame, *key: str) -> DataFrame:
+    """Links between components within lists of FEW_OTHERS others at most: these with all rows."""
+    rows = rows.where(F.col("others") <= FEW_OTHERS)
+    a = rows.where("label <> top").select(*key, F.col("print").alias("print_a"), F.col("label").alias("a"), "top")
+    b = rows.select(*(F.col(c).alias(f"{c}_b") for c in key), F.col("print").alias("print_b"), F.col("label").alias("b"))
+    same = [F.col(c) == F.col(f"{c}_b") for c in key]
+    once = (F.col("a") != F.col("b")) & ((F.col("b") == F.col("top")) | (F.col("print_a") < F.col("print_b")))
+    pairs = a.join(b, [*same, once, _close(F.col("print_a"), F.col("print_b"))])
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def _halved(members: DataFrame) -> DataFrame:
@@ -183,10 +192,10 @@ def component_labels(prints: DataFrame) -> DataFrame:
     for turn in range(LEADER_ROUNDS):
         labels = _merged(labels, _led(opened(), turn))
     rows = opened()
-    long = settle(_open(_halved(rows.where(F.col("n") > SHORT_LIST)), "key", "half"), "simhash-halves")
-    across = _across_short(rows.where(F.col("n") <= SHORT_LIST), "key")
-    across = across.union(_across_short(long.where(F.col("n") <= SHORT_LIST), "key", "half"))
-    return _merged(labels, across.union(_across_long(long.where(F.col("n") > SHORT_LIST))))
+    many = F.col("others") > FEW_OTHERS
+    halves = settle(_open(_halved(rows.where(many)), "key", "half"), "simhash-halves")
+    across = _across_few(rows, "key").union(_across_few(halves, "key", "half"))
+    return _merged(labels, across.union(_across_long(halves.where(many))))
 
 
 def simhash_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, seed: int = SEED) -> DataFrame:
