@@ -107,7 +107,9 @@ def _lists(prints: DataFrame) -> DataFrame:
     n, ones = F.col("sizes").bitwiseAND(F.lit((1 << 32) - 1)), F.shiftright("sizes", 32)
     whole = F.shiftright("key", 32) % 32 == 0
     kept = sizes.where((n > 1) & (whole | ones.between(1, n - 1))).select("key")
-    return settle(variants.select("key", "print").join(kept, "key"), "simhash-lists")
+    # By sort and merge at every size: lists grow with the prints, so they are never few for long,
+    # and a list that is a large part of all can be split.
+    return settle(variants.select("key", "print").join(kept.hint("merge"), "key"), "simhash-lists")
 
 
 def _close(a: Column, b: Column) -> Column:
