@@ -13,6 +13,7 @@ from . import (
     exact_dedup, language_id, merkle, mixing, near_dedup, packing, sharding, simhash, spelling, token_counts, token_files,
     topk, url_filter,
 )
+from .rows import numbered
 
 SEQUENCE_LENGTH, PACK_END = 2048, 0
 FILE_END = 1
@@ -65,10 +66,10 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings").select(
-        "vec_id", topk.whole_numbers(F.col("embedding")).alias("values")
+    vectors = numbered(table(spark, sf_dir, "embeddings"), "row").select(
+        "row", "vec_id", topk.whole_numbers(F.col("embedding")).alias("values")
     )
-    return topk.search(vectors, vectors.where("vec_id % 20 = 0"), 20)
+    return topk.search(vectors, vectors.where("vec_id % 20 = 0"), 20, row="row")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

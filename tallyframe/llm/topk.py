@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,7 +16,9 @@ from .shipping import ship
 
 #: Pivots of the table; rows of a block of candidates and of queries; candidates evaluated at a time.
 PIVOTS, CANDIDATE_ROWS, QUERY_ROWS, STEP = 32, 4096, 512, 512
-RESULT = "query_id long, vec_id long, score long"
+RESULT = "query_row long, query_id long, vec_id long, score long"
+#: Whole numbers up to this are exact as doubles.
+DOUBLES = 2.0**53
 
 
 def whole_numbers(vector: Column, scale: int = 64) -> Column:
@@ -48,9 +50,21 @@ def choose_pivots(points: np.ndarray, count: int) -> np.ndarray:
     return points[chosen]
 
 
+def _scorer(vectors: np.ndarray, queries: np.ndarray) -> Callable[[np.ndarray, int], np.ndarray]:
+    """Inner products of some rows of ``vectors`` with one of ``queries``: in doubles where no
+    sum can leave their whole numbers, else in longs, which are slower."""
+    largest = [float(np.abs(x.astype(float)).max(initial=0.0)) for x in (vectors, queries)]
+    kind = float if largest[0] * largest[1] * vectors.shape[1] < DOUBLES else np.int64
+    own, asked = vectors.astype(kind), queries.astype(kind)
+    return lambda rows, i: (own[rows] @ asked[i]).astype(np.int64)
+
+
 def best_in_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int,
-                  pivots: int = PIVOTS, step: int = STEP) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+                  pivots: int = PIVOTS, step: int = STEP, query_rows: np.ndarray | None = None,
+                  rows: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query its ``k`` best of a block: query id, vec ids, scores; ties to smaller ids.
+    No candidate is the query's own one: that with its id, or with its number if ``query_rows``
+    and ``rows`` number them.
 
     The distances of all candidates to the pivots are computed once. The largest
     difference to the query's own distances bounds its distance to a candidate from
@@ -58,6 +72,9 @@ def best_in_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, v
     these bounds until the next bound is below the k-th score so far; equal bounds are
     still evaluated, as a tie may go to them.
     """
+    score = _scorer(vectors, queries)
+    own_of, number = (query_ids, ids) if rows is None else (query_rows, rows)
+    vectors, queries = vectors.astype(float), queries.astype(float)
     norm2 = float((vectors * vectors).sum(axis=1).max(initial=0.0))
     lifted = _lifted(vectors, norm2)
     table_points = choose_pivots(lifted, pivots)
@@ -67,66 +84,88 @@ def best_in_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, v
     square = (queries * queries).sum(axis=1)
     # Rounding of distances may not hide a candidate: widen bounds by more than it.
     slack = 1e-3 + 1e-5 * (math.sqrt(norm2) + np.sqrt(square))
-    for i, query in enumerate(queries):
+    for i, query in enumerate(query_ids):
         apart = np.abs(table[0] - own[i, 0])
         for p in range(1, len(table)):
             np.maximum(apart, np.abs(table[p] - own[i, p]), out=apart)
         lower = np.maximum(0.0, apart - slack[i], dtype=np.float64)
-        bound = (square[i] + norm2 - lower * lower) / 2 + 0.5
+        bound = (square[i] + norm2 - lower * lower) / 2 + 0.5 + 1e-9 * (square[i] + norm2)
         order = np.argsort(-bound, kind="stable")
         found_ids, found = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for at in range(0, len(order), step):
             if len(found) >= k and bound[order[at]] < found[k - 1]:
                 break
-            rows = order[at : at + step]
-            rows = rows[ids[rows] != query_ids[i]]
-            found_ids = np.concatenate([found_ids, ids[rows]])
-            found = np.concatenate([found, (vectors[rows] @ query).astype(np.int64)])
+            part = order[at : at + step]
+            part = part[number[part] != own_of[i]]
+            found_ids = np.concatenate([found_ids, ids[part]])
+            found = np.concatenate([found, score(part, i)])
             best = np.lexsort((found_ids, -found))[:k]
             found_ids, found = found_ids[best], found[best]
-        yield int(query_ids[i]), found_ids, found
+        yield int(query), found_ids, found
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_id", values: str = "values") -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_id", values: str = "values",
+           row: str | None = None) -> DataFrame:
     """The ``k`` vectors with the highest inner product for every query: query_id, rank, vec_id, score.
 
-    ``values`` are whole numbers, exact as doubles in sums up to 2^53. Candidates and queries are
+    ``values`` are whole numbers; scores are exact as far as a long holds them. Candidates and queries are
     dealt into blocks by a hash; every block of queries meets every block of
     candidates in a task of its own, which returns k rows a query at most. The best
     of these are taken by query. A query's own id is no candidate for it. Rows
     with a null id or null values take no part, and vectors only meet others of their
     length. Repeated rows are candidates each; a repeated query is asked once, and
     a query id with several vectors ranks the candidates of all of them.
+
+    With ``row``, a column of both that numbers the rows, every row of ``queries`` is a query of
+    its own, and only that row is no candidate for it. Then rows without an id are candidates
+    too, after those with one where scores are equal.
     """
     ship(vectors.sparkSession)
-    vectors = settle(_usable(vectors, vec_id, values), "topk-vectors")
-    queries = settle(_usable(queries, vec_id, values).distinct(), "topk-queries")
+    vectors = settle(_usable(vectors, vec_id, values, row), "topk-vectors")
+    queries = settle(_usable(queries, vec_id, values, row).distinct(), "topk-queries")
     n_vectors, n_queries = vectors.count(), queries.count()
     v_blocks, q_blocks = max(1, math.ceil(n_vectors / CANDIDATE_ROWS)), max(1, math.ceil(n_queries / QUERY_ROWS))
     # Ties of ids aside, a block has about CANDIDATE_ROWS rows however the ids are distributed.
-    length = F.size("values").alias("length")
-    cells = F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))
-    left = vectors.select(F.pmod(F.xxhash64("vec_id", "values"), F.lit(v_blocks)).alias("v"), cells.alias("q"), length, "*")
-    cells = F.explode(F.sequence(F.lit(0), F.lit(v_blocks - 1)))
-    right = queries.select(cells.alias("v"), F.pmod(F.xxhash64("vec_id", "values"), F.lit(q_blocks)).alias("q"), length, "*")
+    length, dealt = F.size("values").alias("length"), F.xxhash64("row", "vec_id", "values")
+
+    def block(blocks: int) -> Column:
+        return F.pmod(dealt, F.lit(blocks)).cast("int")
+
+    def every(blocks: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+
+    # Both sides' numbers must be of one type: a cogroup hashes them as they are, and an int
+    # is not dealt to the partition of an equal long.
+    left = vectors.select(block(v_blocks).alias("v"), every(q_blocks).alias("q"), length, "*")
+    right = queries.select(every(v_blocks).alias("v"), block(q_blocks).alias("q"), length, "*")
 
     def cell(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        rows: list[tuple[np.ndarray, ...]] = []
+        query, place, score = ([np.zeros(0, np.int64)] for _ in range(3))
+        # Candidates are known by their places in the order in which ties are broken.
+        own = own.sort_values(["unnamed", "vec_id"], ignore_index=True)
         if len(own) and len(asked):
-            block, points = np.stack(own["values"].to_numpy()).astype(float), np.stack(asked["values"].to_numpy()).astype(float)
-            ids, asked_ids = own["vec_id"].to_numpy(np.int64), asked["vec_id"].to_numpy(np.int64)
-            for query, found, scores in best_in_block(asked_ids, points, ids, block, k):
-                rows.append((np.full(len(found), query), found, scores))
-        columns = [np.concatenate(c) for c in zip(*rows, strict=True)] if rows else [np.zeros(0, np.int64)] * 3
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), columns, strict=True)))
+            vectors, points = np.stack(own["values"].to_numpy()), np.stack(asked["values"].to_numpy())
+            best = best_in_block(np.arange(len(asked)), points, np.arange(len(own)), vectors, k,
+                                 query_rows=asked["row"].to_numpy(np.int64), rows=own["row"].to_numpy(np.int64))
+            for i, found, scores in best:
+                query.append(np.full(len(found), i))
+                place.append(found)
+                score.append(scores)
+        asked, own = asked.iloc[np.concatenate(query)], own.iloc[np.concatenate(place)]
+        named = own["vec_id"].astype("Int64").where(~own["unnamed"])
+        columns = (asked["row"].array, asked["vec_id"].array, named.array, np.concatenate(score))
+        return pd.DataFrame(dict(zip(("query_row", "query_id", "vec_id", "score"), columns, strict=True)))
 
     found = left.groupBy("length", "v", "q").cogroup(right.groupBy("length", "v", "q")).applyInPandas(cell, RESULT)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score"
     )
 
 
-def _usable(rows: DataFrame, vec_id: str, values: str) -> DataFrame:
-    rows = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(values).alias("values"))
-    return rows.where(F.col("vec_id").isNotNull() & F.col("values").isNotNull())
+def _usable(rows: DataFrame, vec_id: str, values: str, row: str | None) -> DataFrame:
+    """row, vec_id, unnamed (has it no id?) and values; without ``row`` the id is the row's number."""
+    number, name = F.col(row or vec_id).cast("long"), F.col(vec_id).cast("long")
+    rows = rows.where(F.col(values).isNotNull() & number.isNotNull())
+    return rows.select(number.alias("row"), F.coalesce(name, F.lit(0)).alias("vec_id"), name.isNull().alias("unnamed"),
+                       F.col(values).alias("values"))

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from checks.verify import difference, duck, frame_of
 from tallyframe.llm import mixing, packing, sharding, token_files, topk, url_filter
-from tallyframe.llm.queries import BLOCK_ROWS, ORACLES, QUERIES, RULES, SEQUENCE_LENGTH, SHARES, tokenizer_path
+from tallyframe.llm.queries import (
+    BLOCK_ROWS, ORACLES, QUERIES, RULES, SEQUENCE_LENGTH, SHARES, op6_exact_topk, tokenizer_path,
+)
 from tallyframe.llm.tokens import WordEncoder
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -232,6 +234,24 @@ def test_search(spark, monkeypatch, size):
     assert [r.rank for r in sorted(found, key=lambda r: (r.query_id, r.rank)) if r.query_id == 0] == list(range(1, len(hits[0]) + 1))
 
 
+def test_search_meets_all_blocks_in_many_partitions(spark, monkeypatch):
+    """Blocks of both sides must be dealt alike: with partitions of their own, cells were lost."""
+    monkeypatch.setattr(topk, "CANDIDATE_ROWS", 40)
+    monkeypatch.setattr(topk, "QUERY_ROWS", 7)
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.integers(-5, 6, 4).tolist()) for i in range(300)]
+    frame = spark.createDataFrame(rows, "vec_id long, values array<long>")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = topk.search(frame, frame.where("vec_id % 2 = 0"), 5).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    hits = defaultdict(list)
+    for r in sorted(found, key=lambda r: (r.query_id, r.rank)):
+        hits[r.query_id].append((r.vec_id, r.score))
+    assert hits == brute_search(rows, [r for r in rows if r[0] % 2 == 0], 5)
+
+
 def test_search_stops_early_and_stays_exact():
     rng = np.random.default_rng(3)
     centers = rng.normal(0, 300, (12, 16))
@@ -243,6 +263,27 @@ def test_search_stops_early_and_stays_exact():
         assert [(-s, i) for i, s in zip(found.tolist(), scores.tolist(), strict=True)] == exact
 
 
+def test_exact_topk_goes_by_rows(spark, folder):
+    """Copies of a query's row, rows with its id and rows without an id are candidates; scores are
+    exact above 2^53; a query row that comes twice is asked twice."""
+    rng = np.random.default_rng(8)
+    rows = [(i % 50, rng.integers(-3, 4, 4).tolist()) for i in range(120)] + [(None, [3.0, 3.0, 3.0, 3.0]), (None, None)]
+    large, small = 2.0**21 + 1 / 64, 1 / 64
+    big = [(20, [large, small, small]), (20, [large, small, small]), (5, [large, small, 0.0]), (4, [large, small, small])]
+    for some in (rows, big, big[:1]):
+        out = f"{folder}/{len(some)}"
+        floats = [(i, v and [float(x) for x in v]) for i, v in some]
+        spark.createDataFrame(floats, "vec_id long, embedding array<double>").write.parquet(f"{out}/embeddings.parquet")
+        found = op6_exact_topk(spark, out).collect()
+        usable = [(i, [int(64 * x // 1) for x in v]) for i, v in some if v]
+        wanted = []
+        for n, (q, x) in enumerate(usable):
+            if q is not None and q % 20 == 0:
+                hits = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), i is None, i or 0) for m, (i, y) in enumerate(usable) if m != n)
+                wanted += [(q, r, None if none else i, -s) for r, (s, none, i) in enumerate(hits[:20], 1)]
+        assert sorted(map(str, wanted)) == sorted(str(tuple(r)) for r in found)
+
+
 def test_vectors_with_gaps_take_no_part(spark):
     rows = [(0, [1.0, None]), (20, [float("nan"), 1.0]), (40, [float("inf"), 1.0]), (60, None), (80, [0.51, -0.01])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
