@@ -29,6 +29,8 @@ GLOB = "*.[cCtT][sS][vV]"
 _BOM = "^﻿"
 #: Longest record, in bytes of all its lines: a quote that is never closed would make one of the rest of a file.
 RECORD_BYTES = 16 << 20
+#: Lines of records of several lines that may be broadcast.
+FEW_LINES = 50_000
 #: Bytes without a character in Windows-1252.
 UNDEFINED = r"[\x81\x8D\x8F\x90\x9D]"
 
@@ -201,7 +203,15 @@ def delimited_files(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFram
     if not blocks.where("open and not undefined").isEmpty():
         spans, unclosed = _continued(lines, blocks)
         members = spans.select("file", F.col("first").alias("record"), F.explode(F.sequence("first", "last")).alias("line"))
-        inside = numbered.where("open").join(members, ["file", "line"])
+        # Spark takes the spans' size for that of their lines and broadcasts these however many there are.
+        # Where they are more than a few, lines are sorted and tagged with their records once, for all that follows.
+        n_lines = spans.agg(F.sum(F.col("last") - F.col("first") + 1)).first()[0] or 0
+        open_lines = numbered.where("open")
+        if n_lines > FEW_LINES:
+            tagged = settle(open_lines.join(members.hint("merge"), ["file", "line"], "left"), "delimited-lines")
+        else:
+            tagged = open_lines.join(members, ["file", "line"], "left")
+        inside = tagged.where("record is not null")
         sizes = inside.groupBy("file", "record").agg(F.sum(F.octet_length("text")).alias("bytes"))
         long = sizes.where(F.col("bytes") > RECORD_BYTES).select("file", F.concat(F.lit(LONG_RECORD), F.col("record") + 1).alias("error"))
         bad = settle(unclosed.unionByName(long).groupBy("file").agg(F.min("error").alias("error")), "delimited-errors")
@@ -210,7 +220,7 @@ def delimited_files(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFram
         joined = inside.groupBy("file", "header_line", F.col("record").alias("line")).agg(
             F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("text")
         )
-        outside = numbered.where("open").join(members, ["file", "line"], "left_anti").join(bad, "file", "left_anti")
+        outside = tagged.where("record is null").drop("record").join(bad, "file", "left_anti")
         single = single.unionByName(outside).select("file", "header_line", "line", "text").unionByName(joined)
     rows = single.where(~is_blank(F.col("text")) & (F.col("line") >= F.col("header_line")))
     # Headers are known from the first pass, so whoever wants only them does not read the files
