@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm import exact_dedup, language_id, mixing, near_dedup, packing
 from tallyframe.llm.queries import PACK_END, SEQUENCE_LENGTH, tokenizer_path
-from tallyframe.llm.rows import free_name, numbered
+from tallyframe.llm.rows import free_name, in_order, numbered
 from tallyframe.sources.scratch import job_tables, new_folder, remove, settle
 
 #: No source gets more than this share of the mix before the others run out; shares are
@@ -57,8 +57,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces with their sequence and place in it, and their ids."""
-    return packing.pack(packing.pieces(docs, tokenizer_path(), SEQUENCE_LENGTH, PACK_END), SEQUENCE_LENGTH)
+    """The documents' pieces with their sequence and place in it, and their ids. Of pieces of one
+    length those that come first in the mix are packed first, and sequences are numbered in the
+    order in which their first pieces come, so that the order of the mix is that of the corpus."""
+    cut = packing.pieces(in_order(docs, "mix_place"), tokenizer_path(), SEQUENCE_LENGTH, PACK_END, carried="mix_place")
+    return packing.pack(cut, SEQUENCE_LENGTH, order="mix_place")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -7,35 +7,41 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.sources.scratch import job_tables, settle
 
-from .ranks import add_ranks
+from .ranks import HASH_BITS, add_ranks
 from .rows import free_name
 from .shipping import ship
 from .tokens import binary_slices, encoder, slices
 
 #: Longest capacity: a plan has at most as many lengths.
 MAX_CAPACITY = 1 << 16
+#: Bytes of text encoded at once: what is made of them takes some ten times as much in each worker.
+SLICE_BYTES = 2 << 20
+#: Bits of a piece's turn that number the pieces of its document: no text has more pieces of MAX_CAPACITY or less.
+PIECE_BITS = 20
+TURN = "_turn"
 Run = tuple[int, int, tuple[tuple[int, int], ...]]
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0, text: str = "text",
-           doc_id: str = "doc_id") -> DataFrame:
+           doc_id: str = "doc_id", carried: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids (32-bit little-endian) of every document, with ``end_id`` at its end.
 
     Documents longer than ``capacity`` are cut into pieces of it, the last one
     may be shorter. Null text is empty: its only id is ``end_id``. Null ids and
-    repeated rows are kept as they are.
+    repeated rows are kept as they are. A column of whole numbers may be ``carried`` along.
     """
     ship(docs.sparkSession)
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    more = [carried] if carried else []
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *more)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).encode
-        for batch in (part for whole in batches for part in slices(whole, "text")):
+        for batch in (part for whole in batches for part in slices(whole, "text", SLICE_BYTES)):
             flat, bounds = encode(batch.column("text"))
             flat = np.insert(flat, bounds[1:], np.uint32(end_id))
             bounds = bounds + np.arange(len(bounds))
@@ -52,11 +58,13 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0, text
                     pa.array(start, pa.int64()),
                     pa.array(ends - bounds[row] - start, pa.int64()),
                     binary_slices(flat, np.concatenate([[0], ends])),
+                    *(batch.column(c).take(pa.array(row)) for c in more),
                 ],
-                names=["doc_id", "piece", "start", "length", "ids"],
+                names=["doc_id", "piece", "start", "length", "ids", *more],
             )
 
-    return docs.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids binary")
+    schema = "doc_id long, piece int, start long, length long, ids binary"
+    return docs.mapInArrow(cut, ", ".join([schema, *(f"{c} long" for c in more)]))
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[Run]:
@@ -122,7 +130,7 @@ def intervals(runs: list[Run]) -> Iterator[tuple[int, int, int, int, int, int]]:
         first_bin += bins
 
 
-def pack(cut: DataFrame, capacity: int) -> DataFrame:
+def pack(cut: DataFrame, capacity: int, order: str | None = None) -> DataFrame:
     """``cut`` (doc_id, piece, length and any more columns) with sequence_id and offset.
 
     Only the number of pieces of each length, ``capacity`` numbers at most, goes
@@ -130,6 +138,10 @@ def pack(cut: DataFrame, capacity: int) -> DataFrame:
     length are numbered by a hash of their place in the table without meeting in one task,
     and find their run by that number, so null and repeated ids are spread like any others.
     Columns named rank, sequence_id or offset are replaced.
+
+    ``order`` is a column that numbers the documents from 0 without large gaps. With it the
+    pieces of a length are taken in its order, sequences are numbered so that theirs is the order of
+    their first pieces, and the column is dropped.
     """
     if capacity > MAX_CAPACITY:
         raise ValueError(f"capacity is {MAX_CAPACITY} at most")
@@ -147,17 +159,30 @@ def pack(cut: DataFrame, capacity: int) -> DataFrame:
             list(intervals(plan(counts, capacity))),
             "run_length long, first_rank long, end_rank long, items long, first_bin long, first_offset long",
         )
-        ranked = add_ranks(cut.select(row, "length"), ["length"], [row])
+        ranked = _in_turn(cut, row, order) if order else add_ranks(cut.select(row, "length"), ["length"], [row])
         within = (F.col("length") == F.col("run_length")) & F.col("rank").between(F.col("first_rank"), F.col("end_rank") - 1)
         place = F.col("rank") - F.col("first_rank")
         placed = ranked.join(F.broadcast(table), within).select(
-            row,
+            row, *([TURN] if order else []),
             (F.col("first_bin") + F.floor(place / F.col("items"))).cast("long").alias("sequence_id"),
             (F.col("first_offset") + place % F.col("items") * F.col("length")).cast("long").alias("offset"),
         )
+    if order:
+        first = F.min(TURN).over(Window.partitionBy("sequence_id"))
+        placed = placed.select(row, first.alias("sequence_id"), "offset")
+        cut = cut.drop(order)
     return cut.join(placed, row).drop(row)
 
 
+def _in_turn(cut: DataFrame, row: str, order: str) -> DataFrame:
+    """row, length, TURN and rank of every piece: its place among those of its length by ``order`` and piece."""
+    turn = F.shiftleft(F.col(order), PIECE_BITS) + F.col("piece")
+    last = cut.agg(F.max(order)).first()[0] or 0
+    even = F.floor(F.col(order) / F.lit(float(last + 1)) * F.lit(float((1 << HASH_BITS) - (1 << 10)))).alias("_even")
+    turns = cut.select(row, "length", turn.alias(TURN), even)
+    return add_ranks(turns, ["length"], [TURN], hashed="_even").drop("_even")
+
+
 def sequences(packed: DataFrame) -> DataFrame:
     """The packed sequences: sequence_id, ids (32-bit little-endian), n_ids, doc_ids.
     ``packed`` must have the column ids; a sequence's pieces fit its capacity."""

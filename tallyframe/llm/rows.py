@@ -47,6 +47,20 @@ def _by_place(df: DataFrame, name: str) -> DataFrame:
     return placed.join(files, F.col(own) == F.col(file)).select(*(df[c] for c in df.columns), row.alias(name))
 
 
+def in_order(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a column that counts its rows from 0 in the order of its files and of the rows in them."""
+    number, start = free_name(df, "_in_files"), free_name(df, "_start")
+    rows = numbered(df, number)
+    files = rows.groupBy(F.shiftright(number, PLACE_BITS).alias("file")).agg(F.max(number).alias("last"))
+    count = F.col("last") - F.shiftleft("file", PLACE_BITS) + 1
+    # One row for each file.
+    before = F.sum(count).over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
+    files = settle(files.select("file", F.coalesce(before, F.lit(0)).alias(start)), "files-in-order", lasting=True)
+    placed = rows.join(F.broadcast(files), F.shiftright(number, PLACE_BITS) == F.col("file"))
+    place = F.col(start) + F.col(number) - F.shiftleft("file", PLACE_BITS)
+    return placed.select(*(rows[c] for c in df.columns), place.alias(name))
+
+
 def smallest_id_first(doc_id: Column, row: Column) -> Column:
     """Orders rows by id, those without one last, and rows of equal ids by their numbers."""
     return F.struct(doc_id.isNull().alias("unnamed"), doc_id.alias("id"), row.alias("row"))

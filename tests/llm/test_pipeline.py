@@ -150,3 +150,13 @@ def test_run(spark, stages):
     # Nothing of what the stages have written is left but the result.
     assert {p.name.rsplit("-", 1)[0] for p in set(root.iterdir()) - before} == {"pipeline-best-fit-packing"}
     assert Counter(r.doc_id for r in found.collect()) == Counter(r.doc_id for r in stages["best-fit packing"][1].collect())
+
+
+def test_packing_follows_the_mix(spark, folder):
+    """Texts of one length fill the sequences in the order in which the mixing stage has put them."""
+    rows = [(i, " ".join(["word"] * 300), "en", "hot" if i % 2 else f"s{i % 7}", 6) for i in range(600)]
+    corpus_pipeline.mix_sources(spark, spark.createDataFrame(rows, DOCS), SF_DIR).write.parquet(f"{folder}/mixed")
+    mixed = corpus_pipeline.numbered(spark.read.parquet(f"{folder}/mixed"), "at").orderBy("at").collect()
+    packed = corpus_pipeline.pack_sequences(spark, spark.read.parquet(f"{folder}/mixed"), SF_DIR).collect()
+    order = [r.doc_id for r in sorted(packed, key=lambda r: (r.sequence_id, r.offset))]
+    assert order == [r.doc_id for r in mixed] and order != sorted(order)
