@@ -46,3 +46,15 @@ def test_same_name_files_are_written_by_several_tasks(spark, monkeypatch, folder
     for p in Path(folder).rglob("*.csv"):
         names[p.name].add(p.parent.name)
     assert len(names) > 1 and any(len(folders) > 1 for folders in names.values())
+
+
+def test_lineitem_is_dealt_out_once_for_all_views(spark):
+    """Views are written where they are made; only their input is shuffled to be dealt out."""
+    from checks import data
+
+    found = data.CheckData(spark, "/root/testdata/sf0.001/")
+    names = ("date_cells", "number_cells")
+    counts = [found.table(name).count() for name in names]
+    assert counts == [found.table("lineitem").count()] * 2
+    key = (spark.sparkContext.applicationId, found.sf_dir, "lineitem")
+    assert key in data._KEPT and data._KEPT[key].count() == counts[0]
