@@ -112,6 +112,22 @@ def test_ids(spark):
     ]
 
 
+def test_seller_candidates_are_compiled_and_come_once(spark):
+    """The prefix, the registered seller and all dot prefixes of the SKU, whatever its length, without a loop."""
+    rows = [(0, "A.B.1.7", None), (1, "A.B.1.7.x.y", "A.B.1.7"), (2, "A.B", "A.B."), (3, None, "Z"), (4, "A..1.7", ""), (5, ".x", "")]
+    c = F.col("c").alias("c")
+    frame = spark.createDataFrame(rows, "n int, c string, r string").select("n", "r", ids.seller_prefix(c).alias("p"), ids.parent(c).alias("parent"))
+    direct = [F.col("p"), F.col("r")]
+    found = frame.withColumn("place", F.explode(ids.candidate_places(direct, F.col("parent"))))
+    found = found.select("n", ids.seller_candidate(F.col("place"), direct, F.col("parent")).alias("s")).where("s is not null")
+    assert "lambda" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {n: sorted(r.s for r in found.collect() if r.n == n) for n in range(6)}
+    assert got == {
+        0: ["A", "A.B", "A.B.1"], 1: ["A", "A.B", "A.B.1", "A.B.1.7", "A.B.1.7.x"], 2: ["A", "A.B."], 3: ["..", "Z"],
+        4: ["", "A", "A.", "A..1"], 5: ["", ".x."],
+    }
+
+
 @pytest.mark.parametrize(
     "left, right, tol_abs, tol_pct, expected",
     [
