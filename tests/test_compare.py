@@ -242,3 +242,30 @@ def test_config_file(folder):
         handle.write('{"canonical_metrics": {"quantity": {"tolerance_abs": 2}}, "platform_aliases": {"AUTO": {"date": ["D"]}}, "db_aliases": {}}')
     config = load_config(f"{folder}/m.json")
     assert isinstance(config, MetricConfig) and config.tolerance_abs["quantity"] == 2 and config.aliases["DB"] == {}
+
+
+def test_cells_are_joined_where_their_sums_lie(spark):
+    """Cells are four times the sums they are laid out from: only the sums and the sources are shuffled."""
+    from tallyframe.session import SETTINGS, apply_settings
+
+    keys = [*SETTINGS, "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled"]
+    before = {key: spark.conf.get(key, None) for key in keys}
+    try:
+        apply_settings(spark)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        number = "decimal(38,6)"
+        platform = spark.createDataFrame([("A.B.1", "2026-05-01", 1)], "seller_id string, period string, quantity int")
+        sources = spark.createDataFrame(
+            [("A.B.1", "2026-05-01", "sku", "sku_sales", "sku_sales", "api", 1)],
+            "seller_id string, period string, data_level string, data_type string, query_source_table string, source string, quantity int",
+        ).selectExpr("*", f"cast(0 as {number}) as revenue", f"cast(0 as {number}) as page_view")
+        platform = platform.withColumn("quantity", F.col("quantity").cast(number))
+        rows = iv.source_rows(iv.platform_cells(platform, ["quantity"]), sources)
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 2
+        assert sorted((r.data_type, r.seen) for r in rows.collect()) == [
+            ("seller_sales", None), ("seller_traffic", None), ("sku_sales", True), ("sku_traffic", None)]
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
