@@ -14,8 +14,9 @@ from tallyframe.sources.scratch import settle
 
 from .shipping import ship
 
-#: Pivots of the table; rows of a block of candidates and of queries; candidates evaluated at a time.
-PIVOTS, CANDIDATE_ROWS, QUERY_ROWS, STEP = 32, 4096, 512, 512
+#: Pivots of the table; rows of a block of candidates and of queries; candidates evaluated first;
+#: queries of a block that are answered together.
+PIVOTS, CANDIDATE_ROWS, QUERY_ROWS, STEP, TOGETHER = 32, 4096, 2048, 512, 64
 RESULT = "query_row long, query_id long, vec_id long, score long"
 #: Whole numbers up to this are exact as doubles.
 DOUBLES = 2.0**53
@@ -50,13 +51,22 @@ def choose_pivots(points: np.ndarray, count: int) -> np.ndarray:
     return points[chosen]
 
 
-def _scorer(vectors: np.ndarray, queries: np.ndarray) -> Callable[[np.ndarray, int], np.ndarray]:
-    """Inner products of some rows of ``vectors`` with one of ``queries``: in doubles where no
+def _scorer(vectors: np.ndarray, queries: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Inner products of some of ``queries`` with some rows of ``vectors``: in doubles where no
     sum can leave their whole numbers, else in longs, which are slower."""
     largest = [float(np.abs(x.astype(float)).max(initial=0.0)) for x in (vectors, queries)]
     kind = float if largest[0] * largest[1] * vectors.shape[1] < DOUBLES else np.int64
     own, asked = vectors.astype(kind), queries.astype(kind)
-    return lambda rows, i: (own[rows] @ asked[i]).astype(np.int64)
+    return lambda rows, some: (asked[some] @ own[rows].T).astype(np.int64)
+
+
+def _first(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` highest scores with their ids; ties to smaller ids."""
+    if len(scores) > k:
+        kept = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+        ids, scores = ids[kept], scores[kept]
+    best = np.lexsort((ids, -scores))[:k]
+    return ids[best], scores[best]
 
 
 def best_in_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int,
@@ -68,9 +78,10 @@ def best_in_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, v
 
     The distances of all candidates to the pivots are computed once. The largest
     difference to the query's own distances bounds its distance to a candidate from
-    below, hence the score from above. Candidates are evaluated in the order of
-    these bounds until the next bound is below the k-th score so far; equal bounds are
-    still evaluated, as a tie may go to them.
+    below, hence the score from above. Queries near one pivot are answered together, as
+    products of matrices: first with the candidates of the highest bounds, which give each
+    its k-th score so far, then with those whose bound reaches that of any of them; equal
+    bounds are still evaluated, as a tie may go to them.
     """
     score = _scorer(vectors, queries)
     own_of, number = (query_ids, ids) if rows is None else (query_rows, rows)
@@ -84,24 +95,28 @@ def best_in_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, v
     square = (queries * queries).sum(axis=1)
     # Rounding of distances may not hide a candidate: widen bounds by more than it.
     slack = 1e-3 + 1e-5 * (math.sqrt(norm2) + np.sqrt(square))
-    for i, query in enumerate(query_ids):
-        apart = np.abs(table[0] - own[i, 0])
+    alike = np.argsort(own.argmin(axis=1), kind="stable")
+    for some in (alike[at : at + TOGETHER] for at in range(0, len(alike), TOGETHER)):
+        apart = np.abs(table[0] - own[some, :1])
         for p in range(1, len(table)):
-            np.maximum(apart, np.abs(table[p] - own[i, p]), out=apart)
-        lower = np.maximum(0.0, apart - slack[i], dtype=np.float64)
-        bound = (square[i] + norm2 - lower * lower) / 2 + 0.5 + 1e-9 * (square[i] + norm2)
-        order = np.argsort(-bound, kind="stable")
-        found_ids, found = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for at in range(0, len(order), step):
-            if len(found) >= k and bound[order[at]] < found[k - 1]:
-                break
-            part = order[at : at + step]
-            part = part[number[part] != own_of[i]]
-            found_ids = np.concatenate([found_ids, ids[part]])
-            found = np.concatenate([found, score(part, i)])
-            best = np.lexsort((found_ids, -found))[:k]
-            found_ids, found = found_ids[best], found[best]
-        yield int(query), found_ids, found
+            np.maximum(apart, np.abs(table[p] - own[some, p : p + 1]), out=apart)
+        lower = np.maximum(0.0, apart - slack[some, None], dtype=np.float64)
+        most = (square[some] + norm2)[:, None]
+        bound = (most - lower * lower) / 2 + 0.5 + 1e-9 * most
+        order = np.argsort(-bound.max(axis=0), kind="stable")
+        part = order[:step]
+        found, other = score(part, some), number[part] != own_of[some, None]
+        reached = np.full(len(some), -np.inf)
+        for i, scores in enumerate(found):
+            if other[i].sum() >= k:
+                reached[i] = _first(ids[part][other[i]], scores[other[i]], k)[1][-1]
+        rest = order[step:]
+        rest = rest[(bound[:, rest] >= reached[:, None]).any(axis=0)]
+        part = np.concatenate([part, rest])
+        found = np.concatenate([found, score(rest, some)], axis=1)
+        other = number[part] != own_of[some, None]
+        for i, query in enumerate(some):
+            yield int(query_ids[query]), *_first(ids[part][other[i]], found[i][other[i]], k)
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_id", values: str = "values",

@@ -263,6 +263,24 @@ def test_search_stops_early_and_stays_exact():
         assert [(-s, i) for i, s in zip(found.tolist(), scores.tolist(), strict=True)] == exact
 
 
+def test_search_answers_queries_together():
+    """Products of matrices for many queries at once, not a step for each query and part of the block."""
+    rng = np.random.default_rng(4)
+    points, products = rng.integers(-3, 4, (600, 8)), []
+    scorer = topk._scorer
+
+    def counted(*sides):
+        score = scorer(*sides)
+        return lambda *part: products.append(1) or score(*part)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(topk, "_scorer", counted)
+        hits = {q: list(zip(f.tolist(), s.tolist(), strict=True))
+                for q, f, s in topk.best_in_block(np.arange(200), points[:200], np.arange(600), points, 7, step=50)}
+    assert hits == brute_search(list(enumerate(points)), list(enumerate(points[:200])), 7)
+    assert len(products) <= 2 * -(-200 // 64)
+
+
 def test_exact_topk_goes_by_rows(spark, folder):
     """Copies of a query's row, rows with its id and rows without an id are candidates; scores are
     exact above 2^53; a query row that comes twice is asked twice."""
