@@ -118,6 +118,20 @@ def test_batch_report_is_whole_on_disk(spark, warehouse, folder):
         assert glob.glob(f"{path}/csv/{name}/*.csv"), name
 
 
+def test_joined_sources_are_not_written(spark, warehouse, folder, monkeypatch):
+    """Written out they lose the order of their join, and cells were shuffled and sorted again for their status."""
+    from tallyframe.plans import batch
+
+    names, settle = [], batch.settle
+    monkeypatch.setattr(batch, "settle", lambda df, name, *more: names.append(name) or settle(df, name, *more))
+    write(folder, "a.csv", EXPORT)
+    grid, _ = read_files(spark, [folder])
+    specs = spec_table(spark, [FileSpec("a.csv", SELLER, "SHP")])
+    bundle = run_batch(warehouse, grid, specs, "2026-05-01", "2026-05-31", f"{folder}/out")
+    assert names == ["db-by-source"]
+    assert bundle.table("Comparison").count() > 0 and bundle.table("Source_Investigation").count() > 0
+
+
 def test_a_sellers_part_lies_in_few_files(spark, folder):
     bundle = Bundle(spark, folder, "report")
     rows = spark.range(40_000).selectExpr("concat('S', id % 200) as seller_id", "concat('s', id % 3) as status", "id as n", "uuid() as text")
