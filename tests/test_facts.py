@@ -8,9 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyframe.operators import audit as au
+from tallyframe.operators import direct as dr
 from tallyframe.operators import facts as fa
 from tallyframe.operators import investigate as iv
 from tallyframe.operators import monthly as mo
+from tallyframe.sources.scratch import job_tables
 from tallyframe.sources.warehouse import Warehouse, jdbc_options, jdbc_table
 
 SKUS = [
@@ -279,3 +281,59 @@ def test_rows_without_a_sku_are_spread(spark):
     finally:
         for name in settings:
             spark.conf.unset(name)
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_of_usual_sellers_pass_by_the_join_with_many_unusual_skus(spark):
+    registry = spark.range(20000).select(F.concat(F.lit("TH.SHP.1."), F.sha2(F.col("id").cast("string"), 256)).alias("used_id"))
+    tables = {
+        "ecommerce_sku": registry.withColumn("fk_seller_id", F.lit(2)),
+        "ecommerce_seller": spark.createDataFrame(SELLER_IDS, "id bigint, used_id string"),
+    }
+    skus = [r["used_id"] for r in registry.limit(3).collect()]
+    rows = spark.createDataFrame([(s,) for s in [*skus, skus[0], "TH.SHP.1.none", "TH.LAZ.2.c", "TH", None]], "fk_sku_used_id string")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")
+    try:
+        found = fa.with_unusual_owner(rows, Warehouse.from_frames(tables))
+        joins = [line for line in plan(found).splitlines() if "Join " in line]
+        got = sorted((r["fk_sku_used_id"] or "", r["registered_seller"]) for r in found.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    # The SKUs are too many to broadcast, their prefixes are not.
+    assert [("BroadcastHashJoin" in j, "sku_prefix" in j) for j in joins].count((True, True)) == 2
+    assert [j for j in joins if "sku_prefix" not in j and "BroadcastHashJoin" in j] == []
+    others = ["TH.SHP.1.none", "TH.LAZ.2.c", "TH", ""]
+    assert got == sorted([*((s, "TH.LAZ.2") for s in [*skus, skus[0]]), *((s, None) for s in others)], key=lambda r: r[0])
+
+
+def test_laid_facts_are_the_same_and_are_not_shuffled_again(spark, warehouse):
+    names = ["seller_sales", "item_seller_sales", "item_sku_sales", "seller_traffic", "sku_sales", "sku_traffic"]
+    plain = fa.facts(warehouse, spark, WANTED, "2026-01-01", "2026-12-31", names=names)
+    laid = fa.facts(warehouse, spark, WANTED, "2026-01-01", "2026-12-31", names=names, laid=3)
+    assert sorted(map(str, plain.collect())) == sorted(map(str, laid.collect()))
+    cells = iv.db_all_sources(iv.db_by_source(laid, "day", summed=True))
+    assert "ENSURE_REQUIREMENTS" not in "".join(x for x in plan(cells).splitlines() if "hashpartitioning(seller_id" in x)
+    expected = iv.db_all_sources(iv.db_by_source(plain, "day", summed=True))
+    assert sorted(map(str, cells.collect())) == sorted(map(str, expected.collect()))
+
+
+def test_settled_flows_are_rolled_up_as_they_lie(spark, warehouse):
+    names, metrics = ["seller_sales", "seller_traffic", "sku_sales", "sku_traffic"], list(fa.METRICS)
+    before = spark.sql("show tables").count()
+    with job_tables(spark):
+        sellers = fa.Sellers(spark, WANTED)
+        flows = list(fa.settled_flows(warehouse, spark, names, sellers, "2026-01-01", "2026-12-31", {}, 3).values())
+        rows = dr.result_rows(fa.facts_of(warehouse, spark, names, sellers, "2026-01-01", "2026-12-31"), metrics)
+        for summed, expected in (
+            (dr.flows_by_day(flows, metrics), dr.by_day(rows, metrics)),
+            (dr.flows_by_source(flows, metrics), dr.by_source(rows, metrics)),
+            (au._per_source(flows[2]), None),
+        ):
+            assert "Exchange" not in plan(summed)
+            if expected is not None:
+                assert sorted(map(str, summed.collect())) == sorted(map(str, expected.select(*summed.columns).collect()))
+    assert spark.sql("show tables").count() == before
