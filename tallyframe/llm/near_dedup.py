@@ -41,10 +41,12 @@ from pyspark.sql import functions as F
 from tallyframe.sources.scratch import job_tables, settle
 
 from .rows import free_name, numbered, smallest_id_first
-from .shipping import ship
+from .shipping import ship, small_batches
 from .tokens import slices
 
 WORDS, SKETCH, THRESHOLD = 5, 64, 0.75
+#: Bytes of text made into shingles at once: they take some ten times as much in each worker.
+SLICE_BYTES = 2 << 20
 #: Longer lists are not taken for all pairs at once; share of a sketch in such lists from
 #: which a class needs them; other first classes tried for them.
 LONG_LIST, HEAVY_SHARE, LEADER_ROUNDS = 32, 0.4, 2
@@ -99,7 +101,7 @@ def profiles(docs: DataFrame, words: int = WORDS, sketch: int = SKETCH) -> DataF
     """doc_id, row, n (size of the shingle set), digest of the set, sketch."""
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole, "text", 8 << 20)):
+        for batch in (part for whole in batches for part in slices(whole, "text", SLICE_BYTES)):
             sets = shingle_sets(batch.column("text"), words)
             sizes = [min(len(s), sketch) for s in sets]
             lowest = pa.ListArray.from_arrays(
@@ -131,7 +133,7 @@ def _heavy_classes(texts: DataFrame, words: int, threshold: float) -> tuple[Data
     at (how many of its shingles are rarer)."""
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole, "text", 4 << 20)):
+        for batch in (part for whole in batches for part in slices(whole, "text", SLICE_BYTES)):
             sets = shingle_sets(batch.column("text"), words)
             sizes = [len(s) for s in sets]
             node = np.repeat(batch.column("node").to_numpy(), sizes)
@@ -177,7 +179,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, threshold: float)
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: tuple[bytes | None, np.ndarray] = (None, np.zeros(0, np.int64))
-        for batch in (part for whole in batches for part in slices(whole, "text_b", 4 << 20)):
+        for batch in (part for whole in batches for part in slices(whole, "text_b", SLICE_BYTES)):
             digests, nodes = batch.column("digest_a").to_pylist(), batch.column("a").to_pylist()
             linked = []
             for i, second in enumerate(shingle_sets(batch.column("text_b"), words)):
@@ -244,7 +246,7 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wor
     ship(docs.sparkSession)
     carried = [row] if row else []
     row = row or free_name(docs, "_row")
-    with job_tables(docs.sparkSession):
+    with job_tables(docs.sparkSession), small_batches(docs.sparkSession):
         if not carried:
             docs = numbered(docs, row)
         rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(row).cast("long").alias("row"))

@@ -14,7 +14,7 @@ from tallyframe.sources.scratch import job_tables, settle
 
 from .ranks import HASH_BITS, add_ranks
 from .rows import free_name
-from .shipping import ship
+from .shipping import ship, small_batches
 from .tokens import binary_slices, encoder, slices
 
 #: Longest capacity: a plan has at most as many lengths.
@@ -151,7 +151,8 @@ def pack(cut: DataFrame, capacity: int, order: str | None = None) -> DataFrame:
     with job_tables(spark):
         # Written with a number for each row, so that only numbers and lengths are dealt
         # out for the ranks, and the rest of a row travels once.
-        cut = settle(cut.withColumn(row, F.monotonically_increasing_id()), "pack-pieces", lasting=True)
+        with small_batches(spark):
+            cut = settle(cut.withColumn(row, F.monotonically_increasing_id()), "pack-pieces", lasting=True)
         counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
         # A run ends with one of at most `capacity` lengths or splits one run of bins in
         # three, so the table grows with the capacity and not with the pieces.

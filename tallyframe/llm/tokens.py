@@ -11,8 +11,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text handled at once in a task, words encoded at once, and words remembered by a worker.
 SLICE_BYTES = 8 << 20
-ENCODE_WORDS = 20_000
-MAX_WORDS = 1_500_000
+ENCODE_WORDS = 5_000
+MAX_WORDS = 250_000
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
@@ -21,8 +21,9 @@ class WordEncoder:
 
     The texts are cut at ASCII white space, and between an ASCII letter and a mark
     after it, where this tokenizer always cuts too, and lower-cased in ASCII, as it
-    does itself outside of special tokens. The pieces are encoded by the library once and remembered; the memory
-    is emptied when it holds MAX_WORDS.
+    does itself outside of special tokens. The pieces are encoded by the library once and remembered; when the
+    memory holds MAX_WORDS, only those met again since the last time stay, as most words of
+    large tables are met once.
     """
 
     def __init__(self, path: str):
@@ -30,13 +31,18 @@ class WordEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.forget()
-
-    def forget(self) -> None:
         self.words = pa.array([], pa.string())
         self.lengths = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
         self.starts = np.zeros(0, np.int64)
+        self.again = np.zeros(0, bool)
+
+    def forget(self) -> None:
+        """Drops the words that were not met again since the last time."""
+        self.words = self.words.filter(pa.array(self.again))
+        self.ids = self.ids[np.repeat(self.again, self.lengths)]
+        self.lengths = self.lengths[self.again]
+        self.again = np.zeros(len(self.words), bool)
 
     def numbers(self, words: pa.Array) -> np.ndarray:
         """The places of distinct ``words`` in the memory; new ones are encoded and added.
@@ -46,8 +52,9 @@ class WordEncoder:
         if len(self.words) > MAX_WORDS:
             self.forget()
         places = pc.index_in(words, value_set=self.words)
+        missing = pc.is_null(places).to_numpy(zero_copy_only=False)
         known = len(self.words)
-        new = words.filter(pc.is_null(places))
+        new = words.filter(pa.array(missing))
         lengths, ids = [self.lengths], [self.ids]
         # The library's results are much larger than the ids kept of them, so take some at a time.
         for at in range(0, len(new), ENCODE_WORDS):
@@ -58,8 +65,9 @@ class WordEncoder:
         self.words = pa.concat_arrays([self.words, new])
         self.lengths, self.ids = np.concatenate(lengths), np.concatenate(ids)
         self.starts = np.cumsum(self.lengths) - self.lengths
-        missing = pc.is_null(places).to_numpy(zero_copy_only=False)
         numbers = places.fill_null(0).to_numpy().astype(np.int64)
+        self.again = np.concatenate([self.again, np.zeros(len(new), bool)])
+        self.again[numbers[~missing]] = True
         numbers[missing] = known + np.arange(len(new))
         return numbers
 

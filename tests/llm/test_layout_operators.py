@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from checks.verify import difference, duck, frame_of
-from tallyframe.llm import mixing, packing, sharding, token_files, topk, url_filter
+from tallyframe.llm import mixing, near_dedup, packing, sharding, token_files, tokens, topk, url_filter
 from tallyframe.llm.queries import (
     BLOCK_ROWS, ORACLES, QUERIES, RULES, SEQUENCE_LENGTH, SHARES, op6_exact_topk, tokenizer_path,
 )
@@ -57,6 +57,45 @@ def test_words_encode_like_whole_texts(texts):
         assert flat[bounds[i] : bounds[i + 1]].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_remembers_so_many_words(monkeypatch):
+    """Words met once are forgotten, those met again stay, and ids are the same whatever is remembered."""
+    import pyarrow as pa
+
+    encode = WordEncoder(tokenizer_path())
+    for start in range(0, 400_000, 100_000):
+        encode.encode(pa.array([" ".join(["again", *map(str, range(start, start + 100_000))])]))
+    assert len(encode.words) <= 300_000 and len(encode.again) == len(encode.words) and "again" in encode.words.to_pylist()
+    monkeypatch.setattr(tokens, "MAX_WORDS", 20)
+    encode = WordEncoder(tokenizer_path())
+    for start in range(0, 300, 7):
+        text = " ".join(f"word{i % 40} {i}" for i in range(start, start + 12))
+        flat, _ = encode.encode(pa.array([text]))
+        assert flat.tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(encode.words) <= 60
+
+
+@pytest.mark.parametrize("module", [packing, near_dedup])
+def test_workers_get_texts_a_few_megabytes_at_a_time(spark, folder, monkeypatch, module):
+    slices = module.slices
+
+    def noted(batch, text, most):
+        with open(f"{folder}/batches", "a") as out:
+            print(batch.nbytes, file=out)
+        return slices(batch, text, most)
+
+    monkeypatch.setattr(module, "slices", noted)
+    docs = spark.range(0, 2500, 1, 1).selectExpr("id as doc_id", "repeat(concat('word', id, ' '), 600) as text")
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+    if module is packing:
+        found = packing.pack(packing.pieces(docs, tokenizer_path(), 2048), 2048)
+    else:
+        found = near_dedup.near_groups(docs)
+    assert {r.doc_id for r in found.select("doc_id").distinct().collect()} == set(range(2500))
+    sizes = [int(n) for n in open(f"{folder}/batches")]
+    assert sum(sizes) > 10 << 20 and max(sizes) < 3 << 20
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) == before
+
+
 def _encoder(found=[]):  # noqa: B006
     if not found:
         found.append(WordEncoder(tokenizer_path()))
