@@ -269,3 +269,28 @@ def test_cells_are_joined_where_their_sums_lie(spark):
     finally:
         for key, value in before.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def test_laid_cells_meet_laid_sources_without_a_shuffle(spark):
+    """Cells and sources that both come by seller are joined and compared as they lie; the rows are the same."""
+    from tallyframe.session import SETTINGS, apply_settings
+
+    keys = [*SETTINGS, "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled"]
+    before = {key: spark.conf.get(key, None) for key in keys}
+    try:
+        apply_settings(spark)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        shown = platform(spark, [("a", 10, 5, 7, 3), ("b", 0, 0, 0, 0), (None, 1, 1, 1, 1), ("b", 1, 2, 3, 1)])
+        found = facts(spark, [("a", "seller_sales", "seller_sales", "api", 10, 2, None), ("b", "sku_sales", "x", None, 1, 2, None),
+                              ("b", "sku_sales", "y", "api", 1, 0, None), (None, "sku_sales", "x", "api", 1, 1, None)])
+        plain = iv.source_rows(iv.platform_cells(shown, METRICS), iv.db_by_source(found, "day", summed=True))
+        sources = iv.db_by_source(found.repartition(3, "seller_id"), "day", summed=True)
+        rows = iv.source_rows(iv.platform_cells(shown, METRICS, laid=3), sources)
+        for made in (iv.cell_statuses, iv.compare_by_source, iv.source_check_detail, iv.missing_orders):
+            plan = made(rows)._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning") == 2, made
+            assert sorted(map(str, made(rows).collect())) == sorted(map(str, made(plain).collect()))
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
