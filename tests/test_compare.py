@@ -294,3 +294,22 @@ def test_laid_cells_meet_laid_sources_without_a_shuffle(spark):
     finally:
         for key, value in before.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def test_report_tables_start_from_the_flows(spark, folder):
+    """Sums by source of several flows are those of all facts, by day and by month, and a day's are not summed again."""
+    from tallyframe.plans.batch import write_source_report
+    from tallyframe.plans.bundle import Bundle
+
+    flows = [facts(spark, [("a", "seller_sales", "seller_sales", "api", 10, 2, None), ("a", "seller_sales", "seller_sales", "x", 0, 3, None)]),
+             facts(spark, [("a", "sku_sales", "sku_sales", "api", 1, None, None), ("b", "sku_sales", "sku_sales", "x", 0, 1, None)])]
+    flows[0] = flows[0].unionByName(flows[0].withColumn("day", F.date_add("day", 1)))
+    for granularity in ("day", "month"):
+        shown = platform(spark, [("a", 10, 5, 7, 3), ("b", 0, 1, 0, 0)]).withColumn("period", F.substring("period", 1, 7 if granularity == "month" else 10))
+        bundle = Bundle(spark, folder, "test")
+        write_source_report(bundle, shown, flows, METRICS, granularity)
+        by_source = iv.db_by_source(flows[0].unionByName(flows[1]), granularity)
+        wanted = iv.compare_by_source(iv.source_rows(iv.platform_cells(shown, METRICS), by_source))
+        assert sorted(map(str, bundle.table("Comparison").select(*wanted.columns).collect())) == sorted(map(str, wanted.collect()))
+        assert bundle.table("Duplicate_Source").count() == iv.duplicate_source(by_source).count() > 0
+        assert bundle.table("Raw_DB_By_Source").count() == 6
