@@ -82,7 +82,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet"), None
     for name, stage in STAGES:
         after = new_folder(spark, "pipeline-" + name.replace(" ", "-"))
-        with job_tables(spark):
+        # Twice: what a stage makes to outlast the job it is made in ends with the outer one.
+        with job_tables(spark), job_tables(spark):
             result = stage(spark, docs, sf_dir)
             result.write.parquet(after)
         if before:
